@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtide.llm import mil_quality, simhash_vptree, sstable
+from gridtide.llm import decontam, mil_quality, pfair_mix, simhash_vptree, sstable
 from gridtide.llm.queries import tokenizer_path
 from gridtide.llm.shared import stored, table
 
@@ -28,12 +28,29 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a copy of a benchmark item."""
+    return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One epoch at the target weights, in the order of its slots: an over-represented source's surplus goes.
+
+    The weights are the sources' sizes tempered (pfair_mix.tempered_weights), so a source at or under its share
+    keeps all its documents. Rows that share a doc_id share its block.
+    """
+    plan = pfair_mix.mix(docs).filter("in_epoch").groupBy("doc_id").agg(F.min("slot").alias("_slot"))
+    mixed = docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"])).select(*[docs[c] for c in docs.columns], "_slot")
+    ordered = mixed.repartitionByRange("_slot", "doc_id").sortWithinPartitions("_slot", pfair_mix.order_key(F.col("doc_id")))
+    return ordered.drop("_slot")
+
+
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sorted-string-table shards of the documents' tokens: doc_id, start, n_tokens, ids_crc32."""
     return sstable.token_output(docs, tokenizer_path())
 
 
-STAGES = [("quality", quality), ("near_dedup", near_dedup), ("token_shards", token_shards)]
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", benchmark_decontamination), ("mix", source_mix), ("token_shards", token_shards)]
 
 #: Trained models and a tokenizer stand behind the rows, so SQL cannot express them.
 ORACLE_SQL = None
