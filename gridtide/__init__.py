@@ -1,0 +1,25 @@
+"""A PySpark engine for regular time series, with operators for training-data corpora beside it."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once per application (as ``--py-files`` would)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-package-")) / "gridtide.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(here.rglob("*.py")):
+            out.write(file, file.relative_to(here.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
