@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from gridtide.plans import grid_queries
+from gridtide.plans import calendar_queries, feature_queries, grid_queries
 
-QUERIES = {**grid_queries.QUERIES}
-ORACLE_SQL = {**grid_queries.ORACLE_SQL}
+PARTS = (grid_queries, calendar_queries, feature_queries)
+QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in PARTS for name, sql in part.ORACLE_SQL.items()}
