@@ -10,6 +10,11 @@ from gridtide.functions.time import to_utc
 from gridtide.functions.values import all_known
 
 
+def _col(name: str) -> Column:
+    """A column by its exact name: quantile columns have dots in theirs."""
+    return F.col(f"`{name}`")
+
+
 def rolling_origin_folds(first: DataFrame, n_folds: int, months: int, tz: str) -> DataFrame:
     """fold, train_end, test_start, test_end (UTC) for each row of ``first`` (keys…, first_start, limit: local times).
 
@@ -38,7 +43,7 @@ def model_columns(columns: list[str], others: tuple[str, ...] = ("fold", "target
 
 
 def long_form(preds: DataFrame, models: list[str], keep: list[str]) -> DataFrame:
-    return preds.unpivot([*keep, "target"], models, "model", "yhat")
+    return preds.unpivot([*keep, "target"], [_col(m) for m in models], "model", "yhat")
 
 
 def error_columns(y: Column, yhat: Column) -> list[Column]:
@@ -65,7 +70,7 @@ def mae_pivot(per_fold: DataFrame, by: list[str], models: list[str], value: str
 
 def sorted_quantiles(df: DataFrame, columns: list[str]) -> DataFrame:
     """The quantile columns sorted within each row, so they never cross; any missing one leaves all missing."""
-    ordered = df.withColumn("_q", F.when(all_known(*[F.col(c) for c in columns]), F.array_sort(F.array(*columns))))
+    ordered = df.withColumn("_q", F.when(all_known(*map(_col, columns)), F.array_sort(F.array(*map(_col, columns)))))
     return ordered.withColumns({c: F.col("_q")[i] for i, c in enumerate(columns)}).drop("_q")
 
 
@@ -77,7 +82,7 @@ def coverage(preds: DataFrame, pairs: dict[str, tuple[str, str, float]], by: lis
     """
     variants = [(n, lo, hi, p, "raw", 0.0) for n, (lo, hi, p) in pairs.items()]
     variants += [(n, *pairs[n], "conformal", m) for n, m in (margins or {}).items()]
-    wide = F.array(*[F.struct(F.lit(n).alias("interval"), F.lit(p).alias("nominal"), F.lit(v).alias("variant"), F.lit(float(m)).alias("margin"), F.col(lo).alias("lo"), F.col(hi).alias("hi")) for n, lo, hi, p, v, m in variants])
+    wide = F.array(*[F.struct(F.lit(n).alias("interval"), F.lit(p).alias("nominal"), F.lit(v).alias("variant"), F.lit(float(m)).alias("margin"), _col(lo).alias("lo"), _col(hi).alias("hi")) for n, lo, hi, p, v, m in variants])
     rows = preds.select(*by, "target", F.explode(wide).alias("v")).select(*by, "target", "v.*")
     inside = F.coalesce((F.col("target") >= F.col("lo") - F.col("margin")) & (F.col("target") <= F.col("hi") + F.col("margin")), F.lit(False)).cast("double")
     return rows.groupBy(*by, "interval", "nominal", "variant", "margin").agg(F.avg(F.when(F.col("target").isNotNull(), inside)).alias("coverage"), F.avg(F.col("hi") - F.col("lo") + 2 * F.col("margin")).alias("mean_width"))
@@ -90,7 +95,7 @@ def conformal_margin(preds: DataFrame, lo: str, hi: str, nominal: float, by: lis
     one pass per group over pre-aggregated rows.
     """
     y = F.col("target")
-    scores = preds.filter(all_known(y, F.col(lo), F.col(hi))).select(*by, F.greatest(F.col(lo) - y, y - F.col(hi)).alias("score"))
+    scores = preds.filter(all_known(y, _col(lo), _col(hi))).select(*by, F.greatest(_col(lo) - y, y - _col(hi)).alias("score"))
     counted = scores.groupBy(*by, "score").agg(F.count("*").alias("c"))
     order, whole = Window.partitionBy(*by).orderBy("score"), Window.partitionBy(*by)
     ranked = counted.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(whole))
@@ -100,7 +105,7 @@ def conformal_margin(preds: DataFrame, lo: str, hi: str, nominal: float, by: lis
 
 def typical_week(preds: DataFrame, model: str, by: list[str], local: Column, least: int) -> DataFrame:
     """The week (from Monday, local) whose mean absolute error is nearest the median over weeks of ``least`` rows."""
-    weekly = preds.groupBy(*by, F.date_trunc("week", local).cast("date").alias("week")).agg(F.avg(F.abs(F.col(model) - F.col("target"))).alias("mae"), F.count("*").alias("n")).filter(F.col("n") >= least)
+    weekly = preds.groupBy(*by, F.date_trunc("week", local).cast("date").alias("week")).agg(F.avg(F.abs(_col(model) - F.col("target"))).alias("mae"), F.count("*").alias("n")).filter((F.col("n") >= least) & F.col("mae").isNotNull())
     middle = weekly.groupBy(*by).agg(F.median("mae").alias("median_mae"))
     near = weekly.join(middle, by) if by else weekly.crossJoin(F.broadcast(middle))  # a row per week beside one row
     return near.groupBy(*by).agg(F.min_by("week", F.struct(F.round(F.abs(F.col("mae") - F.col("median_mae")), 9), F.col("week"))).alias("week"), F.max("median_mae").alias("median_mae"))

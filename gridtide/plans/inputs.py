@@ -108,9 +108,9 @@ weather AS (SELECT utc_start, CASE WHEN fill THEN p.a + (n.a - p.a) * f ELSE tem
 PREDICTIONS_CTE = f"""
 sums AS (SELECT o_orderpriority AS series, date_trunc('day', o_orderdate)::TIMESTAMP AS utc_start, {CENTS.format("o_totalprice")} AS load_mw FROM orders GROUP BY 1, 2),
 days AS (SELECT series, unnest(generate_series(min(utc_start), max(utc_start), INTERVAL 1 DAY)) AS utc_start FROM sums GROUP BY series),
-daily AS (SELECT d.series, d.utc_start, s.load_mw FROM days d LEFT JOIN sums s ON s.series = d.series AND s.utc_start = d.utc_start),
+dser AS (SELECT d.series, d.utc_start, s.load_mw FROM days d LEFT JOIN sums s ON s.series = d.series AND s.utc_start = d.utc_start),
 base AS (SELECT series, utc_start, load_mw AS target, lag(load_mw, 7) OVER w AS naive, lag(load_mw, 7) OVER w AS a, lag(load_mw, 14) OVER w AS b, lag(load_mw, 21) OVER w AS c, lag(load_mw, 28) OVER w AS d
-         FROM daily WINDOW w AS (PARTITION BY series ORDER BY utc_start)),
+         FROM dser WINDOW w AS (PARTITION BY series ORDER BY utc_start)),
 point AS (SELECT series, utc_start, target, naive, (coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0) + coalesce(d, 0)) / nullif((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT + (d IS NOT NULL)::INT, 0) AS mean4 FROM base),
 preds AS (SELECT *, naive * 0.4 AS "naive_q0.05", naive * 0.6 AS "naive_q0.1", naive * 1.4 AS "naive_q0.9", naive * 1.7 AS "naive_q0.95",
                  mean4 * 0.4 AS "mean4_q0.05", mean4 * 0.6 AS "mean4_q0.1", mean4 * 1.4 AS "mean4_q0.9", mean4 * 1.7 AS "mean4_q0.95" FROM point)"""
