@@ -182,3 +182,45 @@ def gain_importance(train: DataFrame, keys: list[str], features: list[str], para
         return pd.DataFrame({**{k: rows[k].iloc[0] for k in keys}, "feature": features, "gain": gain})
 
     return slim.groupBy(*keys).applyInPandas(run, schema)
+
+
+def fit_models(train: DataFrame, features: dict[str, list[str]], params: dict[str, Params]) -> DataFrame:
+    """name, features, model (pickled booster) of each named booster on the same rows, a task each."""
+    import pickle
+
+    from pyspark.sql import functions as F
+
+    columns = sorted({c for names in features.values() for c in names})
+    slim = train.select(F.lit("train").alias("part"), *[train[c].cast("double").alias(c) for c in ["target", *columns]])
+    each = slim.withColumn("name", F.explode(F.array(*[F.lit(n) for n in params])))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        name = rows["name"].iloc[0]
+        return pd.DataFrame({"name": [name], "features": [features[name]], "model": [pickle.dumps(_fitted(rows, features[name], params[name]))]})
+
+    return each.groupBy("name").applyInPandas(run, "name string, features array<string>, model binary")
+
+
+def load_models(models: DataFrame, names: list[str]) -> dict[str, tuple[list[str], Booster]]:
+    """The named boosters: a model's size is bounded by its trees and leaves."""
+    import pickle
+
+    rows = models.filter(models["name"].isin(names)).collect()
+    return {r["name"]: (list(r["features"]), pickle.loads(bytes(r["model"]))) for r in rows}
+
+
+def predict(rows: DataFrame, keep: list[str], loaded: dict[str, tuple[list[str], Booster]]) -> DataFrame:
+    """keep and a prediction column per booster, in the tasks."""
+    columns = sorted({c for names, _ in loaded.values() for c in names})
+    shared = rows.sparkSession.sparkContext.broadcast(loaded)
+    slim = rows.select(*keep, *[rows[c].cast("double").alias(f"_x_{c}") for c in columns])
+    schema = slim.select(*keep).schema.simpleString()[7:-1] + "".join(f",`{n}`:double" for n in loaded)
+
+    def run(frames):
+        for frame in frames:
+            out = frame[keep].copy()
+            for name, (names, booster) in shared.value.items():
+                out[name] = booster.predict(frame[[f"_x_{c}" for c in names]].to_numpy(float))
+            yield out
+
+    return slim.mapInPandas(run, schema)

@@ -85,6 +85,15 @@ def if_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.detector_features(event_load(spark, sf_dir, 900), SERIES, TZ))
 
 
+@query(f"""WITH {SCORES}, c AS (SELECT series, hour({LOC.format('utc_start')})::INT AS hour, actual, lo, hi FROM s)
+SELECT series, hour, '0.5-1.5' AS interval, 0.9::DOUBLE AS nominal, 'raw' AS variant, 0.0::DOUBLE AS margin, round(avg(coalesce(actual BETWEEN lo AND hi, false)::INT) FILTER (actual IS NOT NULL), 6) AS coverage, round(avg(hi - lo), 6) AS mean_width FROM c GROUP BY 1, 2""")
+def coverage_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridtide.operators import evaluation as E
+
+    rows = scored_hours(spark, sf_dir).withColumnRenamed("actual", "target").withColumn("hour", F.hour(F.convert_timezone(F.lit("UTC"), F.lit(TZ), "utc_start")))
+    return rounded(E.coverage(rows, {"0.5-1.5": ("lo", "hi", 0.9)}, ["series", "hour"]))
+
+
 #: One injection plan for query and oracle: (kind, hours after the first, quarters, magnitude).
 PLAN = [("spike", 30, 3, 0.25), ("drop", 80, 8, -0.3), ("level_shift", 150, 40, 0.12), ("flatline", 250, 16, 0.0), ("spike", 320, 1, 0.2), ("drop", 400, 5, -0.35), ("flatline", 500, 24, 0.0), ("level_shift", 600, 20, -0.1)]
 PLAN_SQL = "plan(kind, h, n, magnitude) AS (VALUES " + ", ".join(f"('{k}', {h}, {n}, {m}::DOUBLE)" for k, h, n, m in PLAN) + "),\nev AS (SELECT series, kind, first + INTERVAL 1 HOUR * h AS start, first + INTERVAL 1 HOUR * h + INTERVAL 15 MINUTE * n AS fin, magnitude FROM plan, bounds, (SELECT DISTINCT series FROM load))"
