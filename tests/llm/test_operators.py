@@ -1,0 +1,490 @@
+"""The operators against brute-force versions, and their edge cases."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from gridtide.llm import components, decontam, langid, line_chunks, mil_quality, pfair_mix, pii_votes, queries, risk_rules, simhash_vptree, sstable, url_filter
+from tests.conftest import DATA
+from tests.oracle import same
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = "lorem ipsum dolor " * 8000 + "9" * 20000 + "a" * 20000 + "@" + "." * 3000
+EDGES = [(1, None), (2, ""), (3, "   \n\n "), (4, LONG), (5, "same text here"), (5, "same text here"), (6, "same text here"), (None, "no id at all"), (7, "ä" * 50 + " \U0001f600 x")]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, slot int, fp int, base int, _quality int"
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    """NULLs, empty and very long texts, repeated rows, and columns that clash with the operators' own."""
+    return spark.createDataFrame([(i, t, None, None, None, "x", 1, 2, 3, 4) for i, t in EDGES], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+
+
+def texts(spark, rows):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_oracle(spark, name):
+    assert same(spark, queries.QUERIES[name], queries.ORACLE_SQL[name], f"{DATA}/sf0.001") > 0
+
+
+# 1 URL filters
+
+
+def test_split_url():
+    assert url_filter.split_url("HTTP://WWW.Example.ORG/En/1?x#y") == ("www.example.org", "/En/1")
+    assert url_filter.split_url("http://a.b?x/y") == ("a.b", "")
+    assert url_filter.split_url("mailto:x") == ("", "") == url_filter.split_url(None)
+
+
+def test_url_rules_and_collisions(spark):
+    pages = spark.createDataFrame([(1, "http://a.example.org/en/12"), (2, "http://example.org/fr"), (3, "http://notexample.org/es/"), (4, None), (5, "http://x.com/fr/1"), (6, "http://bad.net/q"), (6, "http://bad.net/q"), (7, "http://example.org")], "page_id long, url string").withColumn("host", F.lit(1))
+    entries = url_filter.rule_entries(spark, queries.RULES).union(spark.createDataFrame([("bad.net", "", url_filter.LISTED)], "host string, path string, flag int"))
+    got = [(r["page_id"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, entries).orderBy("page_id").collect()]
+    assert got == [(1, "example.org/en/1", "block"), (2, "org/", "allow"), (3, "org/", "allow"), (4, None, "allow"), (5, "com/fr/", "allow"), (6, None, "block"), (6, None, "block"), (7, None, "allow")]
+    assert url_filter.judge(pages.limit(0), entries).count() == 0
+    assert {r["verdict"] for r in url_filter.judge(pages, entries.limit(0)).collect()} == {"allow"}
+
+
+def test_equal_keys_are_told_apart():
+    data = np.frombuffer(url_filter.pack([5, 5, 9], [1, 2, 4], [b"one", b"two", b"z"]), dtype=np.uint8)
+    shard = url_filter.Shard(data)
+    assert [shard.flag(0, s) for s in (b"one", b"two", b"tw")] == [1, 2, 0] and shard.flag(2, b"z") == 4
+
+
+# 2 line chunks
+
+
+def test_shared_passage_is_removed_once(spark):
+    passage = [f"shared line number {i} of the passage" for i in range(12)]
+    rows = ["\n".join([f"own {d} {i}" for i in range(d)] + passage + [f"end {d}"]) for d in range(5)]
+    out = {r["doc_id"]: r for r in line_chunks.deduplicated(texts(spark, rows)).collect()}
+    assert out[0]["text"] == rows[0] and out[0]["removed_lines"] == 0
+    for d in range(1, 5):
+        assert out[d]["removed_lines"] >= 6 and all(f"own {d} {i}" in out[d]["text"] for i in range(d)) and f"end {d}" in out[d]["text"]
+
+
+def test_line_chunks_edges(spark, edges, empty):
+    out = line_chunks.deduplicated(edges)
+    assert out.count() == len(EDGES) and out.filter("doc_id = 1 and text is null and n_lines = 0").count() == 1
+    assert out.filter("doc_id = 5 and removed_chunks > 0").count() == 0
+    assert line_chunks.deduplicated(empty).count() == 0
+
+
+# 3 SimHash
+
+
+def brute_fingerprint(text, n=3):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    sh = [" ".join(w[k : k + n]) for k in range(len(w) - n + 1)] if len(w) >= n else ([" ".join(w)] if w else [])
+    bits = [sum(xxhash.xxh64_intdigest(s.encode(), 42) >> k & 1 for s in sh) for k in range(64)]
+    return sum(1 << k for k in range(64) if 2 * bits[k] > len(sh))
+
+
+def brute_components(ids, links):
+    parent = {i: i for i in ids}
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("shard_items", [16_384, 40])
+def test_fingerprint_components(spark, docs, shard_items):
+    got = {r["doc_id"]: r for r in simhash_vptree.fingerprint_components(docs, shard_items=shard_items).collect()}
+    want = {r["doc_id"]: brute_fingerprint(r["text"]) for r in docs.select("doc_id", "text").collect()}
+    assert {i: r["fingerprint"] for i, r in got.items()} == {i: f"{f:016x}" for i, f in want.items()}
+    ids = sorted(want)
+    near = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (want[a] ^ want[b]).bit_count() <= 2]
+    assert {i: r["component_id"] for i, r in got.items()} == brute_components(ids, near)
+
+
+@pytest.mark.parametrize("radius", [2, 5])
+def test_tree_finds_every_pair(radius):
+    rng = np.random.default_rng(0)
+    centres = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    points = np.unique(np.array([c ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False))) for c in centres for _ in range(30)], dtype=np.uint64))
+    want = {(i, j) for i in range(len(points)) for j in range(i + 1, len(points)) if int(points[i] ^ points[j]).bit_count() <= radius}
+    got = [(a, b) for i, j in simhash_vptree.close_pairs(points, radius, leaf=16) for a, b in zip(i.tolist(), j.tolist())]
+    assert len(got) == len(set(got)) and set(got) == want
+    tree, leaves = simhash_vptree.grow(points, 4, rng)
+    at, leaf, home = simhash_vptree.route(tree, points, radius)
+    assert home.sum() == len(points) and leaves > 4
+    where = {}
+    for i, k in zip(at.tolist(), leaf.tolist()):
+        where.setdefault(i, set()).add(k)
+    assert all(where[i] & where[j] for i, j in want)
+
+
+def test_near_duplicates(spark):
+    rng = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    base = [[rng.choice(vocabulary) for _ in range(n)] for n in (60, 120, 240, 300, 500)]
+    rows = []
+    for words in base:
+        rows.append(" ".join(words))
+        edited = list(words)
+        edited[len(words) // 2] = "changed"
+        rows += [" ".join(edited), " ".join(words).upper()]
+    rows += [" ".join(base[0] + base[1]), "", None]
+    got = {r["doc_id"]: r["component_id"] for r in simhash_vptree.near_duplicates(texts(spark, rows)).collect()}
+    assert [got[i] for i in range(15)] == [i // 3 * 3 for i in range(15)]
+    assert got[15] == 15 and got[16] == got[17] == 16
+
+
+def test_simhash_edges(spark, edges, empty):
+    out = simhash_vptree.fingerprint_components(edges)
+    assert out.count() == len(EDGES)
+    assert out.filter("doc_id in (1, 2, 3) and component_id = 1 and fingerprint = '0000000000000000'").count() == 3
+    assert simhash_vptree.fingerprint_components(empty).count() == 0
+    assert simhash_vptree.near_duplicates(edges).count() == len(EDGES) - 1
+    assert simhash_vptree.near_duplicates(empty).count() == 0
+
+
+def test_components_of_a_chain(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 200), (7, 7)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    got = dict(components.connected_components(frame).collect())
+    assert got == brute_components(got, edges[:-1]) and got[40] == 0 and got[200] == 100
+
+
+# 4 mixing
+
+
+def test_period_keeps_every_source_within_a_block(spark):
+    slots = spark.createDataFrame([("a", 501), ("b", 300), ("c", 198), ("d", 1)], "source string, slots long").withColumn("period", F.lit(1000).cast("long"))
+    plan = pfair_mix.period_plan(slots).collect()
+    assert sorted(r["slot"] for r in plan) == list(range(1000))
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in plan)
+    for source, k in (("a", 501), ("b", 300), ("c", 198), ("d", 1)):
+        served = np.cumsum([any(r["source"] == source and r["slot"] == t for r in plan if r["slot"] == t) for t in range(1000)])
+        assert (np.abs(served - k * (np.arange(1000) + 1) / 1000) < 1).all()
+
+
+def test_mix_edges(spark, edges, empty, docs):
+    out = pfair_mix.mix(edges)
+    assert out.count() == len(EDGES) and out.select("source").distinct().first()[0] == pfair_mix.NO_SOURCE
+    assert pfair_mix.mix(empty).count() == 0
+    given = spark.createDataFrame([("src1", 3.0)], "source string, weight double")
+    assert pfair_mix.mix(docs, given, block_chars=2000).count() == docs.count()
+
+
+# 5 decontamination
+
+
+def test_edited_copies_are_found(spark):
+    rng = random.Random(2)
+    words = [f"word{i}" for i in range(3000)]
+    items = [[rng.choice(words) for _ in range(40)] for _ in range(5)]
+    filler = lambda n: [rng.choice(words) for _ in range(n)]
+    edited = list(items[1])
+    for k in (3, 11, 19, 27, 35):
+        edited[k] = "other"
+    cut = items[2][:18] + ["put", "in"] + items[2][20:]
+    rows = [filler(100) + items[0] + filler(50), filler(30) + edited + filler(10), cut, filler(400), [w.upper() + "," for w in items[3]], items[4][:12] + filler(90)]
+    found = decontam.contamination(texts(spark, [" ".join(r) for r in rows]), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): r for r in found.collect()}
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (4, 3)}
+    assert got[0, 0]["score"] == 1 and (got[0, 0]["first_word"], got[0, 0]["end_word"]) == (100, 140)
+    assert 0.7 < got[1, 1]["score"] < 0.9
+
+
+def brute_align(item, passage):
+    h = np.zeros((len(item) + 1, len(passage) + 1), dtype=int)
+    for i, a in enumerate(item, 1):
+        for j, b in enumerate(passage, 1):
+            h[i, j] = max(0, h[i - 1, j - 1] + (2 if a == b else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+    return int(h.max())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 5), min_size=1, max_size=15), st.lists(st.integers(0, 5), max_size=25))
+def test_alignment_equals_the_textbook(item, passage):
+    assert decontam.align(np.array(item), np.array(passage, dtype=np.int64))[0] == brute_align(item, passage)
+
+
+def test_decontamination_of_given_tables(spark):
+    sf = f"{DATA}/sf0.001"
+    rows, items = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("documents", "benchmark"))
+    plain = lambda t: " ".join(t.lower().split())
+    want = {(d["doc_id"], b["item_id"]) for d in rows for b in items if plain(b["text"]) in plain(d["text"])}
+    got = {(r["doc_id"], r["item_id"]) for r in queries.QUERIES["op5_decontamination"](spark, sf).collect()}
+    assert want <= got and len(got) <= len(want) + 3
+
+
+def test_decontamination_edges(spark, edges, empty):
+    items = spark.createDataFrame([(1, "lorem ipsum dolor lorem ipsum dolor"), (2, None), (3, ""), (None, "a b c d"), (1, "lorem ipsum dolor lorem ipsum dolor")], "item_id long, text string").withColumn("doc_id", F.lit(1))
+    assert decontam.contamination(edges, items).select("doc_id", "item_id").collect() == [(4, 1)]
+    assert decontam.contamination(edges, items.limit(0)).count() == 0 and decontam.contamination(empty, items).count() == 0
+    kept = decontam.decontaminated(edges, items)
+    assert kept.columns == edges.columns and kept.count() == len(EDGES) - 1
+
+
+# 6 PII
+
+
+def luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        v = int(c) * (1 + k % 2)
+        total += v - 9 if v > 9 else v
+    return total % 10 == 0
+
+
+PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def brute_spans(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(PATTERNS):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub(r"[^0-9]", "", m[0])
+            good = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else None, "card": 14 <= len(digits) <= 19 and luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]
+            if good:
+                out.append((m.start(), rank, kind, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_equal_brute_force(spark):
+    rng = random.Random(3)
+    pieces = ["a@b.c", "_x@e.f", "1.2.3.4", "999.1.2.3", "0010.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (499) 555-6503", "+49.30.1234567", "12", "-", " ", ".", "@", "é", "\U0001f600", "x", "+", "4111111111111111", "00000000000000", "\n", "a.b%c@d-e.f.g", "c_d@e.f", "1" * 25]
+    rows = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(600)]
+    got = {r["doc_id"]: [tuple(s) for s in r["base"]] for r in pii_votes.personal_data(texts(spark, rows)).select("doc_id", "base").collect()}
+    for i, t in enumerate(rows):
+        assert got[i] == brute_spans(t), t
+
+
+def test_added_spans(spark):
+    key = "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\""
+    rows = [f"some text {key} more {i}" for i in range(30)] + [f"call 555-123 or (212) 555-01{i:02d} now" for i in range(20)] + [f"License, version 2.0 of item AB12CD34EF{i:02d}" for i in range(20)] + ["plain words only"] * 5
+    got = {r["doc_id"]: r["added"] for r in pii_votes.personal_data(texts(spark, rows)).collect()}
+    assert all([rows[i][s["start"] : s["end"]] for s in got[i]] == ["04dbebab91ab85687d33eeaaf9ac699e1188f962"] for i in range(30))
+    assert not any(got[i] for i in range(70, 75))
+
+
+def test_reliabilities():
+    chance, right = pii_votes.estimate([("11--1-", 500), ("10--0-", 400), ("01--1-", 20), ("00--0-", 900)])
+    assert chance["11--1-"] > 0.9 > 0.1 > chance["00--0-"] and right[0] > 0.6
+
+
+def test_pii_edges(spark, edges, empty):
+    assert pii_votes.personal_data(edges).count() == len(EDGES)
+    assert pii_votes.personal_data(empty).count() == 0
+
+
+# 7 token shards
+
+
+@pytest.fixture(scope="module")
+def words():
+    return sstable.WordTokenizer(queries.tokenizer_path(), keep=50)
+
+
+def ids_of(words, text):
+    return words.whole.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", ["I'll don't it's  x y", "ΑΣ ΑΣ. Σ", "İstanbul straße ǅ ffi", "a\x1cb c　d", "<|endoftext|> hi", "<|end oftext|>", "é ́a", "12345 1,2", "&&&. a&&&.", "日本語 テスト", "ÀÉ!! don’t", "ﬁ a​b", "xͅ y", "a'b 's'd", "", " \n"])
+def test_words_encode_like_the_whole(words, text):
+    assert ids_of(words, text) == np.frombuffer(words.encode(text), "<u2").tolist()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_any_text_encodes_like_the_whole(words, text):
+    assert ids_of(words, text) == np.frombuffer(words.encode(text), "<u2").tolist()
+
+
+def test_shard_round_trip():
+    rng = np.random.default_rng(4)
+    keys = sorted({int(x) for x in rng.integers(-(2**62), 2**62, 300)} | {0, -1, 2**63 - 1, -(2**63)})
+    want = {k: rng.integers(0, 50_000, rng.integers(0, 200)) for k in keys}
+    writer = sstable.ShardWriter(2, block_bytes=1024)
+    writer.add(sstable.encode_key(None), b"\1\0")
+    for k in keys:
+        writer.add(sstable.encode_key(k), want[k].astype("<u2").tobytes())
+    writer.add(sstable.encode_key(keys[-1]), b"\7\0")
+    reader = sstable.ShardReader(writer.finish())
+    assert [k for k, _ in reader.items()] == [None, *keys, keys[-1]] and len(reader.index) > 20
+    for k in keys[:-1]:
+        assert [x.tolist() for x in reader.get(k)] == [want[k].tolist()]
+    assert [x.tolist() for x in reader.get(keys[-1])] == [want[keys[-1]].tolist(), [7]] and reader.get(None)[0].tolist() == [1]
+    missing = [k + 1 for k in keys[:-1] if k + 1 not in want]
+    assert not any(reader.get(k) for k in missing)
+    assert sum(reader.may_contain(sstable.encode_key(k)) for k in missing) < 0.1 * len(missing)
+    with pytest.raises(ValueError, match="magic"):
+        sstable.ShardReader(b"x" * 100)
+
+
+def test_token_output(spark, docs, words):
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in sstable.token_output(docs, queries.tokenizer_path(), docs_per_shard=30).collect()}
+    at, want = 0, {}
+    for r in docs.orderBy("doc_id").collect():
+        ids = [*ids_of(words, r["text"] or ""), 2]
+        want[r["doc_id"]] = (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert got == want
+
+
+def test_token_edges(spark, edges, empty):
+    out = sstable.token_output(edges, queries.tokenizer_path())
+    assert out.count() == len(EDGES) and out.filter("doc_id in (1, 2, 3) and n_tokens = 1").count() == 3
+    assert out.orderBy("start").first()["doc_id"] is None
+    assert sstable.token_output(empty, queries.tokenizer_path()).count() == 0
+
+
+# 8 to 10
+
+
+def test_quality_on_held_out_documents(spark):
+    sf = f"{DATA}/sf0.01"
+    truth = dict(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").collect())
+    rows = queries.QUERIES["op8_quality_mil"](spark, sf).collect()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
+    held = [(r["predicted"], truth[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in truth]
+    assert np.mean([p == t for p, t in held]) > 0.95
+    assert all((zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) == r["held_out"] for r in rows)
+
+
+def test_quality_gradient():
+    """The hand-written gradient lowers the loss on bags of which one passage tells the label."""
+    rng = np.random.default_rng(5)
+    labels = rng.integers(0, 2, 300).astype(float)
+    bags = []
+    for y in labels:
+        x = rng.normal(0, 1, (rng.integers(1, 6), mil_quality.WIDTH))
+        x[rng.integers(len(x)), 0] += 6 * (2 * y - 1)
+        bags.append(x)
+    net = mil_quality.train(bags, labels)
+    assert ((net.score(bags) > 0.5) == labels).mean() > 0.95
+    assert mil_quality.train([], np.array([])).score(bags[:2]).tolist() == [0.5, 0.5]
+
+
+def test_language_on_held_out_documents(spark):
+    sf = f"{DATA}/sf0.01"
+    truth = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect())
+    rows = queries.QUERIES["op9_language"](spark, sf).collect()
+    held = [r["lang_pred"] == truth[r["doc_id"]] for r in rows if r["held_out"]]
+    assert np.mean(held) > 0.97 and all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_classifier_edges(spark, edges, empty, docs):
+    labels = spark.createDataFrame([(1, 0), (4, 1), (None, 1), (5, None), (5, 1), (5, 0)], "doc_id long, quality int").withColumn("text", F.lit("clash"))
+    net = mil_quality.fit_quality_model(edges, labels)
+    scored = mil_quality.with_score(edges, net)
+    assert scored.count() == len(EDGES) and dict(scored.dtypes)["score"] == "double" and set(scored.columns) == set(edges.columns)
+    assert mil_quality.with_score(empty, net).count() == 0
+    model = langid.fit_language_model(docs)
+    rows = {r["doc_id"]: r for r in langid.predict_language(edges, model).collect()}
+    assert rows[1]["lang_pred"] == rows[2]["lang_pred"] == "und" and rows[4]["lang_pred"] in model.langs
+    nothing = langid.fit_language_model(empty)
+    assert {r["lang_pred"] for r in langid.predict_language(edges, nothing).collect()} == {"und"}
+
+
+def brute_counts(text):
+    w = WORD.findall(text or "")
+    lines, seen, dup = (text or "").split("\n"), set(), 0
+    for line in lines:
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    places = {}
+    for k in range(len(w) - 7):
+        places.setdefault(tuple(w[k : k + 8]), []).append(k)
+    covered = {p for v in places.values() if len(v) > 1 for k in v for p in range(k, k + 8)}
+    return [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(covered)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab #\n\té|", max_size=120))
+def test_rule_counts_equal_brute_force(text):
+    assert risk_rules.measure(text.encode())[0] == brute_counts(text)
+
+
+def test_rule_query(spark, docs):
+    rows = {r["doc_id"]: r for r in queries.QUERIES["op10_quality_rules"](spark, f"{DATA}/sf0.001").collect()}
+    for d in docs.collect():
+        r = rows[d["doc_id"]]
+        assert [r[c] for c in risk_rules.COLUMNS] == brute_counts(d["text"])
+        assert r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]) and not (r["base_failed"] and r["kept"])
+
+
+def test_cutoffs_are_safe():
+    from math import comb
+
+    for k, n, p in ((3, 100, 0.05), (0, 50, 0.02), (40, 1000, 0.05), (99, 100, 0.5)):
+        exact = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+        assert risk_rules.binomial_tail(k, n, p) == pytest.approx(exact, rel=1e-9)
+    assert risk_rules.binomial_tail(19_000_000, 10**9, 0.02) < 1e-6
+    few, many = {65: 20}, {10: 30, 65: 970}
+    assert risk_rules.choose_levels({"few": few, "many": many}, 0.02, 0.05) == {"few": 0, "many": 9}
+    assert risk_rules.choose_levels({}, 0.02, 0.05) == {}
+
+
+def test_rule_edges(spark, edges, empty):
+    labels = spark.createDataFrame([(4, 1), (4, 1), (None, 1), (7, None)], "doc_id long, quality int").withColumn("level", F.lit(1))
+    out = risk_rules.quality_rules(edges, labels)
+    assert out.count() == len(EDGES) and out.filter("kept").count() == 0
+    assert risk_rules.quality_rules(empty, labels).count() == 0
+
+
+# pipeline
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as p
+
+    sf = f"{DATA}/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = dict(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").collect())
+    steps = {}
+    for name, stage in p.STAGES[:-1]:
+        docs = p.stored(stage(spark, docs, sf), f"test-{name}")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        steps[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
+    good = {i for i, q in labels.items() if q == 1}
+    assert len(good & set(steps["quality"])) > 0.98 * len(good)
+    assert len({i for i, q in labels.items() if q == 0} & set(steps["quality"])) < 5
+    assert len(set(steps["near_dedup"].values())) == len(steps["near_dedup"])
+    assert set(steps["quality"].values()) >= set(steps["near_dedup"].values())
+    assert set(steps["decontamination"]) < set(steps["near_dedup"])
+    assert len(steps["mix"]) > 0.8 * len(steps["decontamination"])
+    out = p.STAGES[-1][1](spark, docs, sf)
+    assert out.count() == len(steps["mix"]) == p.run(spark, sf).count()
+
+
+def test_pipeline_stages_on_edges(spark, edges, empty):
+    import corpus_pipeline as p
+
+    sf = f"{DATA}/sf0.001"
+    for name, stage in p.STAGES:
+        for frame in (edges, empty):
+            out = stage(spark, frame, sf)
+            assert out.count() <= frame.count(), name
+            if name != "token_shards":
+                assert out.columns == frame.columns, name
