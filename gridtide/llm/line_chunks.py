@@ -18,10 +18,15 @@ BASE, MODULUS = 1_000_003, 2_147_483_647
 MIN_LINES = 2
 
 
-def with_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, rid (the row's identity), lines, chunks: array of (pos, first, n, text). NULL text has no line."""
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text, rid: the row's identity."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = base.withColumn("rid", F.xxhash64("doc_id", "text")).withColumn("lines", F.coalesce(F.split("text", "\n", -1), F.array().cast("array<string>"))).drop("text")
+    return base.withColumn("rid", F.xxhash64("doc_id", "text"))
+
+
+def with_chunks(rows: DataFrame) -> DataFrame:
+    """``rows`` with lines and chunks, an array of (pos, first, n, text), in place of text. NULL text has no line."""
+    lines = rows.withColumn("lines", F.coalesce(F.split("text", "\n", -1), F.array().cast("array<string>"))).drop("text")
     hashed = lines.withColumn("h", F.expr("transform(lines, l -> cast(conv(substring(md5(l), 1, 7), 16, 10) as long))"))
     ends = F.expr(f"filter(sequence(0, size(lines) - 1), i -> i = size(lines) - 1 OR pmod((CASE WHEN i = 0 THEN 0L ELSE h[i - 1] END * {BASE} + h[i]) % {MODULUS}, {DIVISOR}) = 0)")
     cut = hashed.withColumn("ends", F.when(F.size("lines") > 0, ends).otherwise(F.array().cast("array<int>"))).drop("h")
@@ -33,7 +38,8 @@ def with_chunks(docs: DataFrame) -> DataFrame:
 
 def repeated_chunks(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """rid, pos of every chunk of ``min_lines`` lines or more whose text stands earlier in the corpus."""
-    exploded = with_chunks(docs).select("doc_id", "rid", F.explode("chunks").alias("c")).select("doc_id", "rid", "c.pos", "c.n", "c.text").filter(F.col("n") >= min_lines)
+    # Outer: for a plain explode the optimizer infers a filter on the array and computes its nested lambdas in it anew.
+    exploded = with_chunks(identified(docs)).select("doc_id", "rid", F.explode_outer("chunks").alias("c")).select("doc_id", "rid", "c.pos", "c.n", "c.text").filter(F.col("n") >= min_lines)
     keyed = exploded.withColumn("key", F.xxhash64("text"))
     twice = stored(keyed.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key"), "chunk-keys")
     found = stored(keyed.join(twice, "key", "left_semi").select("key", "text", F.struct(F.col("doc_id"), F.col("rid"), F.col("pos")).alias("place")), "chunks")
@@ -49,7 +55,8 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     earlier rows, never each other. An empty line ends like any other; a text of one line has no multi-line chunk.
     """
     removed = stored(repeated_chunks(docs, min_lines).groupBy("rid").agg(F.collect_set("pos").alias("gone")), "chunks-gone")
-    rows = with_chunks(docs).join(removed, "rid", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    marked = identified(docs).join(removed, "rid", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    rows = with_chunks(marked)  # after the join: the shuffle carries the text alone
     kept = F.expr("filter(chunks, c -> NOT array_contains(gone, c.pos))")
     text = F.when(F.size("lines") > 0, F.array_join(F.transform(kept, lambda c: c["text"]), "\n"))
     lost = F.expr("aggregate(filter(chunks, c -> array_contains(gone, c.pos)), 0L, (s, c) -> s + c.n)")
