@@ -120,15 +120,19 @@ class Forest:
         return True
 
 
-def close_pairs(points: np.ndarray, radius: int, leaf: int = 192, block: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of position pairs (i < j) within ``radius``: every such pair once, from a vantage-point tree."""
+def close_pairs(points: np.ndarray, radius: int, bands: np.ndarray | None = None, guests: int = -1, leaf: int = 192, block: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of position pairs within ``radius``: every such pair once, from a vantage-point tree.
+
+    With ``bands`` only pairs of one band or of neighbouring bands count, and the band ``guests`` only with the next.
+    """
+    bands = np.zeros(len(points), np.int64) if bands is None else bands
     rng = np.random.default_rng(3)
 
     def among(q: np.ndarray, p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for at in range(0, len(q), block):
             i, j = np.nonzero(np.bitwise_count(points[q[at : at + block], None] ^ points[p][None, :]) <= radius)
             i, j = q[at : at + block][i], p[j]
-            keep = i < j
+            keep = (i < j) | (bands[i] != bands[j])
             if keep.any():
                 yield i[keep], j[keep]
 
@@ -161,8 +165,9 @@ def close_pairs(points: np.ndarray, radius: int, leaf: int = 192, block: int = 4
         yield from search(q[near], p[d <= cut])
         yield from search(q[far], p[d > cut])
 
-    everything = np.arange(len(points))
-    yield from search(everything, everything)
+    for band in np.unique(bands):
+        mine, near = bands == band, bands == band + 1
+        yield from search(np.flatnonzero(mine), np.flatnonzero(near if band == guests else near | mine))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -173,10 +178,25 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def shard_links(ids: np.ndarray, points: np.ndarray, radius: int, sets: list[bytes] | None, least: float) -> list[tuple[int, int]]:
+def packed(h: np.ndarray) -> bytes:
+    """The sorted set of the hashes' upper 24 bits, three bytes each."""
+    return np.unique(h >> np.uint64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 3, 4), dtype=np.uint8)
+    wide[:, :3] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 3)
+    return wide.view("<u4").ravel()
+
+
+def shard_links(ids: np.ndarray, points: np.ndarray, radius: int, sets: list[bytes] | None = None, least: float = 0.0, bands: np.ndarray | None = None, guests: int = -1) -> list[tuple[int, int]]:
     """Spanning links of a shard; with ``sets`` a pair counts only if its shingle sets are ``least`` similar."""
     forest, out = Forest(len(ids)), []
-    for i, j in close_pairs(points, radius):
+    sizes = np.array([max(len(x) // 3, 1) for x in sets]) if sets is not None else None
+    for i, j in close_pairs(points, radius, bands, guests):
+        if sizes is not None:
+            fit = np.minimum(sizes[i], sizes[j]) >= least * np.maximum(sizes[i], sizes[j])
+            i, j = i[fit], j[fit]
         if sets is None and len(i) > 1:  # keep of each block only what can join anything new
             root = np.array([forest.find(x) for x in np.unique(np.concatenate([i, j]))])
             names = np.unique(np.concatenate([i, j]))
@@ -186,7 +206,7 @@ def shard_links(ids: np.ndarray, points: np.ndarray, radius: int, sets: list[byt
             i, j = i[first], j[first]
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
             if forest.find(a) != forest.find(b):
-                if sets is None or similarity(np.frombuffer(sets[a], "<u4"), np.frombuffer(sets[b], "<u4")) >= least:
+                if sets is None or similarity(unpacked(sets[a]), unpacked(sets[b])) >= least:
                     forest.join(a, b)
                     out.append((int(ids[a]), int(ids[b])))
     return out
@@ -203,7 +223,7 @@ def fingerprints(docs: DataFrame, words: int, set_words: int | None = None) -> D
                 if set_words:
                     # Word variety, not word frequency: a replaced word moves few bits, and the set below decides.
                     prints.append(fingerprint(np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(text.lower().split())], dtype=np.uint64)))
-                    sets.append(np.unique((hashes(text, set_words) >> np.uint64(32)).astype("<u4")).tobytes())
+                    sets.append(packed(hashes(text, set_words)))
                 else:
                     prints.append(fingerprint(hashes(text, words)))
             columns = [batch.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))]
@@ -213,36 +233,50 @@ def fingerprints(docs: DataFrame, words: int, set_words: int | None = None) -> D
     return rows.mapInArrow(run, "doc_id long, fp long" + (", shingles binary" if set_words else ""))
 
 
-def links(items: DataFrame, radius: int, least: float | None, shard_items: int, sample: int = 20_000) -> DataFrame:
-    """Links (a, b) between items (id, fp[, shingles, size]); with ``least`` the set sizes bound the shards as well.
+#: Bands of equal log size that share a shard; items of the last one visit the next shard as guests.
+BANDS = 4
+
+
+def size_bands(sizes: np.ndarray, least: float) -> np.ndarray:
+    """Set sizes that a similarity of ``least`` can link lie in one band or in neighbours."""
+    return np.floor(np.log(np.maximum(sizes, 1)) / -np.log(least) + 1e-9).astype(np.int64)
+
+
+def links(items: DataFrame, n: int, fps: DataFrame, radius: int, least: float | None, shard_items: int, sample: int = 20_000) -> DataFrame:
+    """Links (a, b) between ``n`` items (id, fp[, shingles]); fps: their fingerprints, for the top tree's sample.
 
     Similarity ``least`` needs set sizes within that ratio, so bands of equal log size link only with themselves and
     the next: a second exact bound beside the triangle inequality.
     """
-    n = items.count()
     verified = least is not None
-    wanted = n / shard_items / (12 if verified else 1)  # lengths spread over a dozen bands or more
+    wanted = n / shard_items / (4 if verified else 1)  # lengths spread over several shards by themselves
     depth = max(0, int(np.ceil(np.log2(max(wanted, 1)))))
-    some = [r["fp"] for r in items.select("fp").distinct().orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()] if depth else []
+    some = [r["fp"] for r in fps.select("fp").distinct().orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()] if depth else []
     tree, leaves = grow(np.array(some, dtype=np.int64).view(np.uint64), depth, np.random.default_rng(1))
-    step = -np.log(least) if verified else 1.0
+
+    def bands_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+        return size_bands(np.array([len(x) // 3 for x in column.to_pylist()]), least)
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(1).to_numpy()
-            at, leaf, _ = route(tree, fp.view(np.uint64), radius)
-            band = np.zeros(len(at), np.int64)
-            if verified:
-                band = np.floor(np.log(np.maximum(batch.column(3).to_numpy(), 1)[at]) / step).astype(np.int64)
-                at, leaf, band = np.tile(at, 2), np.tile(leaf, 2), np.concatenate([band, band + 1])
+            at, leaf, _ = route(tree, batch.column(1).to_numpy().view(np.uint64), radius)
+            group = np.zeros(len(at), np.int64)
+            if verified and batch.num_rows:
+                band = bands_of(batch.column(2))[at]
+                group, last = band // BANDS, np.flatnonzero(band % BANDS == BANDS - 1)
+                at, leaf, group = np.append(at, at[last]), np.append(leaf, leaf[last]), np.append(group, group[last] + 1)
             names = ["shard", "id", "fp"] + ["shingles"] * verified
-            rows = [pa.array(band * leaves + leaf), *(batch.column(k).take(pa.array(at)) for k in range(2 + verified))]
+            rows = [pa.array(group * leaves + leaf), *(batch.column(k).take(pa.array(at)) for k in range(2 + verified))]
             yield pa.RecordBatch.from_arrays(rows, names=names)
 
     def join(shard: pa.Table) -> pa.Table:
         shard = shard.sort_by("id")
-        sets = shard.column("shingles").to_pylist() if verified else None
-        found = shard_links(shard.column("id").to_numpy(), shard.column("fp").to_numpy().view(np.uint64), radius, sets, least or 0.0)
+        ids, points = shard.column("id").to_numpy(), shard.column("fp").to_numpy().view(np.uint64)
+        if verified:
+            guests = shard.column("shard")[0].as_py() // leaves * BANDS - 1
+            found = shard_links(ids, points, radius, shard.column("shingles").to_pylist(), least, bands_of(shard.column("shingles")), guests)
+        else:
+            found = shard_links(ids, points, radius)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     placed = items.mapInArrow(place, "shard long, id long, fp long" + (", shingles binary" if verified else ""))
@@ -259,26 +293,26 @@ def fingerprint_components(docs: DataFrame, words: int = 3, radius: int = 2, sha
     prints = stored(fingerprints(docs, words), "fingerprints")
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     # The fingerprint itself names the item: components are found among fingerprints, then take the smallest doc_id.
-    found = connected_components(links(classes.select(F.col("fp").alias("id"), "fp"), radius, None, shard_items), "links")
+    found = connected_components(links(classes.select(F.col("fp").alias("id"), "fp"), classes.count(), classes, radius, None, shard_items), "links")
     named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = named.join(smallest, "component").select("fp", "component_id")
     return prints.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, set_words: int = 5, radius: int = 8, least: float = 0.8, shard_items: int = 16_384) -> DataFrame:
+def near_duplicates(docs: DataFrame, set_words: int = 5, radius: int = 12, least: float = 0.8, shard_items: int = 32_768) -> DataFrame:
     """doc_id, component_id: documents whose five-word shingle sets are ``least`` similar, found by fingerprints.
 
     Fingerprints (of the words in a text) within ``radius`` bits propose a pair and the shingle sets decide, exactly
-    up to 32-bit hash collisions. component_id is the smallest doc_id of the group. Equal sets (NULL and blank texts
-    too) are one item. Rows with NULL doc_id are left out: they have no name to be kept under.
+    up to collisions of 24-bit hashes. component_id is the smallest doc_id of the group. Equal sets (NULL and blank
+    texts too) are one item. Rows with NULL doc_id are left out: they have no name to be kept under.
     """
     prints = fingerprints(docs.filter("doc_id is not null"), set_words, set_words)
     # A short text has no shingle of its own size: its whole word sequence stands in (see shingles).
     keyed = stored(prints.withColumn("set_key", F.xxhash64("shingles")), "fingerprints")
-    items = keyed.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp"))
-    carried = keyed.select("doc_id", "set_key", "shingles").join(items, (F.col("doc_id") == F.col("id")) & (keyed["set_key"] == items["set_key"])).select("id", "fp", "shingles")
-    carried = stored(carried.dropDuplicates(["id"]).withColumn("size", (F.length("shingles") / 4).cast("long")), "items")
-    found = connected_components(links(carried, radius, least, shard_items), "links")
-    of_set = items.join(found.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
+    least_id = F.min_by(F.struct("fp", "shingles"), "doc_id")
+    items = keyed.groupBy("set_key").agg(F.min("doc_id").alias("id"), least_id.alias("x")).select("id", "x.fp", "x.shingles")
+    names = stored(keyed.groupBy("set_key").agg(F.min("doc_id").alias("id")), "items")
+    found = connected_components(links(items, names.count(), keyed, radius, least, shard_items), "links")
+    of_set = names.join(found.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     return keyed.select("doc_id", "set_key").join(of_set, "set_key").select("doc_id", "component_id")
