@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridtide.llm import decontam, mil_quality, pfair_mix, simhash_vptree, sstable
 from gridtide.llm.queries import tokenizer_path
-from gridtide.llm.shared import stored, table
+from gridtide.llm.shared import free_name, stored, table
 
 QUALITY_CUTOFF = 0.3
 
@@ -15,7 +15,8 @@ QUALITY_CUTOFF = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at QUALITY_CUTOFF or more (NULL text scores as empty)."""
     net = mil_quality.fit_quality_model(docs, table(spark, sf_dir, "labels"))
-    return mil_quality.with_score(docs, net, "_quality").filter(F.col("_quality") >= QUALITY_CUTOFF).drop("_quality")
+    score = free_name(docs, "_quality")
+    return mil_quality.with_score(docs, net, score).filter(F.col(score) >= QUALITY_CUTOFF).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +40,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The weights are the sources' sizes tempered (pfair_mix.tempered_weights), so a source at or under its share
     keeps all its documents. Rows that share a doc_id share its block.
     """
-    plan = pfair_mix.mix(docs).filter("in_epoch").groupBy("doc_id").agg(F.min("slot").alias("_slot"))
-    mixed = docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"])).select(*[docs[c] for c in docs.columns], "_slot")
-    ordered = mixed.repartitionByRange("_slot", "doc_id").sortWithinPartitions("_slot", pfair_mix.order_key(F.col("doc_id")))
-    return ordered.drop("_slot")
+    slot = free_name(docs, "_slot")
+    plan = pfair_mix.mix(docs).filter("in_epoch").groupBy("doc_id").agg(F.min("slot").alias(slot))
+    mixed = docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"])).select(*[docs[c] for c in docs.columns], slot)
+    ordered = mixed.repartitionByRange(slot, "doc_id").sortWithinPartitions(slot, pfair_mix.order_key(F.col("doc_id")))
+    return ordered.drop(slot)
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

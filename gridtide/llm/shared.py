@@ -50,3 +50,10 @@ def crc32_mod(column: str, n: int):
 def part_count(df: DataFrame, rows_per_part: int, least: int = 8) -> int:
     """Partitions for ``df`` at ``rows_per_part`` rows each: follows the data, at least ``least``."""
     return max(least, -(-df.count() // rows_per_part))
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores before it as long as ``df`` has such a column."""
+    while wanted.lower() in {c.lower() for c in df.columns}:
+        wanted = f"_{wanted}"
+    return wanted
