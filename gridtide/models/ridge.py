@@ -80,7 +80,7 @@ class Ridge:
         match = F.lit(True)
         for k in keys:
             match = match & (F.col(k).cast("string") == F.col(f"_{k}"))
-        joined = rows.join(F.broadcast(models), match, "left")  # a map per group of a checked number
+        joined = rows.join(models, match, "left")  # a map per group: Spark broadcasts it while it is small
         c = F.col("coefficients")
         total = c["1"]
         for n in self.numeric:

@@ -98,7 +98,7 @@ def file_report(rows: DataFrame, tz: str) -> DataFrame:
         (F.count("label") - F.count_distinct("label")).alias("repeated_local_labels"),
     )
     conventions = label_convention(rows).select("file", "convention")
-    odd = local_day_counts(rows.join(F.broadcast(conventions), "file"), "file", "label", F.col("convention"))
+    odd = local_day_counts(rows.join(conventions, "file"), "file", "label", F.col("convention"))
     days = odd.groupBy("file").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("local_date").cast("string"), F.col("n"))))).alias("dst_days"))
     return per.join(conventions, "file").join(days, "file", "left")
 
@@ -110,7 +110,7 @@ def clean_load(rows: DataFrame, keys: list[str], bounds: DataFrame, setup: Clean
     resolve_labels' flag), the first row of an instant stays, kWh per quarter become MW, implausible values and
     gaps become missing, and gaps are interpolated by the setup's limit.
     """
-    labelled = rows.join(F.broadcast(label_convention(rows).select("file", "convention")), "file")
+    labelled = rows.join(label_convention(rows).select("file", "convention"), "file")
     instants = resolve_labels(labelled, setup.tz).filter("valid")
     single = first_per_key(instants.select(*keys, "utc_start", "file", "row_no", "energy_kwh"), [*keys, "utc_start"], ["file", "row_no"])
     power = single.select(*keys, "utc_start", (F.col("energy_kwh") * 4 / 1000).alias("load_mw"), F.lit(True).alias("observed"))

@@ -29,9 +29,10 @@ def rolling_origin_folds(first: DataFrame, n_folds: int, months: int, tz: str) -
 
 
 def fold_rows(df: DataFrame, folds: DataFrame, keys: list[str], part: str = "test", t: str = "utc_start") -> DataFrame:
-    """``df`` per fold: the test rows, or the (expanding) training rows. Folds are a few rows per key."""
+    """``df`` per fold: the test rows, or the (expanding) training rows. With keys this is an equi-join on them."""
     cond = (F.col(t) >= F.col("test_start")) & (F.col(t) < F.col("test_end")) if part == "test" else F.col(t) < F.col("train_end")
-    few = F.broadcast(folds.withColumnsRenamed({k: f"_{k}" for k in keys}))
+    few = folds.withColumnsRenamed({k: f"_{k}" for k in keys})
+    few = few if keys else F.broadcast(few)  # without keys a row per fold
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"_{k}"))
     return df.join(few, cond).drop("train_end", "test_start", "test_end", *[f"_{k}" for k in keys])
