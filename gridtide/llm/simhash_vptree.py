@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,7 +121,7 @@ class Forest:
         return True
 
 
-def close_pairs(points: np.ndarray, radius: int, bands: np.ndarray | None = None, guests: int = -1, leaf: int = 192, block: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(points: np.ndarray, radius: int, bands: np.ndarray | None = None, guests: int = -1, leaf: int = 192, cells: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of position pairs within ``radius``: every such pair once, from a vantage-point tree.
 
     With ``bands`` only pairs of one band or of neighbouring bands count, and the band ``guests`` only with the next.
@@ -129,9 +130,11 @@ def close_pairs(points: np.ndarray, radius: int, bands: np.ndarray | None = None
     rng = np.random.default_rng(3)
 
     def among(q: np.ndarray, p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        block, others = max(1, cells // max(len(p), 1)), points[p]  # as many distances at a time as memory should hold
         for at in range(0, len(q), block):
-            i, j = np.nonzero(np.bitwise_count(points[q[at : at + block], None] ^ points[p][None, :]) <= radius)
-            i, j = q[at : at + block][i], p[j]
+            mine = q[at : at + block]
+            i, j = np.nonzero(np.bitwise_count(points[mine, None] ^ others) <= radius)
+            i, j = mine[i], p[j]
             keep = (i < j) | (bands[i] != bands[j])
             if keep.any():
                 yield i[keep], j[keep]
@@ -189,10 +192,10 @@ def unpacked(data: bytes) -> np.ndarray:
     return wide.view("<u4").ravel()
 
 
-def shard_links(ids: np.ndarray, points: np.ndarray, radius: int, sets: list[bytes] | None = None, least: float = 0.0, bands: np.ndarray | None = None, guests: int = -1) -> list[tuple[int, int]]:
+def shard_links(ids: np.ndarray, points: np.ndarray, radius: int, sets: pa.Array | pa.ChunkedArray | None = None, least: float = 0.0, bands: np.ndarray | None = None, guests: int = -1) -> list[tuple[int, int]]:
     """Spanning links of a shard; with ``sets`` a pair counts only if its shingle sets are ``least`` similar."""
     forest, out = Forest(len(ids)), []
-    sizes = np.array([max(len(x) // 3, 1) for x in sets]) if sets is not None else None
+    sizes = np.maximum(set_sizes(sets), 1) if sets is not None else None
     for i, j in close_pairs(points, radius, bands, guests):
         if sizes is not None:
             fit = np.minimum(sizes[i], sizes[j]) >= least * np.maximum(sizes[i], sizes[j])
@@ -206,7 +209,7 @@ def shard_links(ids: np.ndarray, points: np.ndarray, radius: int, sets: list[byt
             i, j = i[first], j[first]
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
             if forest.find(a) != forest.find(b):
-                if sets is None or similarity(unpacked(sets[a]), unpacked(sets[b])) >= least:
+                if sets is None or similarity(unpacked(sets[a].as_py()), unpacked(sets[b].as_py())) >= least:
                     forest.join(a, b)
                     out.append((int(ids[a]), int(ids[b])))
     return out
@@ -234,7 +237,11 @@ def fingerprints(docs: DataFrame, words: int, set_words: int | None = None) -> D
 
 
 #: Bands of equal log size that share a shard; items of the last one visit the next shard as guests.
-BANDS = 4
+BANDS = 2
+
+
+def set_sizes(sets: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return pc.binary_length(sets).to_numpy() // 3
 
 
 def size_bands(sizes: np.ndarray, least: float) -> np.ndarray:
@@ -249,20 +256,17 @@ def links(items: DataFrame, n: int, fps: DataFrame, radius: int, least: float |
     the next: a second exact bound beside the triangle inequality.
     """
     verified = least is not None
-    wanted = n / shard_items / (4 if verified else 1)  # lengths spread over several shards by themselves
+    wanted = n / shard_items / (6 if verified else 1)  # sizes spread over several shards by themselves
     depth = max(0, int(np.ceil(np.log2(max(wanted, 1)))))
     some = [r["fp"] for r in fps.select("fp").distinct().orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()] if depth else []
     tree, leaves = grow(np.array(some, dtype=np.int64).view(np.uint64), depth, np.random.default_rng(1))
 
-    def bands_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-        return size_bands(np.array([len(x) // 3 for x in column.to_pylist()]), least)
-
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, leaf, _ = route(tree, batch.column(1).to_numpy().view(np.uint64), radius)
             group = np.zeros(len(at), np.int64)
             if verified and batch.num_rows:
-                band = bands_of(batch.column(2))[at]
+                band = size_bands(set_sizes(batch.column(2)), least)[at]
                 group, last = band // BANDS, np.flatnonzero(band % BANDS == BANDS - 1)
                 at, leaf, group = np.append(at, at[last]), np.append(leaf, leaf[last]), np.append(group, group[last] + 1)
             names = ["shard", "id", "fp"] + ["shingles"] * verified
@@ -274,7 +278,8 @@ def links(items: DataFrame, n: int, fps: DataFrame, radius: int, least: float |
         ids, points = shard.column("id").to_numpy(), shard.column("fp").to_numpy().view(np.uint64)
         if verified:
             guests = shard.column("shard")[0].as_py() // leaves * BANDS - 1
-            found = shard_links(ids, points, radius, shard.column("shingles").to_pylist(), least, bands_of(shard.column("shingles")), guests)
+            sets = shard.column("shingles").combine_chunks()
+            found = shard_links(ids, points, radius, sets, least, size_bands(set_sizes(sets), least), guests)
         else:
             found = shard_links(ids, points, radius)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
@@ -300,7 +305,7 @@ def fingerprint_components(docs: DataFrame, words: int = 3, radius: int = 2, sha
     return prints.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, set_words: int = 5, radius: int = 12, least: float = 0.8, shard_items: int = 32_768) -> DataFrame:
+def near_duplicates(docs: DataFrame, set_words: int = 5, radius: int = 12, least: float = 0.8, shard_items: int = 65_536) -> DataFrame:
     """doc_id, component_id: documents whose five-word shingle sets are ``least`` similar, found by fingerprints.
 
     Fingerprints (of the words in a text) within ``radius`` bits propose a pair and the shingle sets decide, exactly
