@@ -8,18 +8,18 @@ weights fold into one table of a row per bucket.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 13
 SIZES = (2, 3, 4)
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 #: ASCII other than letters becomes a space; n-grams run over words with their borders.
 TO_SPACE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
