@@ -1,9 +1,12 @@
 """Line dedup by content-defined chunks, in DataFrame operations only.
 
-Every line is hashed; a rolling hash over the last two line hashes ends a chunk where it is zero modulo ``DIVISOR``.
-The cut depends on nearby lines alone, so a passage that stands elsewhere, at any offset, is cut at the same places
-from its second line on. A chunk of two lines or more whose text stands in the corpus before (by doc_id, then
-position) is removed. Hashes only propose repeats: chunks are grouped by their text itself.
+Every line is hashed, and a rolling hash over the last two line hashes decides where chunks end: it is even or odd, and
+a document is cut twice, after its even and after its odd lines. The cuts depend on nearby lines alone, so a passage
+that stands elsewhere, at any offset, is cut at the same places from its second line on; two cuts, because a line that
+lies in no whole chunk of one mostly does in the other. A chunk of two lines or more whose text stands in the corpus
+before (by doc_id, then position) is removed. Hashes only propose repeats: chunks are grouped by their text itself.
+
+Every removed line has an equal line at an earlier place, so the first place of a passage always keeps it.
 """
 
 from __future__ import annotations
@@ -13,54 +16,68 @@ from pyspark.sql import functions as F
 
 from gridtide.llm.shared import stored
 
-DIVISOR = 2
+CUTS = 2
 BASE, MODULUS = 1_000_003, 2_147_483_647
 MIN_LINES = 2
+NO_LINES = "cast(array() as array<string>)"
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, text, rid: the row's identity."""
+    """doc_id, rid (the row's identity), lines. NULL text has no line."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return base.withColumn("rid", F.xxhash64("doc_id", "text"))
+    return base.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
+
 
+def with_lines(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("lines", F.coalesce(F.split("text", "\n", -1), F.expr(NO_LINES)))
 
-def with_chunks(rows: DataFrame) -> DataFrame:
-    """``rows`` with lines and chunks, an array of (pos, first, n, text), in place of text. NULL text has no line."""
-    lines = rows.withColumn("lines", F.coalesce(F.split("text", "\n", -1), F.array().cast("array<string>"))).drop("text")
-    hashed = lines.withColumn("h", F.expr("transform(lines, l -> cast(conv(substring(md5(l), 1, 7), 16, 10) as long))"))
-    ends = F.expr(f"filter(sequence(0, size(lines) - 1), i -> i = size(lines) - 1 OR pmod((CASE WHEN i = 0 THEN 0L ELSE h[i - 1] END * {BASE} + h[i]) % {MODULUS}, {DIVISOR}) = 0)")
-    cut = hashed.withColumn("ends", F.when(F.size("lines") > 0, ends).otherwise(F.array().cast("array<int>"))).drop("h")
-    chunks = F.expr("""
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """doc_id, rid, cut, first (line), n (lines), text of every chunk of both cuts."""
+    rows = with_lines(identified(docs)).drop("text")
+    hashed = rows.withColumn("h", F.expr("transform(lines, l -> cast(conv(substring(md5(l), 1, 7), 16, 10) as long))"))
+    rolled = hashed.withColumn("r", F.expr(f"transform(h, (x, i) -> (CASE WHEN i = 0 THEN 0L ELSE h[i - 1] END * {BASE} + x) % {MODULUS} % {CUTS})")).drop("h")
+    # Outer: for a plain explode the optimizer infers a filter on the array and computes its nested lambdas in it anew.
+    each = rolled.withColumn("cut", F.explode_outer(F.array(*[F.lit(c) for c in range(CUTS)])))
+    ended = each.withColumn("ends", F.expr("CASE WHEN size(lines) > 0 THEN filter(sequence(0, size(lines) - 1), i -> i = size(lines) - 1 OR r[i] = cut) ELSE cast(array() as array<int>) END")).drop("r")
+    cut = F.expr("""
         transform(ends, (e, k) -> transform(array(CASE WHEN k = 0 THEN 0 ELSE ends[k - 1] + 1 END), s -> named_struct(
-            'pos', k, 'first', s, 'n', e - s + 1, 'text', array_join(slice(lines, s + 1, e - s + 1), '\n')))[0])""")
-    return cut.withColumn("chunks", chunks).drop("ends")
+            'first', s, 'n', e - s + 1, 'text', array_join(slice(lines, s + 1, e - s + 1), '\n')))[0])""")
+    return ended.select("doc_id", "rid", "cut", F.explode_outer(cut).alias("c")).select("doc_id", "rid", "cut", "c.*").filter("n is not null")
 
 
 def repeated_chunks(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """rid, pos of every chunk of ``min_lines`` lines or more whose text stands earlier in the corpus."""
-    # Outer: for a plain explode the optimizer infers a filter on the array and computes its nested lambdas in it anew.
-    exploded = with_chunks(identified(docs)).select("doc_id", "rid", F.explode_outer("chunks").alias("c")).select("doc_id", "rid", "c.pos", "c.n", "c.text").filter(F.col("n") >= min_lines)
-    keyed = exploded.withColumn("key", F.xxhash64("text"))
-    twice = stored(keyed.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key"), "chunk-keys")
-    found = stored(keyed.join(twice, "key", "left_semi").select("key", "text", F.struct(F.col("doc_id"), F.col("rid"), F.col("pos")).alias("place")), "chunks")
-    first = stored(found.groupBy("key", "text").agg(F.min("place").alias("first")), "chunk-firsts")
-    later = found.join(first, ["key", "text"]).filter("place <> first")
-    return later.select("place.rid", "place.pos").distinct()
+    """rid, first, n of every chunk of ``min_lines`` lines or more whose text stands earlier in the corpus.
+
+    Only keys and places of all chunks are shuffled; texts are fetched again for the places whose key repeats. Merge
+    hints keep the joins alike at every size: what they join grows with the corpus.
+    """
+    places = stored(chunks(docs).filter(F.col("n") >= min_lines).select("rid", "cut", "first", "n", F.xxhash64("text").alias("key")), "chunk-places")
+    twice = places.groupBy("cut", "key").agg(F.count("*").alias("times")).filter("times > 1").select("cut", "key")
+    asked = places.join(twice.hint("merge"), ["cut", "key"], "left_semi").groupBy("rid").agg(F.collect_set(F.struct("cut", "first", "n")).alias("asked"))
+    rows = with_lines(identified(docs).join(asked.hint("merge"), "rid")).drop("text")
+    each = rows.select("doc_id", "rid", "lines", F.explode("asked").alias("c"))
+    place = F.struct("doc_id", "rid", F.col("c.first").alias("line"))
+    found = stored(each.select("c.cut", "c.n", F.expr("array_join(slice(lines, c.first + 1, c.n), '\n')").alias("text"), place.alias("place")), "chunks")
+    earliest = stored(found.groupBy("cut", "text").agg(F.min("place").alias("earliest")), "chunk-firsts")
+    later = found.join(earliest.hint("merge"), ["cut", "text"]).filter("place <> earliest")
+    return later.select("place.rid", F.col("place.line").alias("first"), "n").distinct()
 
 
 def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """doc_id, text (without the repeated chunks), n_lines, n_chunks, removed_chunks, removed_lines of every row.
+    """doc_id, text (without the repeated chunks), n_lines, removed_chunks, removed_lines of every row.
 
     NULL doc_id sorts first. NULL text stays NULL. Rows equal in doc_id and text share one fate: their chunks repeat
     earlier rows, never each other. An empty line ends like any other; a text of one line has no multi-line chunk.
     """
-    removed = stored(repeated_chunks(docs, min_lines).groupBy("rid").agg(F.collect_set("pos").alias("gone")), "chunks-gone")
-    marked = identified(docs).join(removed, "rid", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    rows = with_chunks(marked)  # after the join: the shuffle carries the text alone
-    kept = F.expr("filter(chunks, c -> NOT array_contains(gone, c.pos))")
-    text = F.when(F.size("lines") > 0, F.array_join(F.transform(kept, lambda c: c["text"]), "\n"))
-    lost = F.expr("aggregate(filter(chunks, c -> array_contains(gone, c.pos)), 0L, (s, c) -> s + c.n)")
-    return rows.select("doc_id", text.alias("text"), F.size("lines").cast("long").alias("n_lines"), F.size("chunks").cast("long").alias("n_chunks"), F.size("gone").cast("long").alias("removed_chunks"), lost.alias("removed_lines"))
+    spans = F.collect_set(F.struct("first", "n")).alias("gone")
+    removed = stored(repeated_chunks(docs, min_lines).groupBy("rid").agg(spans), "chunks-gone")
+    # Lines are split after the join, so the shuffle carries the text alone.
+    rows = with_lines(identified(docs).join(removed.hint("merge"), "rid", "left"))
+    kept = F.expr("CASE WHEN gone IS NULL THEN lines ELSE filter(lines, (l, i) -> NOT exists(gone, g -> i >= g.first AND i < g.first + g.n)) END")
+    out = rows.withColumn("kept", kept)
+    text = F.when(F.col("text").isNotNull(), F.array_join("kept", "\n"))
+    return out.select("doc_id", text.alias("text"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_chunks"), (F.size("lines") - F.size("kept")).cast("long").alias("removed_lines"))
 
 
 #: The same in DuckDB, chunk by chunk in relations; documents are equal by (doc_id, text).
@@ -68,14 +85,15 @@ ORACLE = f"""
 WITH d AS (SELECT DISTINCT doc_id, text FROM documents),
 l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM d WHERE text IS NOT NULL),
 h AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM l),
-b AS (SELECT *, ((coalesce(lag(h) OVER w, 0) * {BASE} + h) % {MODULUS}) % {DIVISOR} = 0 AS is_end FROM h WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)),
-c AS (SELECT *, coalesce(sum(is_end::INT) OVER (PARTITION BY doc_id, text ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM b),
-chunk AS (SELECT doc_id, text, pos, string_agg(line, chr(10) ORDER BY i) AS part, count(*) AS n FROM c GROUP BY doc_id, text, pos),
-ranked AS (SELECT *, n >= {MIN_LINES} AND row_number() OVER (PARTITION BY part, n >= {MIN_LINES} ORDER BY doc_id, pos) > 1 AS gone FROM chunk),
-per AS (SELECT doc_id, text, sum(n)::BIGINT AS n_lines, count(*)::BIGINT AS n_chunks, sum(gone::INT)::BIGINT AS removed_chunks,
-               sum(CASE WHEN gone THEN n ELSE 0 END)::BIGINT AS removed_lines,
-               coalesce(string_agg(part, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM ranked GROUP BY doc_id, text)
-SELECT x.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_chunks, 0) AS n_chunks, coalesce(removed_chunks, 0) AS removed_chunks,
-       coalesce(removed_lines, 0) AS removed_lines, sha256(kept) AS kept_sha256
-FROM documents x LEFT JOIN per ON x.doc_id IS NOT DISTINCT FROM per.doc_id AND x.text = per.text
+b AS (SELECT *, ((coalesce(lag(h) OVER w, 0) * {BASE} + h) % {MODULUS}) % {CUTS} AS r FROM h WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)),
+c AS (SELECT doc_id, text, line, i, cut, coalesce(sum((r = cut)::INT) OVER (PARTITION BY doc_id, text, cut ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+      FROM b, (SELECT unnest(range(0, {CUTS})) AS cut)),
+chunk AS (SELECT doc_id, text, cut, pos, min(i) AS first, string_agg(line, chr(10) ORDER BY i) AS part, count(*) AS n FROM c GROUP BY doc_id, text, cut, pos HAVING count(*) >= {MIN_LINES}),
+gone AS (SELECT DISTINCT doc_id, text, first, n FROM (SELECT *, row_number() OVER (PARTITION BY cut, part ORDER BY doc_id, first) AS k FROM chunk) WHERE k > 1),
+lost AS (SELECT DISTINCT l.doc_id, l.text, l.i FROM l JOIN gone g ON g.doc_id = l.doc_id AND g.text = l.text AND l.i >= g.first AND l.i < g.first + g.n),
+per AS (SELECT l.doc_id, l.text, count(*)::BIGINT AS n_lines, count(lost.i)::BIGINT AS removed_lines, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (lost.i IS NULL), '') AS kept
+        FROM l LEFT JOIN lost ON lost.doc_id = l.doc_id AND lost.text = l.text AND lost.i = l.i GROUP BY l.doc_id, l.text),
+cg AS (SELECT doc_id, text, count(*)::BIGINT AS removed_chunks FROM gone GROUP BY doc_id, text)
+SELECT x.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(removed_chunks, 0) AS removed_chunks, coalesce(removed_lines, 0) AS removed_lines, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents x LEFT JOIN per ON x.doc_id IS NOT DISTINCT FROM per.doc_id AND x.text = per.text LEFT JOIN cg ON cg.doc_id = x.doc_id AND cg.text = x.text
 """

@@ -59,7 +59,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_chunks.deduplicated(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "removed_chunks", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

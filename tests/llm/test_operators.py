@@ -79,7 +79,7 @@ def test_shared_passage_is_removed_once(spark):
     out = {r["doc_id"]: r for r in line_chunks.deduplicated(texts(spark, rows)).collect()}
     assert out[0]["text"] == rows[0] and out[0]["removed_lines"] == 0
     for d in range(1, 5):
-        assert out[d]["removed_lines"] >= 6 and all(f"own {d} {i}" in out[d]["text"] for i in range(d)) and f"end {d}" in out[d]["text"]
+        assert out[d]["removed_lines"] >= 9 and all(f"own {d} {i}" in out[d]["text"] for i in range(d)) and f"end {d}" in out[d]["text"]
 
 
 def test_line_chunks_edges(spark, edges, empty):
