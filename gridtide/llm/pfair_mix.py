@@ -22,7 +22,7 @@ from gridtide.llm.shared import stored
 NO_SOURCE = "(none)"
 BLOCK_CHARS = 65_536
 PERIOD = 1_000
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 
 
 def order_key(doc_id: Column) -> Column:
@@ -94,12 +94,12 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = BL
     running = bucketed.withColumn("run", F.coalesce(F.sum("chars").over(inside), F.lit(0))).join(offsets, ["source", "bucket"])
     blocks = running.withColumn("block", F.expr(f"(offset + run) div {block_chars}"))
 
-    epoch = totals.agg(F.sum(F.greatest(F.ceil(F.col("chars") / block_chars), F.lit(1))).alias("epoch"))
-    per_source = plan.select("source", "slots", "period").distinct().crossJoin(F.broadcast(epoch))  # one row beside a row per source
+    epoch = totals.agg(F.sum(F.greatest(F.ceil(F.col("chars") / block_chars), F.lit(1)))).first()[0] or 0
+    per_source = plan.select("source", "slots", "period").distinct()  # a row per source, a part of the plan
     turned = blocks.join(F.broadcast(per_source), "source").withColumn("turn", F.expr("block % slots + 1")).withColumn("start", F.expr("block div slots * period"))
     slotted = turned.join(F.broadcast(plan.select("source", "turn", "slot", "release", "deadline")), ["source", "turn"])  # a period's rows
     shifted = [(F.col("start") + F.col(c)).alias(c) for c in ("slot", "release", "deadline")]
-    return slotted.select("doc_id", "source", "chars", "block", *shifted, (F.col("start") + F.col("slot") < F.col("epoch")).alias("in_epoch"))
+    return slotted.select("doc_id", "source", "chars", "block", *shifted, (F.col("start") + F.col("slot") < F.lit(epoch)).alias("in_epoch"))
 
 
 #: The same in DuckDB: a recursive table fills the period, plain windows replace the buckets.
