@@ -85,9 +85,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = BL
     plan = stored(period_plan(slots_per_period(given, period)), "mix-plan")
 
     # Running characters in two steps: inside (source, bucket), then over the buckets' sums. A hot source is many buckets.
-    largest = totals.agg(F.max("docs")).first()[0] or 1
-    buckets = -(-largest // ROWS_PER_BUCKET)
-    bucketed = rows.withColumn("bucket", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("long"))
+    sizes = totals.select("source", F.ceil(F.col("docs") / ROWS_PER_BUCKET).alias("buckets"))  # a row per source
+    place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("buckets") / F.lit(2**32)
+    bucketed = rows.join(F.broadcast(sizes), "source").withColumn("bucket", place.cast("long")).drop("buckets")
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bucketed.groupBy("source", "bucket").agg(F.sum("chars").alias("sum")).select("source", "bucket", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "chars").rowsBetween(Window.unboundedPreceding, -1)
