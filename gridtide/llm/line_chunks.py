@@ -7,6 +7,10 @@ lies in no whole chunk of one mostly does in the other. A chunk of two lines or
 before (by doc_id, then position) is removed. Hashes only propose repeats: chunks are grouped by their text itself.
 
 Every removed line has an equal line at an earlier place, so the first place of a passage always keeps it.
+
+The chunks miss short passages: the first line of one is cut by the foreign line before it. ``without_passages`` is the
+exact form: every pair of neighbouring lines, and every line of over LONG_LINE words, is a key of its own, so all of a
+repeated passage goes wherever it starts.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from gridtide.llm.shared import stored
 CUTS = 2
 BASE, MODULUS = 1_000_003, 2_147_483_647
 MIN_LINES = 2
+LONG_LINE = 50
 NO_LINES = "cast(array() as array<string>)"
 
 
@@ -80,6 +85,46 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return out.select("doc_id", text.alias("text"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_chunks"), (F.size("lines") - F.size("kept")).cast("long").alias("removed_lines"))
 
 
+def passage_keys(docs: DataFrame) -> DataFrame:
+    """doc_id, rid, line, n (2: this line and the next, 1: a long line), key of every pair of lines and long line.
+
+    Keys are SHA-256 of the text, so equal keys are equal texts. A pair of lines of spaces only is no passage.
+    """
+    rows = with_lines(identified(docs)).drop("text")
+    key = "unhex(sha2({}, 256))"
+    pair = F.expr(f"""
+        CASE WHEN size(lines) > 1 THEN transform(sequence(0, size(lines) - 2), i -> CASE WHEN trim(lines[i]) <> '' OR trim(lines[i + 1]) <> '' THEN
+            named_struct('line', i, 'n', 2, 'key', {key.format("concat(lines[i], '\n', lines[i + 1])")}) END) END""")
+    long = F.expr(f"""
+        transform(lines, (l, i) -> CASE WHEN length(l) > 2 * {LONG_LINE} AND regexp_count(l, '[^ \\\\t\\\\r]+') > {LONG_LINE} THEN
+            named_struct('line', i, 'n', 1, 'key', {key.format("l")}) END)""")
+    # Outer, as in chunks.
+    each = rows.select("doc_id", "rid", F.explode_outer(F.concat(F.coalesce(pair, F.expr("array()")), long)).alias("p"))
+    return each.select("doc_id", "rid", "p.*").filter("key is not null")
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """rid, line: every line of a passage (two lines or more, or one long line) that stands earlier in the corpus."""
+    keys = stored(passage_keys(docs).withColumn("place", F.struct("doc_id", "rid", "line")).select("place", "n", "key"), "passage-places")
+    earliest = keys.groupBy("n", "key").agg(F.min("place").alias("earliest"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    later = keys.join(earliest.hint("merge"), ["n", "key"]).filter("place <> earliest")
+    return later.select("place.rid", F.explode(F.expr("sequence(place.line, place.line + n - 1)")).alias("line")).distinct()
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """doc_id, text (without the repeated passages), n_lines, removed_passages (runs of removed lines), removed_lines.
+
+    NULL doc_id, NULL text and rows that are equal in doc_id and text are treated as in ``deduplicated``.
+    """
+    gone = stored(repeated_lines(docs).groupBy("rid").agg(F.sort_array(F.collect_set("line")).alias("gone")), "passages-gone")
+    rows = with_lines(identified(docs).join(gone.hint("merge"), "rid", "left"))
+    kept = F.expr("CASE WHEN gone IS NULL THEN lines ELSE filter(lines, (l, i) -> NOT array_contains(gone, i)) END")
+    out = rows.withColumn("kept", kept)
+    text = F.when(F.col("text").isNotNull(), F.array_join("kept", "\n"))
+    runs = F.expr("size(filter(gone, (x, k) -> k = 0 OR gone[k - 1] < x - 1))")
+    return out.select("doc_id", text.alias("text"), F.size("lines").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(runs).cast("long").alias("removed_passages"), (F.size("lines") - F.size("kept")).cast("long").alias("removed_lines"))
+
+
 #: The same in DuckDB, chunk by chunk in relations; documents are equal by (doc_id, text).
 ORACLE = f"""
 WITH d AS (SELECT DISTINCT doc_id, text FROM documents),

@@ -62,6 +62,11 @@ def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "removed_chunks", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_chunks.without_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "removed_passages", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair_mix.mix(table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_line_chunks": op2_line_chunks,
+    "op2_line_passages": op2_line_passages,
     "op3_simhash": op3_simhash,
     "op4_pfair_mix": op4_pfair_mix,
     "op5_decontamination": op5_decontamination,

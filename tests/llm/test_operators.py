@@ -89,6 +89,43 @@ def test_line_chunks_edges(spark, edges, empty):
     assert line_chunks.deduplicated(empty).count() == 0
 
 
+def brute_passages(rows):
+    """(doc_id, text) -> lines left, by pairs of lines and long lines seen before."""
+    seen, out = set(), {}
+    for d, text in sorted(rows):
+        lines, gone = text.split("\n"), set()
+        for i, line in enumerate(lines):
+            parts = [lines[i : i + 2]] * (i + 1 < len(lines) and "".join(lines[i : i + 2]).strip() != "") + [[line]] * (len(line.split()) > 50)
+            for part in parts:
+                gone |= set(range(i, i + len(part))) if tuple(part) in seen else set()
+                seen.add(tuple(part))
+        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
+def test_every_repeated_passage_goes(spark, n):
+    passages = [[f"p{k} {i} " + f"word{k}{i} " * 60 for i in range(n)] for k in range(20)]
+    rows = ["\n".join([f"a{k}", *p, f"b{k}"]) for k, p in enumerate(passages)] + ["\n".join([f"c{k}", f"d{k}", *p, f"e{k}"]) for k, p in enumerate(passages)]
+    out = {r["doc_id"]: r for r in line_chunks.without_passages(texts(spark, rows)).collect()}
+    for k in range(20):
+        assert out[k]["text"] == rows[k] and out[k]["removed_lines"] == 0
+        assert out[20 + k]["text"] == f"c{k}\nd{k}\ne{k}" and (out[20 + k]["removed_passages"], out[20 + k]["removed_lines"]) == (1, n)
+
+
+def test_passages_equal_brute_force(spark, docs, edges, empty):
+    rng = random.Random(4)
+    rows = ["\n".join(rng.choice(["", "a", "b", "c", "x " * 51, "y " * 50, "d"]) for _ in range(rng.randrange(12))) for _ in range(60)]
+    got = {r["doc_id"]: r["text"] for r in line_chunks.without_passages(texts(spark, rows)).collect()}
+    assert got == brute_passages(enumerate(rows))
+    plain = docs.filter("text is not null and doc_id is not null")
+    got = {r["doc_id"]: r["text"] for r in line_chunks.without_passages(plain).collect()}
+    assert got == brute_passages([(r["doc_id"], r["text"]) for r in plain.collect()])
+    out = line_chunks.without_passages(edges)
+    assert out.count() == len(EDGES) and out.filter("doc_id = 1 and text is null and n_lines = 0").count() == 1
+    assert out.filter("doc_id = 5 and removed_lines > 0").count() == 0 and line_chunks.without_passages(empty).count() == 0
+
+
 # 3 SimHash
 
 
