@@ -8,7 +8,9 @@ period is a small fixed table whatever the data's size, and a block's slot is it
 
 A source that has run out leaves its slots empty, so the others keep their proportions and no document is dropped.
 An epoch has as many slots as the corpus has blocks: what an over-represented source holds beyond its share of it
-lies past the epoch's end (``in_epoch`` is false).
+lies past the epoch's end (``in_epoch`` is false). Blocks are counted whole there, so a source far below a block may
+lie past the end as well. Whether a document is surplus is another question, in characters: ``in_share`` is false only
+for what starts beyond its source's share of all characters, so never in a source at or under its share.
 """
 
 from __future__ import annotations
@@ -35,6 +37,17 @@ def tempered_weights(totals: DataFrame, power: float = 0.9) -> DataFrame:
     return totals.select("source", F.pow(F.greatest(F.col("chars"), F.lit(1)).cast("double"), F.lit(power)).alias("weight"))
 
 
+def share_chars(totals: DataFrame, weights: DataFrame) -> DataFrame:
+    """source, share: the characters of the corpus that the source's weight stands for; NULL (no bound) if it has no more.
+
+    Rounded to a thousandth before rounding up, so that floating-point sums never make a full share one too small.
+    """
+    every = Window.partitionBy(F.lit(0))  # a row per source
+    share = F.sum("chars").over(every) * (F.col("weight") / F.sum("weight").over(every))
+    sized = totals.join(weights, "source").withColumn("share", F.ceil(F.round(share, 3)).cast("long"))
+    return sized.select("source", F.when(F.col("chars") > F.col("share"), F.col("share")).alias("share"))
+
+
 def slots_per_period(weights: DataFrame, period: int = PERIOD) -> DataFrame:
     """source, slots, period: whole slots by largest remainder, one at least; the period grows with many sources."""
     every = Window.partitionBy(F.lit(0))  # a row per source
@@ -71,7 +84,7 @@ def period_plan(slots: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
-    """doc_id, source, chars, block, slot, release, deadline, in_epoch for every row of ``docs`` (doc_id, text, source).
+    """doc_id, source, chars, block, slot, release, deadline, in_epoch, in_share for every row of ``docs`` (doc_id, text, source).
 
     ``weights`` (source, weight; a row per source) default to tempered sizes; sources without a weight get the
     smallest share. NULL source is a source of its own, NULL text has no characters, NULL doc_id sorts as empty text.
@@ -82,7 +95,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = BL
     totals = rows.groupBy("source").agg(F.sum("chars").alias("chars"), F.count("*").alias("docs"))
     totals = stored(totals, "mix-totals")
     given = tempered_weights(totals) if weights is None else totals.select("source").join(weights, "source", "left").select("source", F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"))
+    given = stored(given, "mix-weights")
     plan = stored(period_plan(slots_per_period(given, period)), "mix-plan")
+    shares = share_chars(totals, given)
 
     # Running characters in two steps: inside (source, bucket), then over the buckets' sums. A hot source is many buckets.
     sizes = totals.select("source", F.ceil(F.col("docs") / ROWS_PER_BUCKET).alias("buckets"))  # a row per source
@@ -98,8 +113,10 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = BL
     per_source = plan.select("source", "slots", "period").distinct()  # a row per source, a part of the plan
     turned = blocks.join(F.broadcast(per_source), "source").withColumn("turn", F.expr("block % slots + 1")).withColumn("start", F.expr("block div slots * period"))
     slotted = turned.join(F.broadcast(plan.select("source", "turn", "slot", "release", "deadline")), ["source", "turn"])  # a period's rows
+    bounded = slotted.join(F.broadcast(shares), "source", "left")  # a row per source
+    in_share = (F.col("offset") + F.col("run") < F.col("share")) | F.col("share").isNull()
     shifted = [(F.col("start") + F.col(c)).alias(c) for c in ("slot", "release", "deadline")]
-    return slotted.select("doc_id", "source", "chars", "block", *shifted, (F.col("start") + F.col("slot") < F.lit(epoch)).alias("in_epoch"))
+    return bounded.select("doc_id", "source", "chars", "block", *shifted, (F.col("start") + F.col("slot") < F.lit(epoch)).alias("in_epoch"), in_share.alias("in_share"))
 
 
 #: The same in DuckDB: a recursive table fills the period, plain windows replace the buckets.

@@ -68,7 +68,7 @@ def op2_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pfair_mix.mix(table(spark, sf_dir, "documents"))
+    return pfair_mix.mix(table(spark, sf_dir, "documents")).drop("in_share")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

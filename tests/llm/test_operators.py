@@ -231,6 +231,22 @@ def test_mix_edges(spark, edges, empty, docs):
     assert pfair_mix.mix(docs, given, block_chars=2000).count() == docs.count()
 
 
+@pytest.mark.parametrize("sizes", [[60_000] * 10 + [20_000] * 10, [300_000] + [2_000] * 12, [0, 10, 500]])
+def test_sources_under_their_share_keep_everything(spark, sizes):
+    import corpus_pipeline
+
+    rows = [(1000 * s + k, "x" * (size // 5), f"s{s:02}") for s, size in enumerate(sizes) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r["source"]: (r["n"], r["c"]) for r in corpus_pipeline.source_mix(spark, docs, "").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).collect()}
+    weights = [max(size, 1) ** 0.9 for size in sizes]
+    for s, size in enumerate(sizes):
+        share = sum(sizes) * weights[s] / sum(weights)
+        if size <= share:
+            assert kept[f"s{s:02}"][0] == 5
+        else:  # whole documents until the share is reached
+            assert share <= kept[f"s{s:02}"][1] < share + size // 5 + 1
+
+
 # 5 decontamination
 
 
