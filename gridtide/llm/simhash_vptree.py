@@ -181,17 +181,34 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+#: Sets of up to this many shingles keep all 64 bits of their hashes.
+FEW = 64
+
+
 def packed(h: np.ndarray) -> bytes:
-    """The sorted set of the hashes' upper 24 bits, three bytes each."""
-    return np.unique(h >> np.uint64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    """The sorted set of the hashes after a byte that names their width: eight bytes each, three (the upper) for many."""
+    full = np.unique(h)
+    if len(full) <= FEW:
+        return b"\x08" + full.astype("<u8").tobytes()
+    return b"\x03" + np.unique(full >> np.uint64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
+    if data[0] == 8:
+        return np.frombuffer(data, dtype="<u8", offset=1)
     wide = np.zeros((len(data) // 3, 4), dtype=np.uint8)
-    wide[:, :3] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 3)
+    wide[:, :3] = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(-1, 3)
     return wide.view("<u4").ravel()
 
 
+def set_similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two packed sets; a set of full hashes meets a longer one by its upper 24 bits."""
+    x, y = unpacked(a), unpacked(b)
+    if a[0] != b[0]:
+        x, y = (np.unique(v >> np.uint64(40)).astype(np.uint32) if v.dtype == np.uint64 else v for v in (x, y))
+    return similarity(x, y)
+
+
 def shard_links(ids: np.ndarray, points: np.ndarray, radius: int, sets: pa.Array | pa.ChunkedArray | None = None, least: float = 0.0, bands: np.ndarray | None = None, guests: int = -1) -> list[tuple[int, int]]:
     """Spanning links of a shard; with ``sets`` a pair counts only if its shingle sets are ``least`` similar."""
     forest, out = Forest(len(ids)), []
@@ -209,31 +226,42 @@ def shard_links(ids: np.ndarray, points: np.ndarray, radius: int, sets: pa.Array
             i, j = i[first], j[first]
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
             if forest.find(a) != forest.find(b):
-                if sets is None or similarity(unpacked(sets[a].as_py()), unpacked(sets[b].as_py())) >= least:
+                if sets is None or set_similarity(sets[a].as_py(), sets[b].as_py()) >= least:
                     forest.join(a, b)
                     out.append((int(ids[a]), int(ids[b])))
     return out
 
 
-def fingerprints(docs: DataFrame, words: int, set_words: int | None = None) -> DataFrame:
-    """doc_id, fingerprint (signed 64 bits) of every row; with ``set_words`` also the sorted set of shingle hashes."""
+def fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, fingerprint (signed 64 bits) of every row."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [fingerprint(hashes(text.as_py() or b"", words)) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, fp long")
+
+
+def shingle_sets(docs: DataFrame, set_words: int) -> DataFrame:
+    """doc_id, fp (of the set of words), shingles (packed), set_key (XXH64 of the full sorted hashes) of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sets = [], []
+            prints, sets, keys = [], [], []
             for text in batch.column(1):
                 text = text.as_py() or b""
-                if set_words:
-                    # Word variety, not word frequency: a replaced word moves few bits, and the set below decides.
-                    prints.append(fingerprint(np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(text.lower().split())], dtype=np.uint64)))
-                    sets.append(packed(hashes(text, set_words)))
-                else:
-                    prints.append(fingerprint(hashes(text, words)))
-            columns = [batch.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.binary())] if set_words else columns, names=["doc_id", "fp", "shingles"][: 3 if set_words else 2])
+                # Word variety, not word frequency: a replaced word moves few bits, and the set decides.
+                prints.append(fingerprint(np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(text.lower().split())], dtype=np.uint64)))
+                full = np.unique(hashes(text, set_words))
+                sets.append(packed(full))
+                keys.append(xxhash.xxh64_intdigest(full.astype("<u8").tobytes(), SEED))
+            signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (prints, keys)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed[0], pa.array(sets, pa.binary()), signed[1]], names=["doc_id", "fp", "shingles", "set_key"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long" + (", shingles binary" if set_words else ""))
+    return rows.mapInArrow(run, "doc_id long, fp long, shingles binary, set_key long")
 
 
 #: Bands of equal log size that share a shard; items of the last one visit the next shard as guests.
@@ -241,7 +269,8 @@ BANDS = 2
 
 
 def set_sizes(sets: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return pc.binary_length(sets).to_numpy() // 3
+    width = np.where(pc.equal(pc.binary_slice(sets, 0, 1), b"\x08").to_numpy(zero_copy_only=False), 8, 3) if isinstance(sets, pa.Array) else np.array([v.as_py()[0] for v in sets])
+    return (pc.binary_length(sets).to_numpy() - 1) // width
 
 
 def size_bands(sizes: np.ndarray, least: float) -> np.ndarray:
@@ -308,13 +337,12 @@ def fingerprint_components(docs: DataFrame, words: int = 3, radius: int = 2, sha
 def near_duplicates(docs: DataFrame, set_words: int = 5, radius: int = 12, least: float = 0.8, shard_items: int = 65_536) -> DataFrame:
     """doc_id, component_id: documents whose five-word shingle sets are ``least`` similar, found by fingerprints.
 
-    Fingerprints (of the words in a text) within ``radius`` bits propose a pair and the shingle sets decide, exactly
-    up to collisions of 24-bit hashes. component_id is the smallest doc_id of the group. Equal sets (NULL and blank
+    Fingerprints (of the words in a text) within ``radius`` bits propose a pair and the shingle sets decide: by 64-bit
+    hashes up to FEW shingles, beyond that by 24 bits, where a few chance equals cannot matter. component_id is the smallest doc_id of the group. Equal sets (NULL and blank
     texts too) are one item. Rows with NULL doc_id are left out: they have no name to be kept under.
     """
-    prints = fingerprints(docs.filter("doc_id is not null"), set_words, set_words)
     # A short text has no shingle of its own size: its whole word sequence stands in (see shingles).
-    keyed = stored(prints.withColumn("set_key", F.xxhash64("shingles")), "fingerprints")
+    keyed = stored(shingle_sets(docs.filter("doc_id is not null"), set_words), "fingerprints")
     least_id = F.min_by(F.struct("fp", "shingles"), "doc_id")
     items = keyed.groupBy("set_key").agg(F.min("doc_id").alias("id"), least_id.alias("x")).select("id", "x.fp", "x.shingles")
     names = stored(keyed.groupBy("set_key").agg(F.min("doc_id").alias("id")), "items")

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -194,6 +195,26 @@ def test_near_duplicates(spark):
     assert got[15] == 15 and got[16] == got[17] == 16
 
 
+def test_short_texts_stay_apart(spark):
+    """Five-word texts whose only shingle agrees in the upper 24 bits with another's."""
+    seen, rows = {}, []
+    for i in range(60_000):
+        text = f"a b c d w{i}"
+        other = seen.setdefault(simhash_vptree.hashes(text.encode(), 5)[0] >> np.uint64(40), text)
+        rows += [other, text] if other != text else []
+    rows = sorted(set(rows))
+    assert len(rows) > 20
+    assert all(r["doc_id"] == r["component_id"] for r in simhash_vptree.near_duplicates(texts(spark, rows)).collect())
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 300])
+def test_packed_sets(n):
+    h = np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64)
+    a, b = simhash_vptree.packed(h), simhash_vptree.packed(h[: n - n // 10])
+    assert simhash_vptree.set_sizes(pa.array([a, b], pa.binary())).tolist() == [n, n - n // 10]
+    assert simhash_vptree.set_similarity(a, b) == pytest.approx((n - n // 10) / n) and simhash_vptree.set_similarity(a, a) == 1
+
+
 def test_simhash_edges(spark, edges, empty):
     out = simhash_vptree.fingerprint_components(edges)
     assert out.count() == len(EDGES)
