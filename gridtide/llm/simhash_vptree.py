@@ -7,6 +7,8 @@
 3. In a shard a vantage-point tree is searched with blocks of queries; links join a union-find at once, so a shard
    gives at most one link per item (a spanning forest), never all pairs of a group.
 4. Connected components run over these links in Spark.
+5. Where links are verified, what the fingerprints miss is found exactly: two similar sets share one of their first
+   shingles in a common order (prefix filter). Pairs across components that share one are verified too.
 """
 
 from __future__ import annotations
@@ -244,12 +246,42 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def shingle_sets(docs: DataFrame, set_words: int) -> DataFrame:
-    """doc_id, fp (of the set of words), shingles (packed), set_key (XXH64 of the full sorted hashes) of every row."""
+def common_shingles(docs: DataFrame, set_words: int, sample: int = 10_000, times: int = 3, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that stand in ``times`` texts of a sample or more, and in how many.
+
+    They only set the order of shingles (see prefix), so whatever the sample holds, no pair is lost.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sets, keys = [], [], []
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes(text.as_py() or b"", set_words)).view(np.int64))], names=["h"])
+
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // sample))) == 0).select(F.col("text").cast("binary").alias("text"))
+    counted = some.mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= times)
+    rows = counted.orderBy(F.desc("count"), "h").limit(most).collect()
+    h, n = np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["count"] for r in rows], dtype=np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(full: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first shingles of a sorted set, by commonness, then hash: as many as a set ``least`` similar cannot all lack."""
+    h, n = common
+    count = np.zeros(len(full), np.int64)
+    if len(h):
+        at = np.minimum(np.searchsorted(h, full), len(h) - 1)
+        count = np.where(h[at] == full, n[at], 0)
+    return full[np.lexsort((full, count))[: len(full) - int(np.ceil(least * len(full) - 1e-9)) + 1]]
+
+
+def shingle_sets(docs: DataFrame, set_words: int, least: float) -> DataFrame:
+    """doc_id, fp (of the set of words), shingles (packed), set_key (XXH64 of the full sorted hashes), n, prefix of every row."""
+    common = common_shingles(docs, set_words)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, sets, keys, sizes, firsts = [], [], [], [], []
             for text in batch.column(1):
                 text = text.as_py() or b""
                 # Word variety, not word frequency: a replaced word moves few bits, and the set decides.
@@ -257,11 +289,14 @@ def shingle_sets(docs: DataFrame, set_words: int) -> DataFrame:
                 full = np.unique(hashes(text, set_words))
                 sets.append(packed(full))
                 keys.append(xxhash.xxh64_intdigest(full.astype("<u8").tobytes(), SEED))
+                sizes.append(len(full))
+                firsts.append(prefix(full, common, least).astype("<u8").tobytes())
             signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (prints, keys)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed[0], pa.array(sets, pa.binary()), signed[1]], names=["doc_id", "fp", "shingles", "set_key"])
+            columns = [batch.column(0), signed[0], pa.array(sets, pa.binary()), signed[1], pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "shingles", "set_key", "n", "prefix"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, shingles binary, set_key long")
+    return rows.mapInArrow(run, "doc_id long, fp long, shingles binary, set_key long, n int, prefix binary")
 
 
 #: Bands of equal log size that share a shard; items of the last one visit the next shard as guests.
@@ -317,6 +352,91 @@ def links(items: DataFrame, n: int, fps: DataFrame, radius: int, least: float |
     return placed.groupBy("shard").applyInArrow(join, "a long, b long")
 
 
+def token_pairs(token: np.ndarray, ids: np.ndarray, component: np.ndarray, size: np.ndarray, at: np.ndarray, least: float, cells: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of id pairs of one token and different components that sizes and places (``at``) still allow.
+
+    Rows are sorted by token, then component. The first token that two sets share leaves them at most the shingles
+    from there on in common, so a pair that its token rules out comes from an earlier one or not at all.
+    """
+    if not len(token):
+        return
+    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    parts = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (component[1:] != component[:-1])))
+    end = np.repeat(np.append(starts[1:], len(token)), np.diff(np.append(starts, len(token))))
+    after = np.repeat(np.append(parts[1:], len(token)), np.diff(np.append(parts, len(token))))
+    left = np.flatnonzero(end > after)
+    total = np.cumsum((end - after)[left])
+    k = 0
+    while k < len(left):
+        done = total[k - 1] if k else 0
+        stop = max(k + 1, int(np.searchsorted(total, done + cells, "right")))
+        mine = left[k:stop]
+        many = (end - after)[mine]
+        i = np.repeat(mine, many)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + after[i]
+        fit = np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-6
+        fit &= np.minimum(size[i] - at[i], size[j] - at[j]) >= least / (1 + least) * (size[i] + size[j]) - 1e-6
+        a, b = np.minimum(ids[i], ids[j])[fit], np.maximum(ids[i], ids[j])[fit]
+        if len(a):
+            yield a, b
+        k = stop
+
+
+def missed_links(keyed: DataFrame, of_set: DataFrame, least: float, per_part: int = 400_000) -> DataFrame:
+    """Links (a, b) of ``least`` similar sets of different components; keyed: shingle_sets, of_set: set_key, id, component.
+
+    Exact by prefixes: one shuffle brings each prefix shingle's sets together, a task streams over sorted shingles.
+    """
+    named = of_set.select(F.col("set_key").alias("key"), "id", "component")
+    firsts = keyed.select("doc_id", "set_key", "n", "prefix").join(named, F.col("set_key") == F.col("key")).filter("doc_id = id").select("id", "component", "n", "prefix")
+
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            many = pc.binary_length(batch.column(3)).to_numpy() // 8
+            row = np.repeat(np.arange(batch.num_rows), many)
+            token = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype="<i8")
+            at = (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32)
+            columns = [pa.array(token), *(batch.column(c).take(pa.array(row)) for c in range(3)), pa.array(at)]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "id", "component", "n", "place"])
+
+    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # rows of the last token, which the next batch may continue
+
+        def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for a, b in token_pairs(*rows, least):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [c.to_numpy() for c in batch.columns]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if held and (cut or held[0][0][0] != rows[0][0]):
+                same = int(np.searchsorted(rows[0], held[0][0][0], "right"))
+                held.append([c[:same] for c in rows])
+                yield from found([np.concatenate(c) for c in zip(*held, strict=True)])
+                yield from found([c[same:cut] for c in rows])
+                held = []
+            elif cut:
+                yield from found([c[:cut] for c in rows])
+            held.append([c[cut:] for c in rows])
+        if held:
+            yield from found([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fit = [set_similarity(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
+
+    parts = max(8, -(-(keyed.agg(F.sum(F.length("prefix"))).first()[0] or 0) // (8 * per_part)))
+    tokens = firsts.mapInArrow(spread, "token long, id long, component long, n int, place int")
+    near = tokens.repartition(parts, "token").sortWithinPartitions("token", "component").mapInArrow(pairs, "a long, b long")
+    asked = stored(near.distinct(), "prefix-pairs")
+    sets = keyed.select("doc_id", "shingles")
+    both = asked.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long").distinct()
+
+
 def fingerprint_components(docs: DataFrame, words: int = 3, radius: int = 2, shard_items: int = 16_384) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of ``docs`` (doc_id, text).
 
@@ -334,18 +454,28 @@ def fingerprint_components(docs: DataFrame, words: int = 3, radius: int = 2, sha
     return prints.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def named_sets(names: DataFrame, found: DataFrame) -> DataFrame:
+    """set_key, id, component of every set; one without links is its own component."""
+    return names.join(found.withColumnRenamed("node", "id"), "id", "left").select("set_key", "id", F.coalesce("component", "id").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, set_words: int = 5, radius: int = 12, least: float = 0.8, shard_items: int = 65_536) -> DataFrame:
     """doc_id, component_id: documents whose five-word shingle sets are ``least`` similar, found by fingerprints.
 
-    Fingerprints (of the words in a text) within ``radius`` bits propose a pair and the shingle sets decide: by 64-bit
+    Fingerprints (of the words in a text) within ``radius`` bits propose a pair, shared prefix shingles propose every
+    pair of what these leave apart (appended text, small vocabularies), and the shingle sets decide: by 64-bit
     hashes up to FEW shingles, beyond that by 24 bits, where a few chance equals cannot matter. component_id is the smallest doc_id of the group. Equal sets (NULL and blank
     texts too) are one item. Rows with NULL doc_id are left out: they have no name to be kept under.
     """
     # A short text has no shingle of its own size: its whole word sequence stands in (see shingles).
-    keyed = stored(shingle_sets(docs.filter("doc_id is not null"), set_words), "fingerprints")
+    keyed = stored(shingle_sets(docs.filter("doc_id is not null"), set_words, least), "fingerprints")
     least_id = F.min_by(F.struct("fp", "shingles"), "doc_id")
     items = keyed.groupBy("set_key").agg(F.min("doc_id").alias("id"), least_id.alias("x")).select("id", "x.fp", "x.shingles")
     names = stored(keyed.groupBy("set_key").agg(F.min("doc_id").alias("id")), "items")
     found = connected_components(links(items, names.count(), keyed, radius, least, shard_items), "links")
-    of_set = names.join(found.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
+    of_set = stored(named_sets(names, found), "sets")
+    more = stored(missed_links(keyed, of_set, least), "missed")
+    if not more.isEmpty():
+        of_set = named_sets(names, connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "links"))
+    of_set = of_set.select("set_key", F.col("component").alias("component_id"))
     return keyed.select("doc_id", "set_key").join(of_set, "set_key").select("doc_id", "component_id")

@@ -195,6 +195,37 @@ def test_near_duplicates(spark):
     assert got[15] == 15 and got[16] == got[17] == 16
 
 
+def test_near_duplicates_beyond_the_radius(spark):
+    """Appended text and small vocabularies, just around 0.8, against all pairs of true shingle sets."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(60):
+        words = [f"k{k}x{rng.randrange(10**6)}" for _ in range(200)]
+        rows += [words, words + [f"n{k}y{i}" for i in range(rng.choice([43, 45, 48, 52]))]]
+    for k in range(6):
+        few = [f"s{k}z{i}" for i in range(30)]
+        words = [rng.choice(few) for _ in range(2000)]
+        rows += [words, words + [f"m{k}u{i}" for i in range(100)]]
+    boiler = [f"common{i}" for i in range(80)]
+    rows += [boiler + [f"o{k}v{i}" for i in range(30)] for k in range(60)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in rows]
+    prints = [simhash_vptree.fingerprint(np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in set(r)], dtype=np.uint64)) for r in rows]
+    near = [(a, b) for b in range(len(rows)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sum((prints[a] ^ prints[b]).bit_count() > 12 for a, b in near) >= 6
+    got = {r["doc_id"]: r["component_id"] for r in simhash_vptree.near_duplicates(texts(spark, [" ".join(r) for r in rows])).collect()}
+    assert got == brute_components(range(len(rows)), near)
+
+
+def test_token_pairs_are_all_allowed_pairs():
+    rng = np.random.default_rng(5)
+    token, component = np.sort(rng.integers(0, 20, 200)), rng.integers(0, 4, 200)
+    order = np.lexsort((component, token))
+    rows = (token[order], np.arange(200), component[order], np.full(200, 10), np.zeros(200, np.int64))
+    got = [p for a, b in simhash_vptree.token_pairs(*rows, 0.8, cells=50) for p in zip(a.tolist(), b.tolist())]
+    want = {(i, j) for j in range(200) for i in range(j) if rows[0][i] == rows[0][j] and rows[2][i] != rows[2][j]}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_short_texts_stay_apart(spark):
     """Five-word texts whose only shingle agrees in the upper 24 bits with another's."""
     seen, rows = {}, []
