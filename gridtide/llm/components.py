@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtide.llm.shared import stored
+from gridtide.llm.shared import dropped, stored
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,6 +34,10 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
         if (row["n"], row["h"]) == mark:
             break
         mark = (row["n"], row["h"])
-        now = stored(_stars(stored(_stars(now, True), label), False), label)
+        large = stored(_stars(now, True), label)
+        small = stored(_stars(large, False), label)
+        dropped(now)
+        dropped(large)
+        now = small
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())

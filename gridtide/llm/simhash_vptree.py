@@ -1,14 +1,12 @@
 """SimHash near-duplicates through vantage-point trees.
 
-1. Tasks turn every whole text into a fingerprint; equal items (equal fingerprints, or equal shingle sets where links
-   are verified) collapse before anything is compared, so a group of exact copies is one item.
+1. Tasks turn every whole text into a fingerprint; equal fingerprints collapse before anything is compared, so a group
+   of exact copies is one item.
 2. A top tree of vantage points, from a bounded sample, cuts the items into shards by Hamming distance. An item lives
    in the shard of its leaf and visits every other leaf that the triangle bound leaves open within the radius.
 3. In a shard a vantage-point tree is searched with blocks of queries; links join a union-find at once, so a shard
    gives at most one link per item (a spanning forest), never all pairs of a group.
 4. Connected components run over these links in Spark.
-5. Where links are verified, what the fingerprints miss is found exactly: two similar sets share one of their first
-   shingles in a common order (prefix filter). Pairs across components that share one are verified too.
 """
 
 from __future__ import annotations
@@ -18,13 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtide.llm.components import connected_components
-from gridtide.llm.shared import part_count, stored
+from gridtide.llm.shared import stored
 
 SEED = 42
 BIT_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -123,12 +120,12 @@ class Forest:
         return True
 
 
-def close_pairs(points: np.ndarray, radius: int, bands: np.ndarray | None = None, guests: int = -1, leaf: int = 192, cells: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of position pairs within ``radius``: every such pair once, from a vantage-point tree.
+def close_pairs(points: np.ndarray, radius: int, home: np.ndarray | None = None, leaf: int = 192, cells: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of position pairs within ``radius``, each pair once, from a vantage-point tree over the points at ``home``.
 
-    With ``bands`` only pairs of one band or of neighbouring bands count, and the band ``guests`` only with the next.
+    Points that are guests (not at home) meet only those at home; two guests meet in a shard where one is at home.
     """
-    bands = np.zeros(len(points), np.int64) if bands is None else bands
+    home = np.ones(len(points), bool) if home is None else home
     rng = np.random.default_rng(3)
 
     def among(q: np.ndarray, p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -137,7 +134,7 @@ def close_pairs(points: np.ndarray, radius: int, bands: np.ndarray | None = None
             mine = q[at : at + block]
             i, j = np.nonzero(np.bitwise_count(points[mine, None] ^ others) <= radius)
             i, j = mine[i], p[j]
-            keep = (i < j) | (bands[i] != bands[j])
+            keep = (i < j) | ~home[i]
             if keep.any():
                 yield i[keep], j[keep]
 
@@ -170,67 +167,21 @@ def close_pairs(points: np.ndarray, radius: int, bands: np.ndarray | None = None
         yield from search(q[near], p[d <= cut])
         yield from search(q[far], p[d > cut])
 
-    for band in np.unique(bands):
-        mine, near = bands == band, bands == band + 1
-        yield from search(np.flatnonzero(mine), np.flatnonzero(near if band == guests else near | mine))
+    yield from search(np.arange(len(points)), np.flatnonzero(home))
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted sets; two empty sets are equal."""
-    if not len(a) and not len(b):
-        return 1.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
-#: Sets of up to this many shingles keep all 64 bits of their hashes.
-FEW = 64
-
-
-def packed(h: np.ndarray) -> bytes:
-    """The sorted set of the hashes after a byte that names their width: eight bytes each, three (the upper) for many."""
-    full = np.unique(h)
-    if len(full) <= FEW:
-        return b"\x08" + full.astype("<u8").tobytes()
-    return b"\x03" + np.unique(full >> np.uint64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    if data[0] == 8:
-        return np.frombuffer(data, dtype="<u8", offset=1)
-    wide = np.zeros((len(data) // 3, 4), dtype=np.uint8)
-    wide[:, :3] = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(-1, 3)
-    return wide.view("<u4").ravel()
-
-
-def set_similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two packed sets; a set of full hashes meets a longer one by its upper 24 bits."""
-    x, y = unpacked(a), unpacked(b)
-    if a[0] != b[0]:
-        x, y = (np.unique(v >> np.uint64(40)).astype(np.uint32) if v.dtype == np.uint64 else v for v in (x, y))
-    return similarity(x, y)
-
-
-def shard_links(ids: np.ndarray, points: np.ndarray, radius: int, sets: pa.Array | pa.ChunkedArray | None = None, least: float = 0.0, bands: np.ndarray | None = None, guests: int = -1) -> list[tuple[int, int]]:
-    """Spanning links of a shard; with ``sets`` a pair counts only if its shingle sets are ``least`` similar."""
+def shard_links(ids: np.ndarray, points: np.ndarray, radius: int, home: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links of a shard that span all its pairs within ``radius``."""
     forest, out = Forest(len(ids)), []
-    sizes = np.maximum(set_sizes(sets), 1) if sets is not None else None
-    for i, j in close_pairs(points, radius, bands, guests):
-        if sizes is not None:
-            fit = np.minimum(sizes[i], sizes[j]) >= least * np.maximum(sizes[i], sizes[j])
-            i, j = i[fit], j[fit]
-        if sets is None and len(i) > 1:  # keep of each block only what can join anything new
-            root = np.array([forest.find(x) for x in np.unique(np.concatenate([i, j]))])
-            names = np.unique(np.concatenate([i, j]))
-            ri, rj = root[np.searchsorted(names, i)], root[np.searchsorted(names, j)]
-            key, first = np.unique(np.minimum(ri, rj) * len(ids) + np.maximum(ri, rj), return_index=True)
-            first = first[ri[first] != rj[first]]
-            i, j = i[first], j[first]
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            if forest.find(a) != forest.find(b):
-                if sets is None or set_similarity(sets[a].as_py(), sets[b].as_py()) >= least:
-                    forest.join(a, b)
-                    out.append((int(ids[a]), int(ids[b])))
+    for i, j in close_pairs(points, radius, home):
+        names = np.unique(np.concatenate([i, j]))  # keep of each block only what can join anything new
+        root = np.array([forest.find(x) for x in names])
+        ri, rj = root[np.searchsorted(names, i)], root[np.searchsorted(names, j)]
+        _, first = np.unique(np.minimum(ri, rj) * len(ids) + np.maximum(ri, rj), return_index=True)
+        first = first[ri[first] != rj[first]]
+        for a, b in zip(i[first].tolist(), j[first].tolist(), strict=True):
+            if forest.join(a, b):
+                out.append((int(ids[a]), int(ids[b])))
     return out
 
 
@@ -246,195 +197,25 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def common_shingles(docs: DataFrame, set_words: int, sample: int = 10_000, times: int = 3, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that stand in ``times`` texts of a sample or more, and in how many.
-
-    They only set the order of shingles (see prefix), so whatever the sample holds, no pair is lost.
-    """
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes(text.as_py() or b"", set_words)).view(np.int64))], names=["h"])
-
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // sample))) == 0).select(F.col("text").cast("binary").alias("text"))
-    counted = some.mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= times)
-    rows = counted.orderBy(F.desc("count"), "h").limit(most).collect()
-    h, n = np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["count"] for r in rows], dtype=np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def prefix(full: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
-    """The first shingles of a sorted set, by commonness, then hash: as many as a set ``least`` similar cannot all lack."""
-    h, n = common
-    count = np.zeros(len(full), np.int64)
-    if len(h):
-        at = np.minimum(np.searchsorted(h, full), len(h) - 1)
-        count = np.where(h[at] == full, n[at], 0)
-    return full[np.lexsort((full, count))[: len(full) - int(np.ceil(least * len(full) - 1e-9)) + 1]]
-
-
-def shingle_sets(docs: DataFrame, set_words: int, least: float) -> DataFrame:
-    """doc_id, fp (of the set of words), shingles (packed), set_key (XXH64 of the full sorted hashes), n, prefix of every row."""
-    common = common_shingles(docs, set_words)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints, sets, keys, sizes, firsts = [], [], [], [], []
-            for text in batch.column(1):
-                text = text.as_py() or b""
-                # Word variety, not word frequency: a replaced word moves few bits, and the set decides.
-                prints.append(fingerprint(np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(text.lower().split())], dtype=np.uint64)))
-                full = np.unique(hashes(text, set_words))
-                sets.append(packed(full))
-                keys.append(xxhash.xxh64_intdigest(full.astype("<u8").tobytes(), SEED))
-                sizes.append(len(full))
-                firsts.append(prefix(full, common, least).astype("<u8").tobytes())
-            signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (prints, keys)]
-            columns = [batch.column(0), signed[0], pa.array(sets, pa.binary()), signed[1], pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "shingles", "set_key", "n", "prefix"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, shingles binary, set_key long, n int, prefix binary")
-
-
-#: Bands of equal log size that share a shard; items of the last one visit the next shard as guests.
-BANDS = 2
-
-
-def set_sizes(sets: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    width = np.where(pc.equal(pc.binary_slice(sets, 0, 1), b"\x08").to_numpy(zero_copy_only=False), 8, 3) if isinstance(sets, pa.Array) else np.array([v.as_py()[0] for v in sets])
-    return (pc.binary_length(sets).to_numpy() - 1) // width
-
-
-def size_bands(sizes: np.ndarray, least: float) -> np.ndarray:
-    """Set sizes that a similarity of ``least`` can link lie in one band or in neighbours."""
-    return np.floor(np.log(np.maximum(sizes, 1)) / -np.log(least) + 1e-9).astype(np.int64)
-
-
-def links(items: DataFrame, n: int, fps: DataFrame, radius: int, least: float | None, shard_items: int, sample: int = 20_000) -> DataFrame:
-    """Links (a, b) between ``n`` items (id, fp[, shingles]); fps: their fingerprints, for the top tree's sample.
-
-    Similarity ``least`` needs set sizes within that ratio, so bands of equal log size link only with themselves and
-    the next: a second exact bound beside the triangle inequality.
-    """
-    verified = least is not None
-    wanted = n / shard_items / (6 if verified else 1)  # sizes spread over several shards by themselves
-    depth = max(0, int(np.ceil(np.log2(max(wanted, 1)))))
+def links(items: DataFrame, n: int, fps: DataFrame, radius: int, shard_items: int, sample: int = 20_000) -> DataFrame:
+    """Links (a, b) that span the ``n`` items (id, fp) within ``radius`` bits; fps: their fingerprints, for the top tree's sample."""
+    depth = max(0, int(np.ceil(np.log2(max(n / shard_items, 1)))))
     some = [r["fp"] for r in fps.select("fp").distinct().orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()] if depth else []
-    tree, leaves = grow(np.array(some, dtype=np.int64).view(np.uint64), depth, np.random.default_rng(1))
+    tree, _ = grow(np.array(some, dtype=np.int64).view(np.uint64), depth, np.random.default_rng(1))
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, leaf, _ = route(tree, batch.column(1).to_numpy().view(np.uint64), radius)
-            group = np.zeros(len(at), np.int64)
-            if verified and batch.num_rows:
-                band = size_bands(set_sizes(batch.column(2)), least)[at]
-                group, last = band // BANDS, np.flatnonzero(band % BANDS == BANDS - 1)
-                at, leaf, group = np.append(at, at[last]), np.append(leaf, leaf[last]), np.append(group, group[last] + 1)
-            names = ["shard", "id", "fp"] + ["shingles"] * verified
-            rows = [pa.array(group * leaves + leaf), *(batch.column(k).take(pa.array(at)) for k in range(2 + verified))]
-            yield pa.RecordBatch.from_arrays(rows, names=names)
+            at, leaf, home = route(tree, batch.column(1).to_numpy().view(np.uint64), radius)
+            rows = [pa.array(leaf), *(batch.column(k).take(pa.array(at)) for k in range(2)), pa.array(home)]
+            yield pa.RecordBatch.from_arrays(rows, names=["shard", "id", "fp", "home"])
 
     def join(shard: pa.Table) -> pa.Table:
         shard = shard.sort_by("id")
-        ids, points = shard.column("id").to_numpy(), shard.column("fp").to_numpy().view(np.uint64)
-        if verified:
-            guests = shard.column("shard")[0].as_py() // leaves * BANDS - 1
-            sets = shard.column("shingles").combine_chunks()
-            found = shard_links(ids, points, radius, sets, least, size_bands(set_sizes(sets), least), guests)
-        else:
-            found = shard_links(ids, points, radius)
+        points, home = shard.column("fp").to_numpy().view(np.uint64), shard.column("home").to_numpy()
+        found = shard_links(shard.column("id").to_numpy(), points, radius, home)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    placed = items.mapInArrow(place, "shard long, id long, fp long" + (", shingles binary" if verified else ""))
-    return placed.groupBy("shard").applyInArrow(join, "a long, b long")
-
-
-def token_pairs(token: np.ndarray, ids: np.ndarray, component: np.ndarray, size: np.ndarray, at: np.ndarray, least: float, cells: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of id pairs of one token and different components that sizes and places (``at``) still allow.
-
-    Rows are sorted by token, then component. The first token that two sets share leaves them at most the shingles
-    from there on in common, so a pair that its token rules out comes from an earlier one or not at all.
-    """
-    if not len(token):
-        return
-    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-    parts = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (component[1:] != component[:-1])))
-    end = np.repeat(np.append(starts[1:], len(token)), np.diff(np.append(starts, len(token))))
-    after = np.repeat(np.append(parts[1:], len(token)), np.diff(np.append(parts, len(token))))
-    left = np.flatnonzero(end > after)
-    total = np.cumsum((end - after)[left])
-    k = 0
-    while k < len(left):
-        done = total[k - 1] if k else 0
-        stop = max(k + 1, int(np.searchsorted(total, done + cells, "right")))
-        mine = left[k:stop]
-        many = (end - after)[mine]
-        i = np.repeat(mine, many)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + after[i]
-        fit = np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-6
-        fit &= np.minimum(size[i] - at[i], size[j] - at[j]) >= least / (1 + least) * (size[i] + size[j]) - 1e-6
-        a, b = np.minimum(ids[i], ids[j])[fit], np.maximum(ids[i], ids[j])[fit]
-        if len(a):
-            yield a, b
-        k = stop
-
-
-def missed_links(keyed: DataFrame, of_set: DataFrame, least: float, per_part: int = 400_000) -> DataFrame:
-    """Links (a, b) of ``least`` similar sets of different components; keyed: shingle_sets, of_set: set_key, id, component.
-
-    Exact by prefixes: one shuffle brings each prefix shingle's sets together, a task streams over sorted shingles.
-    """
-    named = of_set.select(F.col("set_key").alias("key"), "id", "component")
-    firsts = keyed.select("doc_id", "set_key", "n", "prefix").join(named, F.col("set_key") == F.col("key")).filter("doc_id = id").select("id", "component", "n", "prefix")
-
-    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            many = pc.binary_length(batch.column(3)).to_numpy() // 8
-            row = np.repeat(np.arange(batch.num_rows), many)
-            token = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype="<i8")
-            at = (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32)
-            columns = [pa.array(token), *(batch.column(c).take(pa.array(row)) for c in range(3)), pa.array(at)]
-            yield pa.RecordBatch.from_arrays(columns, names=["token", "id", "component", "n", "place"])
-
-    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # rows of the last token, which the next batch may continue
-
-        def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for a, b in token_pairs(*rows, least):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [c.to_numpy() for c in batch.columns]
-            cut = int(np.searchsorted(rows[0], rows[0][-1]))
-            if held and (cut or held[0][0][0] != rows[0][0]):
-                same = int(np.searchsorted(rows[0], held[0][0][0], "right"))
-                held.append([c[:same] for c in rows])
-                yield from found([np.concatenate(c) for c in zip(*held, strict=True)])
-                yield from found([c[same:cut] for c in rows])
-                held = []
-            elif cut:
-                yield from found([c[:cut] for c in rows])
-            held.append([c[cut:] for c in rows])
-        if held:
-            yield from found([np.concatenate(c) for c in zip(*held, strict=True)])
-
-    def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fit = [set_similarity(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
-
-    parts = max(8, -(-(keyed.agg(F.sum(F.length("prefix"))).first()[0] or 0) // (8 * per_part)))
-    tokens = firsts.mapInArrow(spread, "token long, id long, component long, n int, place int")
-    near = tokens.repartition(parts, "token").sortWithinPartitions("token", "component").mapInArrow(pairs, "a long, b long")
-    asked = stored(near.distinct(), "prefix-pairs")
-    sets = keyed.select("doc_id", "shingles")
-    both = asked.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long").distinct()
+    return items.mapInArrow(place, "shard long, id long, fp long, home boolean").groupBy("shard").applyInArrow(join, "a long, b long")
 
 
 def fingerprint_components(docs: DataFrame, words: int = 3, radius: int = 2, shard_items: int = 16_384) -> DataFrame:
@@ -447,35 +228,8 @@ def fingerprint_components(docs: DataFrame, words: int = 3, radius: int = 2, sha
     prints = stored(fingerprints(docs, words), "fingerprints")
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     # The fingerprint itself names the item: components are found among fingerprints, then take the smallest doc_id.
-    found = connected_components(links(classes.select(F.col("fp").alias("id"), "fp"), classes.count(), classes, radius, None, shard_items), "links")
+    found = connected_components(links(classes.select(F.col("fp").alias("id"), "fp"), classes.count(), classes, radius, shard_items), "links")
     named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = named.join(smallest, "component").select("fp", "component_id")
     return prints.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def named_sets(names: DataFrame, found: DataFrame) -> DataFrame:
-    """set_key, id, component of every set; one without links is its own component."""
-    return names.join(found.withColumnRenamed("node", "id"), "id", "left").select("set_key", "id", F.coalesce("component", "id").alias("component"))
-
-
-def near_duplicates(docs: DataFrame, set_words: int = 5, radius: int = 12, least: float = 0.8, shard_items: int = 65_536) -> DataFrame:
-    """doc_id, component_id: documents whose five-word shingle sets are ``least`` similar, found by fingerprints.
-
-    Fingerprints (of the words in a text) within ``radius`` bits propose a pair, shared prefix shingles propose every
-    pair of what these leave apart (appended text, small vocabularies), and the shingle sets decide: by 64-bit
-    hashes up to FEW shingles, beyond that by 24 bits, where a few chance equals cannot matter. component_id is the smallest doc_id of the group. Equal sets (NULL and blank
-    texts too) are one item. Rows with NULL doc_id are left out: they have no name to be kept under.
-    """
-    # A short text has no shingle of its own size: its whole word sequence stands in (see shingles).
-    keyed = stored(shingle_sets(docs.filter("doc_id is not null"), set_words, least), "fingerprints")
-    least_id = F.min_by(F.struct("fp", "shingles"), "doc_id")
-    items = keyed.groupBy("set_key").agg(F.min("doc_id").alias("id"), least_id.alias("x")).select("id", "x.fp", "x.shingles")
-    names = stored(keyed.groupBy("set_key").agg(F.min("doc_id").alias("id")), "items")
-    found = connected_components(links(items, names.count(), keyed, radius, least, shard_items), "links")
-    of_set = stored(named_sets(names, found), "sets")
-    more = stored(missed_links(keyed, of_set, least), "missed")
-    if not more.isEmpty():
-        of_set = named_sets(names, connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "links"))
-    of_set = of_set.select("set_key", F.col("component").alias("component_id"))
-    return keyed.select("doc_id", "set_key").join(of_set, "set_key").select("doc_id", "component_id")

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridtide.llm import components, decontam, langid, line_chunks, mil_quality, pfair_mix, pii_votes, queries, risk_rules, simhash_vptree, sstable, url_filter
+from gridtide.llm import components, decontam, langid, line_chunks, mil_quality, near_sets, pfair_mix, pii_votes, queries, risk_rules, simhash_vptree, sstable, url_filter
 from tests.conftest import DATA
 from tests.oracle import same
 
@@ -170,6 +170,9 @@ def test_tree_finds_every_pair(radius):
     want = {(i, j) for i in range(len(points)) for j in range(i + 1, len(points)) if int(points[i] ^ points[j]).bit_count() <= radius}
     got = [(a, b) for i, j in simhash_vptree.close_pairs(points, radius, leaf=16) for a, b in zip(i.tolist(), j.tolist())]
     assert len(got) == len(set(got)) and set(got) == want
+    home = rng.random(len(points)) < 0.5
+    got = [(a, b) for i, j in simhash_vptree.close_pairs(points, radius, home, leaf=16) for a, b in zip(i.tolist(), j.tolist())]
+    assert len(got) == len(set(got)) and {(min(p), max(p)) for p in got} == {(i, j) for i, j in want if home[i] or home[j]}
     tree, leaves = simhash_vptree.grow(points, 4, rng)
     at, leaf, home = simhash_vptree.route(tree, points, radius)
     assert home.sum() == len(points) and leaves > 4
@@ -190,13 +193,20 @@ def test_near_duplicates(spark):
         edited[len(words) // 2] = "changed"
         rows += [" ".join(edited), " ".join(words).upper()]
     rows += [" ".join(base[0] + base[1]), "", None]
-    got = {r["doc_id"]: r["component_id"] for r in simhash_vptree.near_duplicates(texts(spark, rows)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_sets.near_duplicates(texts(spark, rows)).collect()}
     assert [got[i] for i in range(15)] == [i // 3 * 3 for i in range(15)]
     assert got[15] == 15 and got[16] == got[17] == 16
 
 
-def test_near_duplicates_beyond_the_radius(spark):
-    """Appended text and small vocabularies, just around 0.8, against all pairs of true shingle sets."""
+def brute_near(rows, n=5, least=0.8):
+    words = [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in rows]
+    sets = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set()) for w in words]
+    return [(a, b) for b in range(len(rows)) for a in range(b) if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+
+
+def test_near_duplicates_equal_brute_force(spark, monkeypatch):
+    """Appended text, small vocabularies, edited groups and boilerplate, around 0.8; chunks of hot shingles in use."""
+    monkeypatch.setattr(near_sets, "CHUNK", 16)
     rng = random.Random(7)
     rows = []
     for k in range(60):
@@ -208,42 +218,81 @@ def test_near_duplicates_beyond_the_radius(spark):
         rows += [words, words + [f"m{k}u{i}" for i in range(100)]]
     boiler = [f"common{i}" for i in range(80)]
     rows += [boiler + [f"o{k}v{i}" for i in range(30)] for k in range(60)]
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in rows]
-    prints = [simhash_vptree.fingerprint(np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in set(r)], dtype=np.uint64)) for r in rows]
-    near = [(a, b) for b in range(len(rows)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    assert sum((prints[a] ^ prints[b]).bit_count() > 12 for a, b in near) >= 6
-    got = {r["doc_id"]: r["component_id"] for r in simhash_vptree.near_duplicates(texts(spark, [" ".join(r) for r in rows])).collect()}
-    assert got == brute_components(range(len(rows)), near)
+    base = [f"b{i}" for i in range(120)]
+    for k in range(80):  # edits of one text, pairs of which lie on both sides of 0.8
+        words = list(base)
+        for at in rng.sample(range(120), rng.randrange(1, 5)):
+            words[at] = f"e{k}"
+        rows.append(words)
+    rows = [" ".join(r) for r in rows]
+    got = {r["doc_id"]: r["component_id"] for r in near_sets.near_duplicates(texts(spark, rows)).collect()}
+    assert got == brute_components(range(len(rows)), brute_near(rows))
+
+
+def test_near_duplicates_of_given_tables(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    rows = docs.orderBy("doc_id").select("doc_id", "text").collect()
+    near = [(rows[a]["doc_id"], rows[b]["doc_id"]) for a, b in brute_near([r["text"] for r in rows])]
+    got = {r["doc_id"]: r["component_id"] for r in near_sets.near_duplicates(docs).collect()}
+    want = brute_components([r["doc_id"] for r in rows], near)
+    assert got == want
+    kept = near_sets.deduplicated(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(want.values())
 
 
 def test_token_pairs_are_all_allowed_pairs():
     rng = np.random.default_rng(5)
-    token, component = np.sort(rng.integers(0, 20, 200)), rng.integers(0, 4, 200)
-    order = np.lexsort((component, token))
-    rows = (token[order], np.arange(200), component[order], np.full(200, 10), np.zeros(200, np.int64))
-    got = [p for a, b in simhash_vptree.token_pairs(*rows, 0.8, cells=50) for p in zip(a.tolist(), b.tolist())]
-    want = {(i, j) for j in range(200) for i in range(j) if rows[0][i] == rows[0][j] and rows[2][i] != rows[2][j]}
+    group, component, chunk = np.sort(rng.integers(0, 20, 200)), rng.integers(0, 4, 200), rng.integers(0, 2, 200)
+    order = np.lexsort((component, group))
+    group, component = group[order], component[order]
+    rows = (group, group % 3 == 0, chunk, np.arange(200), component, np.full(200, 10), np.zeros(200, np.int64), np.zeros((200, 4), np.uint64))
+    got = [p for a, b in near_sets.token_pairs(*rows, 0.8, cells=50) for p in zip(a.tolist(), b.tolist())]
+    want = {(i, j) for j in range(200) for i in range(j) if group[i] == group[j] and component[i] != component[j] and (group[i] % 3 or chunk[i] != chunk[j])}
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_bounds_leave_every_similar_pair():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 2**64, rng.integers(1, 400), dtype=np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.95], rng.integers(0, 2**64, rng.integers(0, 20), dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        bits = [np.frombuffer(near_sets.parity(v), np.uint64)[None] for v in (x, y)]
+        zero = np.zeros(1, np.int64)
+        if len(y) and both >= 0.8 * (len(x) + len(y) - both):
+            assert near_sets.may_link((np.array([len(x)]), zero, bits[0]), (np.array([len(y)]), zero, bits[1]), 0.8).all()
+            assert set(near_sets.prefix(x, (zero[:0].view(np.uint64), zero[:0]), 0.8).tolist()) & set(near_sets.prefix(y, (zero[:0].view(np.uint64), zero[:0]), 0.8).tolist())
+
+
 def test_short_texts_stay_apart(spark):
     """Five-word texts whose only shingle agrees in the upper 24 bits with another's."""
     seen, rows = {}, []
     for i in range(60_000):
         text = f"a b c d w{i}"
-        other = seen.setdefault(simhash_vptree.hashes(text.encode(), 5)[0] >> np.uint64(40), text)
+        other = seen.setdefault(near_sets.text_sets(text.encode(), 5)[1][0] >> np.uint64(40), text)
         rows += [other, text] if other != text else []
     rows = sorted(set(rows))
     assert len(rows) > 20
-    assert all(r["doc_id"] == r["component_id"] for r in simhash_vptree.near_duplicates(texts(spark, rows)).collect())
+    assert all(r["doc_id"] == r["component_id"] for r in near_sets.near_duplicates(texts(spark, rows)).collect())
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Every text keeps a row, whatever its id; repeated rows leave one, the same one each time."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (None, c, "x"), (None, c.upper(), "y"), (7, "", "z"), (8, None, "y"), (9, b, "p"), (9, b, "q"), (3, c + " d", "x"), (11, a + " tail", "x"), (5, b, "w"), (5, b, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    want = sorted([(1, a, "x"), (3, c + " d", "x"), (5, b, "a"), (7, "", "z")])
+    for n in (1, 5):
+        assert sorted(map(tuple, near_sets.deduplicated(docs.repartition(n)).collect())) == want
+    alone = spark.createDataFrame([(None, a), (None, b), (None, a)], "doc_id long, text string")
+    assert sorted(r["text"] for r in near_sets.deduplicated(alone).collect()) == [a, b]
 
 
-@pytest.mark.parametrize("n", [1, 63, 64, 65, 300])
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 1200])
 def test_packed_sets(n):
-    h = np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64)
-    a, b = simhash_vptree.packed(h), simhash_vptree.packed(h[: n - n // 10])
-    assert simhash_vptree.set_sizes(pa.array([a, b], pa.binary())).tolist() == [n, n - n // 10]
-    assert simhash_vptree.set_similarity(a, b) == pytest.approx((n - n // 10) / n) and simhash_vptree.set_similarity(a, a) == 1
+    h = np.unique(np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64))
+    a, b = near_sets.packed(h), near_sets.packed(h[: n - n // 10])
+    assert near_sets.set_similarity(a, b) == pytest.approx((n - n // 10) / n) and near_sets.set_similarity(a, a) == 1
 
 
 def test_simhash_edges(spark, edges, empty):
@@ -251,8 +300,8 @@ def test_simhash_edges(spark, edges, empty):
     assert out.count() == len(EDGES)
     assert out.filter("doc_id in (1, 2, 3) and component_id = 1 and fingerprint = '0000000000000000'").count() == 3
     assert simhash_vptree.fingerprint_components(empty).count() == 0
-    assert simhash_vptree.near_duplicates(edges).count() == len(EDGES) - 1
-    assert simhash_vptree.near_duplicates(empty).count() == 0
+    assert near_sets.near_duplicates(edges).count() == len(EDGES)
+    assert near_sets.near_duplicates(empty).count() == 0
 
 
 def test_components_of_a_chain(spark):
