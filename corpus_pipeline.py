@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtide.llm import decontam, mil_quality, pfair_mix, simhash_vptree, sstable
+from gridtide.llm import decontam, mil_quality, near_sets, pfair_mix, sstable
 from gridtide.llm.queries import tokenizer_path
 from gridtide.llm.shared import free_name, stored, table
 
@@ -20,13 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one of the smallest doc_id; rows without doc_id go.
-
-    Where several rows share that doc_id, one of them stays.
-    """
-    groups = simhash_vptree.near_duplicates(docs)
-    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each near-duplicate group, the one of the smallest doc_id; rows without an id are rows like any other."""
+    return near_sets.deduplicated(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
