@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +12,7 @@ from gridtide.llm.shared import crc32_mod, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    """A public tokenizer's file; GRIDTIDE_TOKENIZER names another one."""
-    if "GRIDTIDE_TOKENIZER" in os.environ:
-        return os.environ["GRIDTIDE_TOKENIZER"]
+    """A public tokenizer's file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)

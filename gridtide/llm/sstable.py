@@ -11,20 +11,22 @@ Keys are one byte (0: NULL id, 1: an id) and the id as big-endian with its sign
 order is the numeric order with NULL first. In a block each key keeps only what differs from the key before it;
 the first key of a block is whole, so a lookup needs the index, one block and no other.
 
-Spark range-partitions the documents by id; each task tokenizes, sorts and writes one shard below the shared
-folder (write to a name of the attempt, then rename: a repeated task replaces its shard by the same bytes).
+Spark range-partitions the documents by id; each task tokenizes and writes shards of a bounded size below the shared
+folder (write to a name of the attempt, then rename: a repeated task replaces its shards by the same bytes). The
+manifest has each shard's first and last id, so a lookup finds the shards by id and in them the blocks.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gridtide.llm.shared import new_path, part_count
+from gridtide.llm.shared import new_path
 
 MAGIC = b"GTSST001"
 FOOTER = struct.Struct("<QQQQQQQQ8s")
@@ -123,24 +125,31 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Reads a shard: in order, or one key through Bloom filter, index and block."""
+    """Reads a shard, in order or one key through Bloom filter, index and block, by calls of ``read(offset, length)``."""
 
-    def __init__(self, data: bytes):
-        index_at, index_len, bloom_at, bloom_len, self.bits, self.entries, self.tokens, self.id_bytes, magic = FOOTER.unpack(data[-FOOTER.size :])
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        if size < FOOTER.size:
+            raise ValueError("not a shard: it is shorter than a footer")
+        index_at, index_len, bloom_at, bloom_len, self.bits, self.entries, self.tokens, self.id_bytes, magic = FOOTER.unpack(read(size - FOOTER.size, FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a shard: its footer has another magic")
-        self.data, self.unzip = data, zstandard.ZstdDecompressor()
-        raw, at, self.index = self.unzip.decompress(data[index_at : index_at + index_len]), 0, []
+        self.read, self.unzip = read, zstandard.ZstdDecompressor()
+        raw, at, self.index = self.unzip.decompress(read(index_at, index_len)), 0, []
         while at < len(raw):
             n, at = _read_varint(raw, at)
             self.index.append((raw[at : at + n], *struct.unpack_from("<QQQ", raw, at + n)))
             at += n + 24
         self.last_keys = [x[0] for x in self.index]
-        self.bloom = data[bloom_at : bloom_at + bloom_len]
+        self.bloom = read(bloom_at, bloom_len)
+
+    @classmethod
+    def of(cls, data: bytes) -> ShardReader:
+        """A reader of a whole shard in memory."""
+        return cls(lambda at, n: data[at : at + n], len(data))
 
     def _block(self, i: int) -> Iterator[tuple[bytes, np.ndarray]]:
         _, offset, length, _ = self.index[i]
-        raw, at, key = self.unzip.decompress(self.data[offset : offset + length]), 0, b""
+        raw, at, key = self.unzip.decompress(self.read(offset, length)), 0, b""
         while at < len(raw):
             shared, at = _read_varint(raw, at)
             rest, at = _read_varint(raw, at)
@@ -172,12 +181,27 @@ class ShardReader:
         return found
 
 
+#: The one normaliser and pre-tokenizer whose texts may be encoded word by word.
+WORDWISE = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+
 class WordTokenizer:
-    """Encodes whole texts with a tokenizers file whose pre-tokenizer drops white space.
+    """Encodes whole texts with a tokenizers file.
 
-    A text's ids are those of its white-space-separated words in order, so each word is encoded once and kept.
-    Words of Latin letters with end punctuation go to the file's BPE model directly; all others through the whole
-    tokenizer. Both caches are bounded. Texts with other than ASCII white space, or special-token strings, are encoded whole.
+    Where the file has the normaliser and pre-tokenizer of WORDWISE (case and white space fall away, no token spans two
+    words), a text's ids are those of its white-space-separated words in order, so each word is encoded once and kept:
+    words of Latin letters with end punctuation by the file's BPE model directly, all others by the whole tokenizer.
+    The caches are bounded. Texts with other than ASCII white space, or special-token strings, and all texts of any
+    other file are encoded whole.
     """
 
     #: Letters, then ASCII punctuation other than the apostrophe (which the pre-tokenizer treats apart).
@@ -185,11 +209,13 @@ class WordTokenizer:
     #: White space beyond ASCII, and characters that join with what stands before them or lower-case by context.
     WHOLE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u0300-\\u036f\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]|<\\|")
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.model_of = Tokenizer.from_file(path), None
+        self.whole = Tokenizer.from_file(path)
+        settings = json.loads(self.whole.to_str())
+        self.wordwise = (settings["normalizer"], settings["pre_tokenizer"]) == WORDWISE and settings["model"]["type"] == "BPE" and not settings["model"].get("dropout")
         self.model = self.whole.model
         self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.width = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
@@ -231,7 +257,7 @@ class WordTokenizer:
         return got
 
     def encode(self, text: str) -> bytes:
-        if self.WHOLE.search(text):
+        if not self.wordwise or self.WHOLE.search(text):
             return self._full(text)
         if len(self.words) > self.keep:
             self.words.clear()
@@ -251,52 +277,103 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, docs_per_shard: int = 8192, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+#: What the manifest has of a shard: its place in the order, its file, the ids of its first and last entry, and sizes.
+MANIFEST = [("shard", pa.int64()), ("file", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("entries", pa.int64()), ("tokens", pa.int64())]
+
+
+def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, shard_bytes: int = 32 << 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Write ``docs`` (doc_id, text; other columns are ignored) as shards below ``path``.
 
-    Returns a row per shard: shard (its order), file, first and last id, entries, tokens. NULL text counts as
-    empty (just the end id); NULL ids sort first; rows that repeat an id are all kept, in the order of their text.
-    An empty table writes no shard. A shard is one task's memory: ``docs_per_shard`` documents on average.
+    Returns a row per shard (MANIFEST). NULL text counts as empty (just the end id); NULL ids sort first; rows that
+    repeat an id are all kept, in the order of their texts' hashes, and may lie in several shards. An empty table
+    writes no shard. A task writes about ``shard_bytes`` of text and closes a shard at so many bytes of ids, so what
+    it holds is a shard and a document, however long texts are dealt.
     """
     spark = docs.sparkSession
-    shards = part_count(docs, docs_per_shard)
-    schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("file", T.StringType()), T.StructField("entries", T.LongType()), T.StructField("tokens", T.LongType())])
+    schema = T.StructType([T.StructField(n, T.StringType() if n == "file" else T.LongType()) for n, _ in MANIFEST])
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    parts = max(8, -(-total // shard_bytes))
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        writer, encoder, end = None, None, b""
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if writer is None:
-                encoder = tokenizer(tokenizer_path)
-                writer, end = ShardWriter(encoder.width, block_bytes), encoder._pack([end_id])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                writer.add(encode_key(doc_id), encoder.encode(text or "") + end)
-        if writer is not None:
-            number = TaskContext.get().partitionId()
-            fs, root = pafs.FileSystem.from_uri(path)
+        encoder, part, done = tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
+        end, writer, size, first = encoder._pack([end_id]), ShardWriter(encoder.width, block_bytes), 0, None
+        fs, root = pafs.FileSystem.from_uri(path)
+
+        def closed(last: int | None) -> pa.RecordBatch:
+            number = part * 1_000_000 + done
             fs.create_dir(root, recursive=True)
-            file, draft = f"{root}/shard-{number:08d}.sst", f"{root}/.draft-{number:08d}-{uuid.uuid4().hex}"
+            file, draft = f"shard-{number:014d}.sst", f"{root}/.draft-{number:014d}-{uuid.uuid4().hex}"
             with fs.open_output_stream(draft) as out:
                 out.write(writer.finish())
-            fs.move(draft, file)
-            yield pa.RecordBatch.from_pylist([{"shard": number, "file": os.path.basename(file), "entries": len(writer.keys), "tokens": writer.tokens}], schema=pa.schema([("shard", pa.int64()), ("file", pa.string()), ("entries", pa.int64()), ("tokens", pa.int64())]))
+            fs.move(draft, f"{root}/{file}")
+            return pa.RecordBatch.from_pylist([dict(zip([n for n, _ in MANIFEST], (number, file, first, last, len(writer.keys), writer.tokens), strict=True))], schema=pa.schema(MANIFEST))
+
+        doc_id = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                doc_id, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                ids = encoder.encode(text or "") + end
+                if writer.keys and size + len(ids) > shard_bytes:
+                    yield closed(last)
+                    writer, size, done = ShardWriter(encoder.width, block_bytes), 0, done + 1
+                first = first if writer.keys else doc_id
+                writer.add(encode_key(doc_id), ids)
+                last, size = doc_id, size + len(ids)
+        if writer.keys:
+            yield closed(doc_id)
 
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cut = cut.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    written = cut.mapInArrow(write, schema)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    written = cut.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text").mapInArrow(write, schema)
     manifest = f"{path.rstrip('/')}-manifest"
     written.write.parquet(manifest)  # runs the job once; the shards' sizes are small rows from here on
     return spark.read.schema(schema).parquet(manifest)
 
 
+def look_up(wanted: DataFrame, path: str, manifest: DataFrame) -> DataFrame:
+    """doc_id, ids (array of token ids) of every stored document whose doc_id stands in ``wanted`` (doc_id, as rows).
+
+    The manifest's ranges (a row per shard) name the shards that may hold an id; a task opens such a shard by its
+    footer and reads Bloom filter, index and the blocks of the ids asked for, nothing else.
+    """
+    ranges = sorted((encode_key(r["first_id"]), encode_key(r["last_id"]), r["file"]) for r in manifest.select("first_id", "last_id", "file").collect())
+    firsts, lasts = [r[0] for r in ranges], [r[1] for r in ranges]
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id in batch.column(0).to_pylist():
+                key = encode_key(doc_id)
+                rows += [(ranges[k][2], doc_id) for k in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key))]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in rows], pa.string()), pa.array([d for _, d in rows], pa.int64())], names=["file", "doc_id"])
+
+    def get(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(path)
+        name, reader, source = None, None, None
+        for batch in batches:
+            found = []
+            for file, doc_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if file != name:
+                    if source is not None:
+                        source.close()
+                    name, source = file, fs.open_input_file(f"{root}/{file}")
+                    reader = ShardReader(lambda at, n, source=source: source.read_at(n, at), source.size())
+                found += [(doc_id, ids.tolist()) for ids in reader.get(doc_id)]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([i for _, i in found], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+        if source is not None:
+            source.close()
+
+    asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(place, "file string, doc_id long")
+    return asked.repartition("file").sortWithinPartitions("file", "doc_id").mapInArrow(get, "doc_id long, ids array<long>")
+
+
 def read_shards(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every entry, from the shard files below ``path``."""
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     starts = manifest.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("shard_start"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.sst").load(path)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
@@ -305,7 +382,7 @@ def read_shards(spark: SparkSession, path: str, manifest: DataFrame) -> DataFram
         for batch in batches:
             for file, content in zip(batch.column(0), batch.column(1), strict=True):
                 ids, starts, counts, sums, at = [], [], [], [], 0
-                for doc_id, tokens in ShardReader(content.as_py()).items():
+                for doc_id, tokens in ShardReader.of(content.as_py()).items():
                     ids.append(doc_id)
                     starts.append(at)
                     counts.append(len(tokens))

@@ -483,7 +483,7 @@ def test_shard_round_trip():
     for k in keys:
         writer.add(sstable.encode_key(k), want[k].astype("<u2").tobytes())
     writer.add(sstable.encode_key(keys[-1]), b"\7\0")
-    reader = sstable.ShardReader(writer.finish())
+    reader = sstable.ShardReader.of(writer.finish())
     assert [k for k, _ in reader.items()] == [None, *keys, keys[-1]] and len(reader.index) > 20
     for k in keys[:-1]:
         assert [x.tolist() for x in reader.get(k)] == [want[k].tolist()]
@@ -492,11 +492,11 @@ def test_shard_round_trip():
     assert not any(reader.get(k) for k in missing)
     assert sum(reader.may_contain(sstable.encode_key(k)) for k in missing) < 0.1 * len(missing)
     with pytest.raises(ValueError, match="magic"):
-        sstable.ShardReader(b"x" * 100)
+        sstable.ShardReader.of(b"x" * 100)
 
 
 def test_token_output(spark, docs, words):
-    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in sstable.token_output(docs, queries.tokenizer_path(), docs_per_shard=30).collect()}
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in sstable.token_output(docs, queries.tokenizer_path(), shard_bytes=20_000).collect()}
     at, want = 0, {}
     for r in docs.orderBy("doc_id").collect():
         ids = [*ids_of(words, r["text"] or ""), 2]
@@ -505,6 +505,33 @@ def test_token_output(spark, docs, words):
     assert got == want
 
 
+def test_another_tokenizer_encodes_whole_texts(spark):
+    other = sstable.WordTokenizer(queries.tokenizer_path("byte_bpe_50k.json"))
+    text = "Hello World, this IS a Test."
+    assert not other.wordwise and ids_of(other, text) == np.frombuffer(other.encode(text), "<u2").tolist()
+    out = sstable.token_output(texts(spark, [text, None]), queries.tokenizer_path("byte_bpe_50k.json")).orderBy("doc_id").collect()
+    ids = [*ids_of(other, text), 2]
+    assert [(r["n_tokens"], r["ids_crc32"]) for r in out] == [(len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), (1, zlib.crc32(b"\2\0\0\0"))]
+
+
+def test_look_up_over_shards(spark, docs, words, tmp_path):
+    path = f"file://{tmp_path}/sst"
+    many = docs.select("doc_id", "text").union(spark.createDataFrame([(7, f"repeat {i} " * 4000) for i in range(40)] + [(None, "no id")], "doc_id long, text string"))
+    manifest = sstable.write_shards(many, path, queries.tokenizer_path(), shard_bytes=20_000)
+    shards = manifest.orderBy("shard").collect()
+    assert len(shards) > 30 and sum(r["entries"] for r in shards) == many.count()
+    assert sum(r["first_id"] == r["last_id"] == 7 for r in shards) > 5
+    want = {}
+    for r in many.collect():
+        want.setdefault(r["doc_id"], []).append([*ids_of(words, r["text"] or ""), 2])
+    asked = spark.createDataFrame([(i,) for i in [*list(want)[::3], 7, 7, None, -5, 10**12]], "doc_id long")
+    got = {}
+    for r in sstable.look_up(asked, path, manifest).collect():
+        got.setdefault(r["doc_id"], []).append(r["ids"])
+    asked = {r["doc_id"] for r in asked.collect()}
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items() if k in asked}
+
+
 def test_token_edges(spark, edges, empty):
     out = sstable.token_output(edges, queries.tokenizer_path())
     assert out.count() == len(EDGES) and out.filter("doc_id in (1, 2, 3) and n_tokens = 1").count() == 3
