@@ -50,9 +50,12 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids, self.vocabulary, self.items = [], {}, []
+        short: dict[int, list[tuple[int, list[int]]]] = {}  # by words: items too short for a seed
         for item_id, text in items:
             words = words_of(text)
-            if len(words) >= SEED_WORDS:
+            if 0 < len(words) < SEED_WORDS:
+                short.setdefault(len(words), []).append((item_id, [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]))
+            elif words:
                 self.ids.append(item_id)
                 self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=np.int64))
         self.base = len(self.vocabulary) + 1
@@ -60,28 +63,34 @@ class Index:
         self.all = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
         self.seeds = self.item_of = self.place_of = self.all
         self._grams = grams
-
-    def grams(self, ids: np.ndarray) -> np.ndarray:
-        out = ids[: len(ids) - SEED_WORDS + 1].copy()
-        for k in range(1, SEED_WORDS):
-            out = out * self.base + ids[k : len(ids) - SEED_WORDS + 1 + k]
+        self.short: dict[int, tuple[np.ndarray, dict[int, list[int]]]] = {}
+        for n, rows in short.items():
+            of: dict[int, list[int]] = {}
+            for item_id, words in rows:
+                of.setdefault(int(self.grams(np.array(words, dtype=np.int64), n)[0]), []).append(item_id)
+            self.short[n] = np.array(sorted(of), dtype=np.int64), of
+
+    def grams(self, ids: np.ndarray, n: int = SEED_WORDS) -> np.ndarray:
+        out = ids[: len(ids) - n + 1].copy()
+        for k in range(1, n):
+            out = out * self.base + ids[k : len(ids) - n + 1 + k]
         return out
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         get = self.vocabulary.get
         return np.array([get(w, 0) for w in words], dtype=np.int64)
 
-    def found(self, ids: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def found(self, ids: np.ndarray, among: np.ndarray, n: int = SEED_WORDS) -> tuple[np.ndarray, np.ndarray]:
         """Positions of n-grams of ``among`` in a text, and their index there."""
-        if len(ids) < SEED_WORDS or not len(among):
+        if len(ids) < n or not len(among):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         known = ids > 0
-        whole = known[: len(ids) - SEED_WORDS + 1].copy()
-        for k in range(1, SEED_WORDS):
-            whole &= known[k : len(ids) - SEED_WORDS + 1 + k]
+        whole = known[: len(ids) - n + 1].copy()
+        for k in range(1, n):
+            whole &= known[k : len(ids) - n + 1 + k]
         at = np.flatnonzero(whole)
         grams = ids[at]
-        for k in range(1, SEED_WORDS):
+        for k in range(1, n):
             grams = grams * self.base + ids[at + k]
         where = np.minimum(np.searchsorted(among, grams), len(among) - 1)
         hit = among[where] == grams
@@ -108,16 +117,19 @@ class Index:
 
         kept: alignments of passages seen before by this task, so that copies are aligned once.
         """
-        ids = self.numbers(words_of(text))
+        ids, out = self.numbers(words_of(text)), []
+        for n, (grams, of) in self.short.items():
+            at, which = self.found(ids, grams, n)
+            which, first = np.unique(which, return_index=True)
+            out += [(item_id, 1.0, int(at[k]), int(at[k]) + n) for g, k in zip(which, first, strict=True) for item_id in of[int(grams[g])]]
         at, seed = self.found(ids, self.seeds)
         if not len(at):
-            return []
+            return out
         count = self.last[seed] - self.first[seed]
         post = np.repeat(self.first[seed] - np.cumsum(count) + count, count) + np.arange(count.sum())
         item, shift = self.item_of[post], np.repeat(at, count) - self.place_of[post]
         order = np.lexsort((shift, item))
         item, shift = item[order], shift[order]
-        out = []
         for i in np.unique(item):
             words = self.items[i]
             size, shifts = len(words), shift[item == i]
@@ -179,8 +191,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, first_word, end_word for every document that holds a copy of a test item.
 
     A copy is a passage whose best alignment reaches LEAST_SCORE of a perfect one; of several in one document the
-    best counts. NULL and blank texts, and items under SEED_WORDS words, hold nothing. Repeated rows are reported
-    each; repeated items under each of their ids. Empty tables give no rows.
+    best counts, of equally good ones the first. Items under SEED_WORDS words count where they stand whole. NULL and
+    blank texts and items hold nothing. Repeated rows are reported each; repeated items under each of their ids. Empty
+    tables give no rows.
     """
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"
     out = docs.sparkSession.createDataFrame([], schema)
