@@ -2,9 +2,9 @@
 
 Base spans (email, ip, card, phone) follow fixed patterns and checks and always stay. The method adds spans: wide
 patterns propose candidates (secrets, local phone numbers, spelled-out addresses), and labelers vote on each: regular
-expressions for known shapes, gazetteers of key prefixes and of harmless words, and context before and around the
-span. Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is and how likely
-each pattern is personal data; these soft labels train a logistic span classifier (Spark ML) on votes and shape, and
+expressions for known shapes and well-formed parts, gazetteers of key prefixes, of harmless words and of names, streets
+and institutions, and context before and around the span. For each kind, expectation-maximisation over the counts of
+vote patterns estimates how reliable each labeler is and how likely each pattern is personal data; these soft labels train a logistic span classifier (Spark ML) on votes and shape, and
 its verdict decides. Vote patterns and shapes are few whatever the corpus, so training works on their counts, which
 cover every candidate of every document.
 
@@ -30,16 +30,20 @@ BASE = {
 }
 #: Candidates of the method. A kind that is also a base kind adds spans that the base pattern cannot see.
 CANDIDATES = {
-    "email": (("(at)", "[at]"), r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+ ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?[(\[]dot[)\]] ?)[A-Za-z0-9-]{1,63}){1,4}"),
+    "email": (("(at)", "[at]"), r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?[(\[]at[)\]] ?[A-Za-z0-9-]+(?:(?:\.| ?[(\[]dot[)\]] ?)[A-Za-z0-9-]++)++"),
     "phone": (None, r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
-    "secret": (None, r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]{0,64}+[A-Za-z])(?=[A-Za-z+/_-]{0,64}+[0-9])[A-Za-z0-9][A-Za-z0-9+/_-]{11,255}+(?![A-Za-z0-9+/_-])"),
+    "secret": (None, r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*+[A-Za-z])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9][A-Za-z0-9+/_-]{11,}+"),
 }
 KINDS = ["email", "ip", "card", "phone", "secret"]
 #: Fixed values of the labelers.
 KEY_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "sk-", "pk_live_")
 CUES = "token|password|passwd|pwd|secret|apikey|api[ _-]?key|key|auth|credential|call|tel|phone|fax|mobile|mail|contact|write to"
 HARMLESS = "version|license|licence|isbn|doi|figure|page|chapter|commit|checksum|sha256|md5|href|src"
-LABELERS = ("known_shape", "digit_mix", "key_prefix", "harmless_word", "cue_before", "assigned")
+#: Fixed values of the gazetteer: given names, words of streets and of institutions that stand by a person's details.
+NAMES = "james|mary|john|anna|maria|peter|paul|thomas|robert|linda|david|susan|michael|laura|daniel|sarah|martin|julia|andreas|claudia|jean|marie|pierre|sophie|carlos|ana|luis|elena|marco|giulia|ivan|olga|ahmed|fatima|wei|yuki"
+PLACES = "street|road|avenue|lane|boulevard|square|strasse|straße|platz|gasse|rue|place|chemin|calle|avenida|plaza|via|piazza"
+BODIES = "university|hospital|clinic|bank|school|college|institute|ministry|office|embassy|hotel|universität|klinik|schule|amt|hôpital|école|banque|universidad|ospedale"
+LABELERS = ("known_shape", "parts", "key_prefix", "harmless_word", "cue_before", "assigned", "gazetteer")
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -112,20 +116,22 @@ def _candidate(kind: str, text: Column, m: Column) -> Column:
     n_digits = F.length(_digits(match))
     if kind == "secret":
         shape = F.rlike(match, F.lit("^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|[A-Z]{4}[0-9A-Z]{16})$"))
-        mix = _vote(n_digits >= 4, n_digits < 2)
+        parts = _vote(n_digits >= 4, n_digits < 2)
     else:
         shape = F.rlike(match, F.lit(r"^\([0-9]{3}\) [0-9]{3}-[0-9]{4}$" if kind == "phone" else r"\[at\].*\[dot\]|\(at\).*\(dot\)"))
-        mix = _vote(F.lit(True))
+        # Area and exchange codes don't begin with 0 or 1; a domain ends in a label of letters.
+        parts = _vote(F.rlike(match, F.lit(r"^\(?[2-9][0-9]{2}\)?[ .-][2-9]" if kind == "phone" else r"[^A-Za-z0-9-][A-Za-z]{2,}$")), F.lit(True))
     prefix = F.lit(False)
     for p in KEY_PREFIXES:
         prefix = prefix | match.startswith(p)
     votes = F.concat(
         _vote(shape),
-        mix,
+        parts,
         _vote(prefix),
         _vote(F.lit(False), F.rlike(before, F.lit(rf"(?:{HARMLESS})\W{{0,12}}$"))),
         _vote(F.rlike(before, F.lit(rf"(?:{CUES})\W{{0,8}}$")), F.lit(True)),
         _vote(F.rlike(before, F.lit("[=:] ?[\"']?$")) | ((after == '"') & before.endswith('"'))),
+        _vote(F.lit(kind != "secret") & F.rlike(before, F.lit(rf"\b(?:{NAMES}|{PLACES}|{BODIES})\b"))),
     )
     size = F.least(F.floor(F.log2(length.cast("double"))), F.lit(8)).cast("int")
     share = F.floor(10 * n_digits / length).cast("int")
@@ -179,18 +185,24 @@ def _features(votes: Column, size: Column, share: Column, kind: Column) -> list[
 
 
 def train(candidates: DataFrame) -> tuple[float, list[float]] | None:
-    """Intercept and weights of the span classifier, from every candidate; None without candidates."""
+    """Intercept and weights of the span classifier, from every candidate; None without candidates.
+
+    Labelers are judged kind by kind: one that says the same of all spans of a kind learns nothing from another kind.
+    """
     counts = stored(candidates.groupBy("votes", "kind", "size", "share").count(), "pii-patterns")
-    patterns = [(r["votes"], r["n"]) for r in counts.groupBy("votes").agg(F.sum("count").alias("n")).orderBy("votes").collect()]  # 3 ** labelers at most
-    if not patterns:
+    rows = counts.groupBy("kind", "votes").agg(F.sum("count").alias("n")).orderBy("kind", "votes").collect()  # kinds times 3 ** labelers at most
+    if not rows:
         return None
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    chance, _ = estimate(patterns)
-    soft = counts.sparkSession.createDataFrame(sorted(chance.items()), "votes string, chance double")
+    soft = []
+    for kind in CANDIDATES:
+        if mine := [(r["votes"], r["n"]) for r in rows if r["kind"] == kind]:
+            soft += [(kind, votes, chance) for votes, chance in sorted(estimate(mine)[0].items())]
+    soft = counts.sparkSession.createDataFrame(soft, "kind string, votes string, chance double")
     names = [f"x{i}" for i in range(2 * len(LABELERS) + 2 + len(CANDIDATES))]
-    rows = counts.join(soft, "votes").select(*[c.alias(n) for c, n in zip(_features(F.col("votes"), F.col("size"), F.col("share"), F.col("kind")), names, strict=True)], "count", "chance")
+    rows = counts.join(soft, ["kind", "votes"]).select(*[c.alias(n) for c, n in zip(_features(F.col("votes"), F.col("size"), F.col("share"), F.col("kind")), names, strict=True)], "count", "chance")
     both = rows.withColumn("label", F.explode(F.array(F.lit(1.0), F.lit(0.0)))).withColumn("weight", F.col("count") * F.when(F.col("label") == 1, F.col("chance")).otherwise(1 - F.col("chance")))
     frame = VectorAssembler(inputCols=names, outputCol="features").transform(both.orderBy(*names, "label").coalesce(1))  # a row per pattern and shape
     model = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=60).fit(frame)
@@ -201,7 +213,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, base, added: arrays of spans (start, rank, kind, end) of every row, in order.
 
     NULL text is empty and has no span. Repeated rows are searched each. Candidates that overlap a base span are
-    none; the added ones are those to which the classifier gives more than an even chance.
+    none; the added ones are those to which the classifier gives more than an even chance. Texts and runs of any length
+    are searched whole. An empty table gives no rows.
     """
     rows = stored(spans_and_candidates(docs), "pii")
     model = train(rows.select(F.explode("candidates").alias("c")).select("c.*"))

@@ -78,7 +78,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [count(k) for k in pii_votes.BASE]
+    def added(kind: str, name: str) -> Column:
+        return F.size(F.filter("added", lambda s: s["kind"] == kind)).cast("long").alias(name)
+
+    counts = [count(k) for k in pii_votes.BASE] + [added("secret", "n_secret"), added("email", "n_added_email"), added("phone", "n_added_phone")]
     base = F.sha2(pii_votes.spelled(F.col("base")), 256)
     return found.select("doc_id", *counts, base.alias("base_sha256"), pii_votes.spelled(F.array_sort(F.concat("base", "added"))).alias("spans"))
 
