@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from gridtide.llm.shared import stored
 
-LEVELS = 64
+LEVELS = 128
 #: measure: (most lenient cutoff, strictest cutoff); a document fails a rule above its cutoff.
-PATHS = {"symbol_share": (1.0, 0.02), "upper_share": (1.0, 0.25), "mean_word_chars": (400.0, 14.0), "dup_line_share": (1.0, 0.25), "repeat_share": (1.0, 0.10), "same_word_share": (1.0, 0.25)}
+#: The strict ends lie where most documents fail, so the bound and not the path's end chooses the level.
+PATHS = {"symbol_share": (1.0, 0.0004), "upper_share": (1.0, 0.0625), "mean_word_chars": (400.0, 0.49), "dup_line_share": (1.0, 0.0625), "repeat_share": (1.0, 0.01), "same_word_share": (1.0, 0.0625)}
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 SYMBOLS = b"#*$%&|<>"
@@ -150,13 +151,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alp
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, stratum, level, cutoff_level.
 
     ``labels`` (doc_id, quality): rows with quality 1 are the good documents; those that fail the base rules are
-    left out of the holdout, because the cutoffs decide only about documents that pass them. Every labelled row
-    counts. No labels: level 0 everywhere, so only the base rules reject. Repeated rows are judged each by itself.
+    left out of the holdout, because the cutoffs decide only about documents that pass them. A labelled id counts
+    once, by its worst row. No labels: level 0 everywhere, so only the base rules reject. Repeated rows are judged each by itself.
     """
     spark = docs.sparkSession
     rows = stored(measured(docs, stratum).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))), "rules")
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    counted = rows.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi").groupBy("stratum", "level").count()
+    each = rows.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi").groupBy("stratum", "doc_id").agg(F.min("level").alias("level"))
+    counted = each.groupBy("stratum", "level").count()
     histogram: dict[str, dict[int, int]] = {}
     for row in counted.collect():  # strata times levels at most
         histogram.setdefault(row["stratum"], {})[row["level"]] = row["count"]
