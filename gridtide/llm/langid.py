@@ -122,7 +122,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], dim: int
 def fit_language_model(labelled: DataFrame, sample: int = 3000) -> Model:
     """Learn from (doc_id, text, lang). ``sample``: the most documents that training sees, the first by a hash of doc_id.
 
-    Rows with NULL text, NULL lang or no letter teach nothing and are left out.
+    Rows with NULL text, NULL lang, NULL id or no letter teach nothing and are left out. Of rows that repeat an id the
+    first by text and lang is taken.
     """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,8 +138,9 @@ def fit_language_model(labelled: DataFrame, sample: int = 3000) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lang, pa.string()), pa.array(packed, pa.binary())], names=["doc_id", "lang", "counts"])
 
     keys = labelled.filter("text is not null and lang is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    chosen = keys.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    few = keys.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi")  # at most `sample` ids
+    chosen = keys.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    one = F.min(F.struct("text", "lang")).alias("x")
+    few = keys.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(one).select("doc_id", "x.*")  # at most `sample` ids
     got = sorted((r["doc_id"], r["lang"], bytes(r["counts"])) for r in few.mapInArrow(count, "doc_id long, lang string, counts binary").collect())
     rows = [np.frombuffer(c, "<u4").astype(np.int64).reshape(2, -1) for _, _, c in got]
     return train([(r[0], r[1]) for r in rows], [lang for _, lang, _ in got])
@@ -148,7 +150,8 @@ def predict_language(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, accepted of every row of ``docs`` (doc_id, text).
 
     ``und`` with score 0 where text is NULL or has no letter, or nothing was learned. ``accepted`` is the calibrated
-    rejection: the score reaches the threshold that held the wanted precision on the calibration part.
+    rejection: the score reaches the threshold that held the wanted precision on the calibration part. Texts of any
+    length are read whole, repeated rows judged each; an empty table gives no rows.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -121,26 +121,36 @@ def train(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: in
     return net
 
 
-def fit_quality_model(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Network:
+def fit_quality_model(docs: DataFrame, labels: DataFrame, sample: int = 4000, passages: int = 512) -> Network:
     """Learn from ``labels`` (doc_id, quality) of ``docs`` (doc_id, text).
 
-    ``sample``: the most labelled documents that training sees, the first by a hash of doc_id. Rows with NULL
-    doc_id or quality teach nothing; NULL text counts as empty. Where labels repeat an id, the larger label holds.
+    ``sample``: the most labelled documents that training sees, the first by a hash of doc_id; ``passages``: the most
+    passages of one, spread evenly over it (scoring reads all). Rows with NULL doc_id or quality teach nothing; NULL
+    text counts as empty. Where labels repeat an id, the larger label holds; where documents do, the first text.
     """
 
     def bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([encode(t.as_py() or b"").tobytes() for t in batch.column(2)], pa.binary())], names=["doc_id", "quality", "bag"])
+            packed = []
+            for text in batch.column(2):
+                bag = encode(text.as_py() or b"")
+                packed.append(bag[np.linspace(0, len(bag) - 1, min(len(bag), passages)).astype(np.int64)].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "quality", "bag"])
 
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `sample` ids
+    few = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     got = sorted((r["doc_id"], r["quality"], bytes(r["bag"])) for r in few.select("doc_id", "quality", "text").mapInArrow(bags, "doc_id long, quality int, bag binary").collect())
     return train([np.frombuffer(b, np.float32).reshape(-1, WIDTH).astype(np.float64) for _, _, b in got], np.array([q for _, q, _ in got], dtype=np.float64))
 
 
 def with_score(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:
-    """``docs`` with the score of every row's whole text as column ``name`` (replaced where it exists already)."""
+    """``docs`` with the score of every row's whole text as column ``name`` (replaced where it exists already).
+
+    NULL and blank texts are one passage of zeros and get a score like any other; repeated rows are scored each; an
+    empty table gives no rows. Other columns pass through.
+    """
     rest = docs.drop(name)
     schema = T.StructType([*rest.schema.fields, T.StructField(name, T.DoubleType())])
     columns = rest.columns
