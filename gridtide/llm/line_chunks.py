@@ -28,9 +28,10 @@ NO_LINES = "cast(array() as array<string>)"
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, rid (the row's identity), lines. NULL text has no line."""
+    """doc_id, rid (the row's identity: half of the SHA-256 of id and text), text."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return base.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
+    whole = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.when(F.col("text").isNull(), "-").otherwise(":"), F.coalesce("text", F.lit("")))
+    return base.select("doc_id", F.substring(F.unhex(F.sha2(whole, 256)), 1, 16).alias("rid"), "text")
 
 
 def with_lines(rows: DataFrame) -> DataFrame:
