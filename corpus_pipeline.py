@@ -29,14 +29,15 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: DataFrame | None = None) -> DataFrame:
     """The documents at the target weights, in the order of their slots: an over-represented source's surplus goes.
 
-    The weights are the sources' sizes tempered (pfair_mix.tempered_weights). The surplus is measured in characters,
-    so a source at or under its share keeps all its documents. Rows that share a doc_id share its block.
+    ``weights`` (source, weight) are the targets; without them the sources' sizes to the power 0.9
+    (pfair_mix.tempered_weights). The surplus is measured in characters, so a source at or under its share keeps all
+    its documents. Rows that share a doc_id share its block.
     """
     slot = free_name(docs, "_slot")
-    plan = pfair_mix.mix(docs).filter("in_share").groupBy("doc_id").agg(F.min("slot").alias(slot))
+    plan = pfair_mix.mix(docs, weights).filter("in_share").groupBy("doc_id").agg(F.min("slot").alias(slot))
     mixed = docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"])).select(*[docs[c] for c in docs.columns], slot)
     ordered = mixed.repartitionByRange(slot, "doc_id").sortWithinPartitions(slot, pfair_mix.order_key(F.col("doc_id")))
     return ordered.drop(slot)
