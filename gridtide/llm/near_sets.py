@@ -3,9 +3,9 @@
 1. Tasks turn every whole text into its set of shingle hashes, a fingerprint of its words, and the first shingles of
    the set in a common order (rarest first). Rows of equal normalised text are one item.
 2. The vantage-point search (simhash_vptree.links) proposes a spanning forest of items of close fingerprints.
-3. What fingerprints miss is found exactly: two similar sets share one of their first shingles (prefix filter). One
-   aggregation per shingle leaves those that stand in items of different components. A star around each of them joins
-   most of what belongs together; then every pair of items of different components that share one is compared.
+3. What fingerprints miss is found exactly: two similar sets share one of their first shingles (prefix filter). Of the
+   shingles that several items share, a star around the most central of them proposes pairs too, which join most of
+   what belongs together; then every pair of items of different components that share one is compared.
 4. A proposed pair links if its sets are similar; connected components run over the links in Spark.
 
 Sizes, places of the shared shingle and parity bitmaps are exact bounds that leave out pairs which cannot be similar.
@@ -30,7 +30,7 @@ from gridtide.llm.simhash_vptree import SEED, fingerprint, links
 
 #: Odd multiplier and finalizer constants of the shingle hash (fixed values of MurmurHash3's 64-bit mix).
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
-BITS = 256
+BITS = 512
 #: Sets of up to this many shingles are kept by all 64 bits of their hashes, larger ones by the upper 40.
 FEW = 256
 CHUNK = 2048
@@ -145,15 +145,20 @@ def shingle_sets(docs: DataFrame, set_words: int, least: float) -> DataFrame:
 
 
 def similar(pairs: DataFrame, keyed: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b: rows of ``keyed``) whose sets are ``least`` similar."""
+    """Those of ``pairs`` (a, b: rows of ``keyed``) whose sets are ``least`` similar.
+
+    One pass over all sets takes out those that the pairs name; the joins that bring two together carry these alone.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fit = [set_similarity(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
 
-    x = keyed.select(F.col("row").alias("a"), F.col("shingles").alias("x"))
-    y = keyed.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
+    named = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
+    some = stored(keyed.select("row", "shingles").join(named, "row", "left_semi"), "pair-sets")
+    x = some.select(F.col("row").alias("a"), F.col("shingles").alias("x"))
+    y = some.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -163,26 +168,24 @@ def with_component(items: DataFrame, found: list[DataFrame]) -> DataFrame:
     for more in found[1:]:
         edges = edges.union(more)
     of = connected_components(edges, "links").withColumnRenamed("node", "id")
-    return items.drop("component").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return items.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def spread(firsts: DataFrame, places: bool) -> DataFrame:
-    """A row per item and prefix shingle: token, and component or (``places``) id and place."""
+    """A row per item and prefix shingle of ``firsts`` (id, prefix): token and, with ``places``, id and place."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            many = pc.binary_length(batch.column(1)).to_numpy() // 8
             token = pa.array(np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<i8"))
+            if not places:
+                yield pa.RecordBatch.from_arrays([token], names=["token"])
+                continue
+            many = pc.binary_length(batch.column(1)).to_numpy() // 8
             mine = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), many)))
-            if places:
-                at = np.arange(len(token)) - np.repeat(np.cumsum(many) - many, many)
-                yield pa.RecordBatch.from_arrays([token, mine, pa.array(at.astype(np.int32))], names=["token", "id", "place"])
-            else:
-                yield pa.RecordBatch.from_arrays([token, mine], names=["token", "component"])
+            at = np.arange(len(token)) - np.repeat(np.cumsum(many) - many, many)
+            yield pa.RecordBatch.from_arrays([token, mine, pa.array(at.astype(np.int32))], names=["token", "id", "place"])
 
-    if places:
-        return firsts.select("id", "prefix").mapInArrow(run, "token long, id long, place int")
-    return firsts.select("component", "prefix").mapInArrow(run, "token long, component long")
+    return firsts.select("id", "prefix").mapInArrow(run, "token long, id long, place int" if places else "token long")
 
 
 def may_link(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], least: float) -> np.ndarray:
@@ -233,28 +236,31 @@ def token_pairs(group: np.ndarray, across: np.ndarray, chunk: np.ndarray, ids: n
 
 
 def shared_tokens(keyed: DataFrame, items: DataFrame) -> DataFrame:
-    """token, id, place of every prefix shingle that stands in items of different components."""
-    firsts = keyed.select(F.col("row").alias("id"), "prefix").join(items.select("id", "component"), "id")
-    mixed = spread(firsts, False).groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    mixed = stored(mixed.select("token"), "mixed-shingles")
-    return spread(keyed.select(F.col("row").alias("id"), "prefix").join(items.select("id"), "id", "left_semi"), True).join(mixed, "token", "left_semi")
+    """token, id, place of every prefix shingle that stands in two items or more."""
+    firsts = keyed.select(F.col("row").alias("id"), "prefix").join(items.select("id"), "id", "left_semi")
+    twice = stored(spread(firsts, False).groupBy("token").count().filter("count > 1").select("token"), "shared-shingles")
+    return spread(firsts, True).join(twice, "token", "left_semi")
 
 
 def star_pairs(tokens: DataFrame, items: DataFrame, least: float) -> DataFrame:
-    """a, b: each item with the first item of each of its shared tokens, where they are of different components."""
-    first = tokens.groupBy("token").agg(F.min("id").alias("a"))
-    pairs = tokens.join(first, "token").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    of = items.select("id", "n", "component")
-    named = pairs.join(of.toDF("a", "na", "ca"), "a").join(of.toDF("b", "nb", "cb"), "b")
-    return named.filter((F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-6)).select("a", "b")
+    """a, b: each item with the most central item of each of its shared tokens, where their sizes allow it.
+
+    Central is what has least of its prefix to itself: the text that the others are edits of.
+    """
+    own = tokens.groupBy("id").agg(F.count("*").alias("shared")).join(items.select("id", "n"), "id")
+    own = own.select("id", "n", F.struct((-F.col("shared") / F.col("n")).alias("lone"), F.col("id").alias("id"), F.col("n").alias("n")).alias("rank"))
+    placed = stored(tokens.select("token", "id").join(own, "id"), "star-shingles")
+    first = placed.groupBy("token").agg(F.min("rank").alias("hub"))
+    rays = placed.join(first, "token").filter(F.least("n", "hub.n") >= least * F.greatest("n", "hub.n") - 1e-6)
+    return rays.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).filter("a <> b").distinct()
 
 
 def open_pairs(tokens: DataFrame, items: DataFrame, least: float, rows_per_part: int = 200_000) -> DataFrame:
     """a, b: every pair of items of different components that shares a token and may link."""
-    named = stored(tokens.join(items.select("id", "component", "n", "bits"), "id"), "shared-shingles")
+    named = tokens.join(items.select("id", "component", "n"), "id")
     counts = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     counts = stored(counts.filter("low <> high").select("token", "chunks"), "open-shingles")
-    rows = named.join(counts, "token").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    rows = named.join(counts, "token").join(items.select("id", "bits"), "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = met.select("token", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "component", "chunk", "id", "n", "place", "bits")
 
@@ -297,13 +303,14 @@ def grouped(docs: DataFrame, set_words: int, radius: int, least: float, shard_it
     rep = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "raw", "times")
     items = same.groupBy("item").agg(F.min("x").alias("x"), F.min(rep).alias("rep"))
     items = stored(items.select("item", "rep", F.col("x.row").alias("id"), "x.fp", "x.n", "x.bits"), "items")
-    proposed = stored(links(items.select("id", "fp"), items.count(), items, radius, shard_items), "proposed")
-    found = [stored(similar(proposed, keyed, least), "similar")]
-    now = stored(with_component(items, found), "components")
-    tokens = stored(shared_tokens(keyed, now), "tokens")
-    for propose in (star_pairs, open_pairs):
-        found.append(stored(similar(stored(propose(tokens, now, least), "pairs"), keyed, least), "similar"))
-        now = stored(with_component(items, found), "components")
+    tokens = stored(shared_tokens(keyed, items), "tokens")
+    proposed = links(items.select("id", "fp"), items.count(), items, radius, shard_items).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = stored(proposed.union(star_pairs(tokens, items, least)).distinct(), "proposed")
+    found = stored(similar(pairs, keyed, least), "similar")
+    now = stored(with_component(items, [found]), "components")
+    more = stored(similar(stored(open_pairs(tokens, now, least), "open-pairs"), keyed, least), "similar")
+    if not more.isEmpty():
+        now = stored(with_component(items, [found, more]), "components")
     return keyed, now.select("item", "component", "rep")
 
 

@@ -283,7 +283,7 @@ def test_token_pairs_are_all_allowed_pairs():
     group, component, chunk = np.sort(rng.integers(0, 20, 200)), rng.integers(0, 4, 200), rng.integers(0, 2, 200)
     order = np.lexsort((component, group))
     group, component = group[order], component[order]
-    rows = (group, group % 3 == 0, chunk, np.arange(200), component, np.full(200, 10), np.zeros(200, np.int64), np.zeros((200, 4), np.uint64))
+    rows = (group, group % 3 == 0, chunk, np.arange(200), component, np.full(200, 10), np.zeros(200, np.int64), np.zeros((200, near_sets.BITS // 64), np.uint64))
     got = [p for a, b in near_sets.token_pairs(*rows, 0.8, cells=50) for p in zip(a.tolist(), b.tolist())]
     want = {(i, j) for j in range(200) for i in range(j) if group[i] == group[j] and component[i] != component[j] and (group[i] % 3 or chunk[i] != chunk[j])}
     assert len(got) == len(set(got)) and set(got) == want
