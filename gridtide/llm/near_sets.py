@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtide.llm.components import connected_components
-from gridtide.llm.shared import free_name, stored
+from gridtide.llm.shared import dropped, free_name, stored
 from gridtide.llm.simhash_vptree import SEED, fingerprint, links
 
 #: Odd multiplier and finalizer constants of the shingle hash (fixed values of MurmurHash3's 64-bit mix).
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 BITS = 512
 #: Sets of up to this many shingles are kept by all 64 bits of their hashes, larger ones by the upper 40.
-FEW = 256
+FEW = 64
 CHUNK = 2048
 
 
@@ -159,7 +159,9 @@ def similar(pairs: DataFrame, keyed: DataFrame, least: float) -> DataFrame:
     some = stored(keyed.select("row", "shingles").join(named, "row", "left_semi"), "pair-sets")
     x = some.select(F.col("row").alias("a"), F.col("shingles").alias("x"))
     y = some.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    links = stored(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar")
+    dropped(some)
+    return links
 
 
 def with_component(items: DataFrame, found: list[DataFrame]) -> DataFrame:
@@ -306,9 +308,9 @@ def grouped(docs: DataFrame, set_words: int, radius: int, least: float, shard_it
     tokens = stored(shared_tokens(keyed, items), "tokens")
     proposed = links(items.select("id", "fp"), items.count(), items, radius, shard_items).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = stored(proposed.union(star_pairs(tokens, items, least)).distinct(), "proposed")
-    found = stored(similar(pairs, keyed, least), "similar")
+    found = similar(pairs, keyed, least)
     now = stored(with_component(items, [found]), "components")
-    more = stored(similar(stored(open_pairs(tokens, now, least), "open-pairs"), keyed, least), "similar")
+    more = similar(stored(open_pairs(tokens, now, least), "open-pairs"), keyed, least)
     if not more.isEmpty():
         now = stored(with_component(items, [found, more]), "components")
     return keyed, now.select("item", "component", "rep")
@@ -332,8 +334,9 @@ def deduplicated(docs: DataFrame, set_words: int = 5, radius: int = 2, least: fl
 
     Of rows equal in doc_id and text the first by their other columns (as JSON) stays.
     """
-    _, items = grouped(docs, set_words, radius, least, shard_items)
+    keyed, items = grouped(docs, set_words, radius, least, shard_items)
     keep = stored(items.groupBy("component").agg(F.min("rep").alias("rep")).select("rep.doc_id", "rep.raw", "rep.times"), "kept")
+    dropped(keyed)
     name, raw = free_name(docs, "_name"), free_name(docs, "_raw")
     rows = docs.withColumn(name, F.col("doc_id").cast("long")).withColumn(raw, raw_digest("text"))
 

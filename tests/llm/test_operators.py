@@ -326,7 +326,7 @@ def test_rows_that_share_an_id_or_have_none(spark):
     assert sorted(r["text"] for r in near_sets.deduplicated(alone).collect()) == [a, b]
 
 
-@pytest.mark.parametrize("n", [1, 255, 256, 257, 1200])
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 1200])
 def test_packed_sets(n):
     h = np.unique(np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64))
     a, b = near_sets.packed(h), near_sets.packed(h[: n - n // 10])
