@@ -1,7 +1,7 @@
 """Isolation forest (Liu, Ting and Zhou 2008).
 
-Trees see samples of ``sample`` rows, as the method has it, drawn from a bounded pool; every row is scored, in the
-tasks, by the forest as a broadcast of a size that its parameters bound.
+Trees see samples of ``sample`` rows of the whole table, as the method has it, and grow in tasks; every row is scored,
+in the tasks, by the forest as a broadcast of a size that its parameters bound.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridtide.operators.order_stats import quantile
+
 
 def expected_path(n: np.ndarray | float) -> np.ndarray:
     """Mean path length of an unsuccessful search among n points."""
@@ -68,17 +70,37 @@ def grow(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarra
     return np.array(feature), np.array(cut), np.array(left), np.array(path)
 
 
-def fit(train: DataFrame, columns: list[str], order: list[str], trees: int = 300, sample: int = 2048, pool: int = 16_384, seed: int = 42) -> Forest:
-    """A forest on at most ``pool`` rows (the first by a hash of ``order``); missing values become the medians of all rows."""
-    middle = train.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in columns]).first()
-    medians = np.array([np.nan if middle[c] is None else middle[c] for c in columns], dtype=float)
-    medians = np.where(np.isnan(medians), 0.0, medians)
-    rows = train.orderBy(F.xxhash64(*order), *order).limit(pool).select(*[F.col(c).cast("double") for c in columns]).toPandas()
-    x = rows.to_numpy(float)
-    x = np.where(np.isnan(x), medians, x)
-    rng = np.random.default_rng(seed)
-    size = min(sample, len(x))
-    made = [grow(x[rng.choice(len(x), size, replace=False)], rng) for _ in range(trees)] if size else []
+def fit(train: DataFrame, columns: list[str], order: list[str], trees: int = 300, sample: int = 2048, seed: int = 42) -> Forest:
+    """A forest whose trees each see a sample of their own of the whole table, about ``sample`` rows chosen by hashes.
+
+    Rows are sent to the trees that drew them and each tree grows in a task; what returns is the trees, of a size that
+    the parameters bound. Missing values become the medians of all rows.
+    """
+    columns = list(columns)
+    values = train.select(*order, *[F.col(c).cast("double").alias(c) for c in columns])
+    middle = {c: (quantile(values, [], c, 0.5, "m").first() or {"m": None})["m"] for c in columns}
+    medians = np.array([0.0 if middle[c] is None else middle[c] for c in columns], dtype=float)
+    rows = values.count()
+    size = min(sample, rows)
+    if not size:
+        return Forest(columns, medians, [], 0)
+    # A row is drawn by rounds of trees: in each it goes to one tree, if at all, so a round costs a row once.
+    rounds = -(-trees * size // rows)
+    share = trees * size / (rounds * rows)
+    drawn = values.withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    chance = F.pmod(F.xxhash64(*order, "_round", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    tree = F.pmod(F.xxhash64(F.lit(seed + 1), *order, "_round"), F.lit(trees)).cast("int")
+    drawn = drawn.filter(chance < share).select(tree.alias("tree"), *columns)
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows[columns].to_numpy(float)
+        x = np.where(np.isnan(x), medians, x)
+        x = x[np.lexsort(x.T)]  # the order of arrival is not part of the result
+        feature, cut, left, path = grow(x, np.random.default_rng([seed, int(rows["tree"].iloc[0])]))
+        return pd.DataFrame({"tree": rows["tree"].iloc[:1], "feature": [feature.tolist()], "cut": [cut.tolist()], "left": [left.tolist()], "path": [path.tolist()]})
+
+    grown = drawn.groupBy("tree").applyInPandas(one, "tree int, feature array<long>, cut array<double>, left array<long>, path array<double>")
+    made = [(np.array(r["feature"]), np.array(r["cut"]), np.array(r["left"]), np.array(r["path"])) for r in sorted(grown.collect(), key=lambda r: r["tree"])]
     return Forest(columns, medians, made, size)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridtide.functions.time import floor_to, seconds_between
 from gridtide.functions.values import lenient_double
-from gridtide.operators.timegrid import first_per_key, label_convention, local_day_counts, on_grid, resolve_labels
+from gridtide.operators.timegrid import checked_convention, checked_instants, first_per_key, label_convention, local_day_counts, on_grid, resolve_labels
 from gridtide.operators.windows import interpolated, runs
 
 QUARTER = 900
@@ -103,15 +103,23 @@ def file_report(rows: DataFrame, tz: str) -> DataFrame:
     return per.join(conventions, "file").join(days, "file", "left")
 
 
+def load_instants(rows: DataFrame, tz: str) -> DataFrame:
+    """``rows`` (file, row_no, label, …) with the instant of each label, in the convention of its file.
+
+    The job fails at a file of unknown convention and at a label that is no local time.
+    """
+    conventions = checked_convention(label_convention(rows)).select("file", "convention")
+    return checked_instants(resolve_labels(rows.join(conventions, "file"), tz))
+
+
 def clean_load(rows: DataFrame, keys: list[str], bounds: DataFrame, setup: CleaningSetup = CleaningSetup()) -> DataFrame:
     """keys, utc_start, load_mw, interpolated, observed, out_of_range on the grid of ``bounds``.
 
-    ``rows``: keys, file, row_no, label, energy_kwh. Labels resolve to instants (invalid ones are dropped by
-    resolve_labels' flag), the first row of an instant stays, kWh per quarter become MW, implausible values and
-    gaps become missing, and gaps are interpolated by the setup's limit.
+    ``rows``: keys, file, row_no, label, energy_kwh. Labels resolve to instants (load_instants), the first row of an
+    instant stays, kWh per quarter become MW, implausible values and gaps become missing, and gaps are interpolated by
+    the setup's limit.
     """
-    labelled = rows.join(label_convention(rows).select("file", "convention"), "file")
-    instants = resolve_labels(labelled, setup.tz).filter("valid")
+    instants = load_instants(rows, setup.tz)
     single = first_per_key(instants.select(*keys, "utc_start", "file", "row_no", "energy_kwh"), [*keys, "utc_start"], ["file", "row_no"])
     power = single.select(*keys, "utc_start", (F.col("energy_kwh") * 4 / 1000).alias("load_mw"), F.lit(True).alias("observed"))
     grid = on_grid(power, keys, bounds, QUARTER).withColumn("observed", F.coalesce("observed", F.lit(False)))
@@ -136,12 +144,13 @@ def validation_counts(cleaned: DataFrame, keys: list[str], instants: DataFrame |
     if instants is None:
         return out
     twice = instants.groupBy(*keys, "utc_start").count().groupBy(*keys).agg(F.sum(F.col("count") - 1).alias("duplicate_utc_intervals"))
-    return out.join(twice, keys, "left")
-
+    return out.join(twice, keys, "left") if keys else out.crossJoin(twice)  # one row each
 
-def gap_lengths(df: DataFrame, keys: list[str], value: str, step: int, t: str = "utc_start") -> DataFrame:
-    """Inner gaps: their first missing time and number of steps."""
-    from gridtide.operators.windows import neighbours
 
-    near = neighbours(df, keys, value, t).filter(F.col(value).isNull() & F.col("prev_t").isNotNull() & F.col("next_t").isNotNull())
-    return near.groupBy(*keys, "prev_t", "next_t").agg(F.min(t).alias("gap_start")).select(*keys, "gap_start", (seconds_between(F.col("prev_t"), F.col("next_t")) / step - 1).cast("long").alias("gap_steps"))
+def validation_record(quarter: DataFrame, hourly: DataFrame, weather: DataFrame, instants: DataFrame) -> DataFrame:
+    """The validation counts of one series, its duplicates, longest run of equal values, hours, and the weather's counts."""
+    longest = longest_identical_run(quarter, [], "load_mw", QUARTER).select(F.col("longest_run").alias("longest_identical_run"))
+    hours = hourly.agg(F.count("*").alias("hourly_rows"), F.count_if(F.col("load_mw").isNull()).alias("hourly_incomplete"))
+    parts = [F.lit("rows"), F.count("*"), *[x for c in ("temperature_c", "radiation_wm2") for x in (F.lit(f"missing_{c}"), F.count_if(F.col(c).isNull()))]]
+    # One row each.
+    return validation_counts(quarter, [], instants).crossJoin(longest).crossJoin(hours).crossJoin(weather.agg(F.create_map(*parts).alias("weather")))

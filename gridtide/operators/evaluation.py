@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from gridtide.functions.time import to_utc
 from gridtide.functions.values import all_known
+from gridtide.operators.order_stats import ranked
 
 
 def _col(name: str) -> Column:
@@ -92,16 +93,12 @@ def coverage(preds: DataFrame, pairs: dict[str, tuple[str, str, float]], by: lis
 def conformal_margin(preds: DataFrame, lo: str, hi: str, nominal: float, by: list[str]) -> DataFrame:
     """Per group the order statistic of max(lo - y, y - hi) that widens the interval to ``nominal``.
 
-    Rank min(k + 1, n) with k = ceil((n + 1) nominal), counted from 1. Distinct scores with counts are ranked, in
-    one pass per group over pre-aggregated rows.
+    Rank min(k + 1, n) with k = ceil((n + 1) nominal), counted from 1.
     """
     y = F.col("target")
     scores = preds.filter(all_known(y, _col(lo), _col(hi))).select(*by, F.greatest(_col(lo) - y, y - _col(hi)).alias("score"))
-    counted = scores.groupBy(*by, "score").agg(F.count("*").alias("c"))
-    order, whole = Window.partitionBy(*by).orderBy("score"), Window.partitionBy(*by)
-    ranked = counted.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(whole))
-    rank = F.least(F.ceil((F.col("n") + 1) * nominal) + 1, F.col("n"))
-    return ranked.filter(F.col("upto") >= rank).groupBy(*by).agg(F.min("score").alias("margin"), F.max("n").alias("n"))
+    one = ranked(scores, by, "score", lambda n: [F.least(F.ceil((n + 1) * nominal) + 1, n)])
+    return one.select(*by, F.col("values")[0].alias("margin"), "n")
 
 
 def typical_week(preds: DataFrame, model: str, by: list[str], local: Column, least: int) -> DataFrame:

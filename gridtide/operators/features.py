@@ -14,9 +14,10 @@ from gridtide.operators.timegrid import lags, regular
 from gridtide.operators.windows import rolling
 
 HOUR = 3600
-CALENDAR = "hour weekday month day_of_year doy_sin doy_cos is_weekend holiday_share is_holiday bridge_day day_before_holiday day_after_holiday holiday_share_prev holiday_share_next school_holiday_proxy daytype".split()
-LAGGED_WEATHER = "temp_lag48h radiation_lag48h temp_dm2_mean hdd_dm2 cdd_dm2 temp_dm1_morning_mean temp_dm1_last".split()
-ORACLE_WEATHER = "temperature_c radiation_wm2 temp_d_mean hdd_d cdd_d temp_mean_24h".split()
+#: The published names of the features, by set.
+CALENDAR = ("hour", "weekday", "month", "day_of_year", "doy_sin", "doy_cos", "is_weekend", "holiday_share", "is_holiday", "bridge_day", "day_before_holiday", "day_after_holiday", "holiday_share_prev", "holiday_share_next", "school_holiday_proxy", "daytype")
+LAGGED_WEATHER = ("temp_lag48h", "radiation_lag48h", "temp_dm2_mean", "hdd_dm2", "cdd_dm2", "temp_dm1_morning_mean", "temp_dm1_last")
+ORACLE_WEATHER = ("temperature_c", "radiation_wm2", "temp_d_mean", "hdd_d", "cdd_d", "temp_mean_24h")
 
 
 @dataclass(frozen=True)

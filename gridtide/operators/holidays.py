@@ -10,24 +10,24 @@ from pyspark.sql import functions as F
 from gridtide.functions.time import easter_sunday, midnight, nth_weekday, plus, to_local
 
 # The regions (cantons) and which of them keep each holiday. They must equal the published calendars.
-REGIONS = "AG AI AR BE BL BS FR GE GL GR JU LU NE NW OW SG SH SO SZ TG TI UR VD VS ZG ZH".split()
-MONDAYS = "AG AI AR BE BL BS GE GL GR JU LU SG SH SZ TG TI UR VD ZH".split()
+REGIONS = ("AG", "AI", "AR", "BE", "BL", "BS", "FR", "GE", "GL", "GR", "JU", "LU", "NE", "NW", "OW", "SG", "SH", "SO", "SZ", "TG", "TI", "UR", "VD", "VS", "ZG", "ZH")
+MONDAYS = ("AG", "AI", "AR", "BE", "BL", "BS", "GE", "GL", "GR", "JU", "LU", "SG", "SH", "SZ", "TG", "TI", "UR", "VD", "ZH")
 FIXED_DATES = {
     "New Year's Day": ("01-01", REGIONS),
-    "Saint Berchtold's Day": ("01-02", "AG BE JU LU TG VD".split()),
-    "Epiphany": ("01-06", "SZ TI UR".split()),
+    "Saint Berchtold's Day": ("01-02", ("AG", "BE", "JU", "LU", "TG", "VD")),
+    "Epiphany": ("01-06", ("SZ", "TI", "UR")),
     "Republic Day": ("03-01", ["NE"]),
-    "Saint Joseph's Day": ("03-19", "NW SZ TI UR VS".split()),
-    "Labor Day": ("05-01", "AG BL BS JU NE SH TG TI ZH".split()),
+    "Saint Joseph's Day": ("03-19", ("NW", "SZ", "TI", "UR", "VS")),
+    "Labor Day": ("05-01", ("AG", "BL", "BS", "JU", "NE", "SH", "TG", "TI", "ZH")),
     "Independence Day": ("06-23", ["JU"]),
     "Saints Peter and Paul": ("06-29", ["TI"]),
     "National Day": ("08-01", REGIONS),
-    "Assumption Day": ("08-15", "AG AI JU LU NW OW SZ TI UR VS ZG".split()),
+    "Assumption Day": ("08-15", ("AG", "AI", "JU", "LU", "NW", "OW", "SZ", "TI", "UR", "VS", "ZG")),
     "Saint Nicholas of Flüe": ("09-25", ["OW"]),
-    "All Saints' Day": ("11-01", "AG AI GL JU LU NW OW SG SZ TI UR VS ZG".split()),
-    "Immaculate Conception": ("12-08", "AG AI LU NW OW SZ TI UR VS ZG".split()),
+    "All Saints' Day": ("11-01", ("AG", "AI", "GL", "JU", "LU", "NW", "OW", "SG", "SZ", "TI", "UR", "VS", "ZG")),
+    "Immaculate Conception": ("12-08", ("AG", "AI", "LU", "NW", "OW", "SZ", "TI", "UR", "VS", "ZG")),
     "Christmas Day": ("12-25", REGIONS),
-    "Saint Stephen's Day": ("12-26", "AG BE BL BS GL GR LU SG SH SZ TG TI ZH".split()),
+    "Saint Stephen's Day": ("12-26", ("AG", "BE", "BL", "BS", "GL", "GR", "LU", "SG", "SH", "SZ", "TG", "TI", "ZH")),
     "Restoration Day": ("12-31", ["GE"]),
 }
 EASTER_DAYS = {
@@ -35,7 +35,7 @@ EASTER_DAYS = {
     "Easter Monday": (1, MONDAYS),
     "Ascension Day": (39, REGIONS),
     "Pentecost Monday": (50, MONDAYS),
-    "Corpus Christi": (60, "AG AI JU LU NE NW OW SZ TI UR VS ZG".split()),
+    "Corpus Christi": (60, ("AG", "AI", "JU", "LU", "NE", "NW", "OW", "SZ", "TI", "UR", "VS", "ZG")),
 }
 #: name: (month, ISO weekday, n-th, days after, regions)
 WEEKDAYS = {"Genevan Fast": (9, 7, 1, 4, ["GE"]), "Prayer Monday": (9, 7, 3, 1, ["VD"]), "Battle of Naefels Victory Day": (4, 4, 1, 0, ["GL"])}

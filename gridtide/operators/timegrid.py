@@ -56,6 +56,18 @@ def label_convention(df: DataFrame, file: str = "file", label: str = "label", ro
     return first.withColumn("convention", F.when(clock == "00:15", "end").when(clock == "00:00", "start"))
 
 
+def checked_convention(conventions: DataFrame, file: str = "file") -> DataFrame:
+    """The rows of label_convention unchanged; the job fails where a file's first label is of neither convention."""
+    said = F.concat(F.lit("unknown label convention in "), F.coalesce(F.col(file).cast("string"), F.lit("a file")), F.lit(": "), F.coalesce("first_label", F.lit("no label")))
+    return conventions.filter(F.when(F.col("convention").isNull(), F.raise_error(said).cast("boolean")).otherwise(F.lit(True)))
+
+
+def checked_instants(rows: DataFrame, label: str = "label") -> DataFrame:
+    """The rows of resolve_labels unchanged; the job fails at a label that the clock skips or that is no local time."""
+    said = F.concat(F.lit("no such local time: "), F.coalesce(F.col(label), F.lit("no label")))
+    return rows.filter(F.when(~F.col("valid"), F.raise_error(said).cast("boolean")).otherwise(F.lit(True)))
+
+
 def resolve_labels(df: DataFrame, tz: str, step: int = 900, file: str = "file", label: str = "label", row: str = "row_no", convention: str = "convention") -> DataFrame:
     """Adds occurrence, utc_start and valid to local end or start labels.
 

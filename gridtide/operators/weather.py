@@ -43,14 +43,14 @@ def national(df: DataFrame, weights: DataFrame, t: str = "utc_start", limit: int
     Hours with neither value are dropped; then both values are masked where either is implausible or missing, and
     gaps of up to ``limit`` rows inside are interpolated.
     """
-    joined = df.join(F.broadcast(weights), "location")  # a row per location
+    joined = df.join(weights, "location")  # a row per location
     known = weights.agg(F.count("*").alias("locations"), F.sum("weight").alias("total"))
 
     def mean(x: str):
         full = F.count(x) == F.max("locations")
         return F.when(full, F.sum(F.col(x) * F.col("weight")) / F.max("total")).alias(x)
 
-    hours = joined.crossJoin(F.broadcast(known)).groupBy(t).agg(mean("temperature_c"), mean("radiation_wm2")).filter("temperature_c is not null or radiation_wm2 is not null")
+    hours = joined.crossJoin(known).groupBy(t).agg(mean("temperature_c"), mean("radiation_wm2")).filter("temperature_c is not null or radiation_wm2 is not null")
     good = F.col("temperature_c").between(*TEMPERATURE) & F.col("radiation_wm2").between(*RADIATION)
     masked = hours.withColumns({c: F.when(good, F.col(c)) for c in ("temperature_c", "radiation_wm2")})
     for c in ("temperature_c", "radiation_wm2"):

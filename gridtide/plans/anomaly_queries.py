@@ -10,7 +10,7 @@ from gridtide.operators.holidays import CalendarSetup, daily_calendar
 from gridtide.operators.timegrid import lags
 from gridtide.operators.windows import runs
 from gridtide.plans.calendar_queries import WEIGHTS
-from gridtide.plans.inputs import SERIES, TZ, event_load, load_cte, rounded, table
+from gridtide.plans.inputs import SERIES, TZ, event_load, kept, load_cte, rounded, table
 
 QUERIES, ORACLE_SQL = {}, {}
 Q15, HOURLY = load_cte("15 minutes"), load_cte("1 hour")
@@ -146,7 +146,7 @@ dm AS (SELECT byp.series, byp.method, round(tp / nullif(tp + fp, 0), 6) AS point
 
 @query(f"WITH {DETECT} SELECT * FROM dm")
 def detection_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points, events = flagged_points(spark, sf_dir)
+    points, events = (kept(x, n) for x, n in zip(flagged_points(spark, sf_dir), ("points", "events"), strict=True))
     return rounded(A.detection_metrics(points, events, ["series", "method"], "flag", 7200))
 
 
@@ -163,11 +163,16 @@ def iforest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridtide.models import iforest
 
     features = A.detector_features(event_load(spark, sf_dir, 900), SERIES, TZ)
-    forest = iforest.fit(features, A.FEATURES, ["series", "utc_start"], trees=100, sample=256)
+    forest = iforest.fit(features, A.FEATURES, ["series", "utc_start"], trees=300, sample=2048)
     return rounded(iforest.with_score(features, forest).select("series", "utc_start", "score"))
 
 
-SPEC = {"spike": {"min_len": 1, "max_len": 4, "min_mag": 0.15, "max_mag": 0.3}, "drop": {"min_len": 1, "max_len": 8, "min_mag": 0.2, "max_mag": 0.4}, "level_shift": {"min_len": 8, "max_len": 48, "min_mag": 0.08, "max_mag": 0.15}, "flatline": {"min_len": 8, "max_len": 32}}
+SPEC = {
+    "spike": {"min_len": 1, "max_len": 3, "min_mag": 0.25, "max_mag": 0.5},
+    "drop": {"min_len": 2, "max_len": 12, "min_mag": 0.3, "max_mag": 0.6},
+    "level_shift": {"min_len": 12, "max_len": 60, "min_mag": 0.1, "max_mag": 0.2},
+    "flatline": {"min_len": 10, "max_len": 40},
+}
 
 
 @query(None)
@@ -188,4 +193,5 @@ def injection_study(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type AS series, count(*) AS points, round(quantile_cont(value, 0.5), 6) AS median_value FROM events GROUP BY 1")
 def feature_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("series")).agg(F.count("*").alias("points"), F.median("value").alias("median_value")))
+    events = table(spark, sf_dir, "events").withColumnRenamed("event_type", "series")
+    return rounded(events.groupBy("series").agg(F.count("*").alias("points")).join(A.medians(events, ["value"], SERIES).withColumnRenamed("value", "median_value"), SERIES, "left"))

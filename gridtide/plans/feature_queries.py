@@ -9,7 +9,7 @@ from gridtide.operators import features as X
 from gridtide.operators import weather
 from gridtide.operators.holidays import CalendarSetup
 from gridtide.plans.calendar_queries import DAILY, HOLIDAYS, SCHOOL, SHARES, WEIGHTS
-from gridtide.plans.inputs import SERIES, STATIONS_CTE, TZ, event_load, load_cte, rounded, station_weights, stations
+from gridtide.plans.inputs import SERIES, STATIONS_CTE, TZ, event_load, kept, load_cte, rounded, station_weights, stations
 
 QUERIES, ORACLE_SQL = {}, {}
 SETUP = X.ForecastSetup(tz=TZ)
@@ -103,5 +103,5 @@ round(sin(2 * pi() * (dayofyear(t) - 1) / 365.25), 6) AS doy_sin, round(cos(2 *
 {_round(X.lag_names(SETUP), 't.')}, {_round(X.LAGGED_WEATHER, 'wlag.')}, {_round(X.ORACLE_WEATHER, 'wora.')}, timezone('UTC', timezone('{TZ}', t.local_date::TIMESTAMP - INTERVAL 14 HOUR)) AS issue_time_utc
 FROM t JOIN daily ON daily.local_date = t.local_date JOIN easter ON y = year(t.local_date) JOIN wlag ON wlag.utc_start = t.utc_start JOIN wora ON wora.utc_start = t.utc_start""")
 def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    load = event_load(spark, sf_dir, 3600)
-    return rounded(X.feature_frame(spark, load, load, national(spark, sf_dir), SERIES, SETUP, CalendarSetup(WEIGHTS)))
+    load = kept(event_load(spark, sf_dir, 3600), "load")
+    return rounded(X.feature_frame(spark, load, load, kept(national(spark, sf_dir), "weather"), SERIES, SETUP, CalendarSetup(WEIGHTS)))

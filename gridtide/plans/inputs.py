@@ -1,12 +1,15 @@
 """Time series that the registered queries derive from the given tables.
 
-``events`` (by type) are quarter-hour and hourly load series, two event types are weather stations; ``orders`` (by
+``events`` (by type) are quarter-hour and hourly load series, and weather stations too; ``orders`` (by
 priority) are daily series with two simple forecasts. Sums run over whole cents, so they are exact in any order.
 Each has its DuckDB twin as a list of common table expressions.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written below the session's shared folder and read again: what several branches read is computed once."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:  # local tests
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.sparkContext.setCheckpointDir(shared)
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cents(x: Column) -> Column:
     return F.sum(F.round(x * 100).cast("long")) / 100.0
 
@@ -47,14 +63,14 @@ def event_load(spark: SparkSession, sf_dir: str, step: int) -> DataFrame:
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """location, utc_start, temperature_2m, shortwave_radiation on each hour: missing where a station has no event."""
-    load = event_load(spark, sf_dir, 3600).filter("series in ('click', 'view')")
+    load = event_load(spark, sf_dir, 3600)
     return load.select(F.col("series").alias("location"), "utc_start", (F.col("load_mw") / 20 - 10).alias("temperature_2m"), (F.col("load_mw") / 2).alias("shortwave_radiation"))
 
 
 def station_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").filter("event_type in ('click', 'view')")
+    events = table(spark, sf_dir, "events")
     n = events.groupBy(F.col("event_type").alias("location")).agg(F.count("*").alias("n"))
-    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("all")))).select("location", (F.col("n") / F.col("all")).alias("weight"))  # one row
+    return n.crossJoin(n.agg(F.sum("n").alias("all"))).select("location", (F.col("n") / F.col("all")).alias("weight"))  # one row
 
 
 def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +104,8 @@ load AS (SELECT s.series, s.utc_start, r.load_mw FROM spine s LEFT JOIN raw r ON
 STATIONS_CTE = (
     load_cte("1 hour")
     + """,
-stations AS (SELECT series AS location, utc_start, load_mw / 20 - 10 AS temperature_2m, load_mw / 2 AS shortwave_radiation FROM load WHERE series IN ('click', 'view')),
-sw AS (SELECT event_type AS location, count(*) / sum(count(*)) OVER () AS weight FROM events WHERE event_type IN ('click', 'view') GROUP BY 1),
+stations AS (SELECT series AS location, utc_start, load_mw / 20 - 10 AS temperature_2m, load_mw / 2 AS shortwave_radiation FROM load),
+sw AS (SELECT event_type AS location, count(*) / sum(count(*)) OVER () AS weight FROM events GROUP BY 1),
 aligned AS (SELECT location, utc_start, (temperature_2m + lead(temperature_2m) OVER w) / 2 AS temperature_c, lead(shortwave_radiation) OVER w AS radiation_wm2
             FROM stations WINDOW w AS (PARTITION BY location ORDER BY utc_start)),
 hours AS (SELECT utc_start, CASE WHEN count(temperature_c) = (SELECT count(*) FROM sw) THEN sum(temperature_c * weight) / (SELECT sum(weight) FROM sw) END AS temperature_c,

@@ -10,17 +10,18 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtide.functions.time import floor_to, to_utc
+from gridtide.functions.time import to_utc
 from gridtide.functions.values import day_category
 from gridtide.models import gbdt, iforest
 from gridtide.models.ridge import Ridge
 from gridtide.operators import anomaly as A
-from gridtide.operators import cleaning, evaluation, features, weather, windows
-from gridtide.operators.timegrid import on_grid, spine, spread_to_steps
+from gridtide.operators import cleaning, evaluation, features, weather
+from gridtide.operators.timegrid import spine, spread_to_steps
 from gridtide.sources import fetch, sinks, workbook
 from gridtide.sources.config import Config
 
-LINEAR = "holiday_share bridge_day day_before_holiday day_after_holiday school_holiday_proxy doy_sin doy_cos".split()
+#: The numeric inputs of the linear models.
+LINEAR = ("holiday_share", "bridge_day", "day_before_holiday", "day_after_holiday", "school_holiday_proxy", "doy_sin", "doy_cos")
 CODES = (("hour_daytype", 72), ("month", 13))
 BOOSTED = ("gbdt_no_weather", "gbdt_lagged_weather", "gbdt_oracle_weather")
 MODELS = ["seasonal_naive", "linear_calendar", "linear_lags_weather", *BOOSTED]
@@ -62,9 +63,11 @@ def run_data(spark: SparkSession, config: Config, download: bool = True, force:
     named = raw.withColumn("location", F.regexp_extract(F.input_file_name(), r"weather-([^/]+)\.csv$", 1)).withColumn("utc_start", F.to_timestamp_ntz("time", F.lit("yyyy-MM-dd'T'HH:mm"))).drop("time")
     weights = weather.location_weights(config.locations(spark), config.population(spark))
     weather.national(weather.to_interval_start(named, ["location"]), weights).write.mode("overwrite").parquet(config.path("processed", "weather"))
-    counts, files = cleaning.validation_counts(quarter, []), cleaning.file_report(data, config["timezone"])
-    sinks.write_json(counts, config.path("reports", "validation.json"))
-    sinks.write_json(files, config.path("reports", "validation_files.json"))
+    hourly, record = (spark.read.parquet(config.path("processed", n)) for n in ("hourly", "weather"))
+    counts = cleaning.validation_record(quarter, hourly, record, cleaning.load_instants(data, config["timezone"]).select("utc_start"))
+    files = cleaning.file_report(data, config["timezone"])
+    years = files.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.lit(load["header_prefix"]).alias("header"), F.lit(load["unit"]).alias("unit"), *["file", "rows", "first_label", "last_label", "convention", "non_numeric", "repeated_local_labels", F.to_json("dst_days").alias("dst_days")]))).alias("years"))
+    sinks.write_json(years.crossJoin(counts), config.path("reports", "validation.json"))  # one row each
     sinks.write_text(config.path("reports", "validation.md"), "# Data validation\n\n" + sinks.markdown_table(files.drop("dst_days"), order=["file"]) + "\n" + sinks.markdown_table(counts))
 
 
@@ -178,9 +181,12 @@ def run_evaluate(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
     for t in tables[1:]:
         cover = cover.unionByName(t)
     out["interval_coverage"] = cover
+    importance = sinks.read_csv(spark, config.path("reports", "importance.csv"))
+    long = importance.select("feature", F.explode(F.create_map(*[x for c in importance.columns[1:] for x in (F.lit(c), F.col(f"`{c}`").cast("double"))])).alias("model", "gain"))
+    out["gain_share"] = evaluation.gain_share(long.filter("gain is not null"), ["model"])
     text = "# Forecast results\n"
     for name, df in out.items():
-        order = [c for c in df.columns if c in ("fold", "model", "hour", "weekday", "day_category", "period", "interval", "variant")]
+        order = [c for c in df.columns if c in ("fold", "model", "hour", "weekday", "day_category", "period", "interval", "variant", "position")]
         sinks.write_csv(df, config.path("reports", f"{name}.csv"), order)
         text += f"\n## {name}\n\n{sinks.markdown_table(df, 3, order)}"
     sinks.write_text(config.path("reports", "results.md"), text)
@@ -248,13 +254,3 @@ def injection_study(spark: SparkSession, config: Config, quarter: DataFrame, cut
     each = joined.withColumn("m", F.explode(F.array(*[F.struct(F.lit(k).alias("method"), c.alias("flag")) for k, c in methods.items()]))).select("seed", "m.method", "utc_start", "label", "m.flag")
     named = events.withColumn("method", F.explode(F.array(*map(F.lit, methods))))
     return A.detection_metrics(each, named, ["seed", "method"], "flag", int(a["gap_hours"]) * 3600)
-
-
-def quarter_grid(spark: SparkSession, config: Config, rows: DataFrame) -> DataFrame:
-    """Any quarter-hour rows on the configured period."""
-    return on_grid(rows.withColumn("utc_start", floor_to(F.col("utc_start"), 900)), [], _ends(spark, config, 900), 900)
-
-
-def densest_week(events: DataFrame) -> DataFrame:
-    """Per seed the week with the most injected events, for a report's example."""
-    return windows.densest(events, ["seed"], 7 * 86_400)
