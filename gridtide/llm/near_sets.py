@@ -148,6 +148,7 @@ def similar(pairs: DataFrame, keyed: DataFrame, least: float) -> DataFrame:
     """Those of ``pairs`` (a, b: rows of ``keyed``) whose sets are ``least`` similar.
 
     One pass over all sets takes out those that the pairs name; the joins that bring two together carry these alone.
+    What they join grows with the corpus, so merge hints keep the plan alike at every size.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +157,10 @@ def similar(pairs: DataFrame, keyed: DataFrame, least: float) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
 
     named = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
-    some = stored(keyed.select("row", "shingles").join(named, "row", "left_semi"), "pair-sets")
+    some = stored(keyed.select("row", "shingles").join(named.hint("merge"), "row", "left_semi"), "pair-sets")
     x = some.select(F.col("row").alias("a"), F.col("shingles").alias("x"))
     y = some.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
-    links = stored(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar")
+    links = stored(pairs.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar")
     dropped(some)
     return links
 
@@ -272,12 +273,22 @@ def open_pairs(tokens: DataFrame, items: DataFrame, least: float, rows_per_part:
         def key(batch: pa.RecordBatch, k: int) -> tuple:
             return tuple(batch.column(c)[k].as_py() for c in range(3))
 
-        def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        made: list[np.ndarray] = []  # pairs not yet given out: a pair meets in many shingles, and a task names it once
+
+        def found(table: pa.Table) -> None:
             token, lo, hi, component, chunk, ids, n, place = (table.column(c).to_numpy() for c in range(8))
             group = np.cumsum(np.append(False, (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
             bits = np.frombuffer(b"".join(table.column(8).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
-            for a, b in token_pairs(group, lo != hi, chunk, ids, component, n.astype(np.int64), place.astype(np.int64), bits, least):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            made.extend(np.stack(p, axis=1) for p in token_pairs(group, lo != hi, chunk, ids, component, n.astype(np.int64), place.astype(np.int64), bits, least))
+
+        def given(most: int) -> Iterator[pa.RecordBatch]:
+            """What has been made, each pair once, if it is more than ``most``; the rest waits for more of the same."""
+            if sum(map(len, made)) > most:
+                once = np.unique(np.concatenate(made), axis=0)
+                made[:] = [once]
+                if len(once) > most // 2:
+                    made.clear()
+                    yield pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -288,10 +299,12 @@ def open_pairs(tokens: DataFrame, items: DataFrame, least: float, rows_per_part:
                 continue
             same = [batch.column(c).to_numpy() == last[c] for c in range(3)]
             cut = int(np.argmax(same[0] & same[1] & same[2]))
-            yield from found(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            found(pa.Table.from_batches([*held, batch.slice(0, cut)]))
             held = [batch.slice(cut)]
+            yield from given(500_000)
         if held:
-            yield from found(pa.Table.from_batches(held))
+            found(pa.Table.from_batches(held))
+            yield from given(0)
 
     parts = max(8, -(-met.count() // rows_per_part))
     near = met.repartition(parts, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "component")
