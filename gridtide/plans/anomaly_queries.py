@@ -45,7 +45,7 @@ def residual_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SCORES} SELECT series, round(quantile_cont(score, 0.98), 6) AS threshold FROM s GROUP BY series")
 def residual_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(A.threshold(scored_hours(spark, sf_dir), "score", 0.02, SERIES))
+    return rounded(A.threshold(kept(scored_hours(spark, sf_dir), "scores"), "score", 0.02, SERIES))
 
 
 LOC = f"timezone('{TZ}', timezone('UTC', {{0}}))"
@@ -162,7 +162,7 @@ def detection_summary_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
 def iforest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridtide.models import iforest
 
-    features = A.detector_features(event_load(spark, sf_dir, 900), SERIES, TZ)
+    features = kept(A.detector_features(event_load(spark, sf_dir, 900), SERIES, TZ), "detector")
     forest = iforest.fit(features, A.FEATURES, ["series", "utc_start"], trees=300, sample=2048)
     return rounded(iforest.with_score(features, forest).select("series", "utc_start", "score"))
 

@@ -10,7 +10,7 @@ from gridtide.functions.values import day_category
 from gridtide.operators import evaluation as E
 from gridtide.operators.holidays import CalendarSetup, daily_calendar
 from gridtide.plans.calendar_queries import DAILY, HOLIDAYS, SHARES, WEIGHTS
-from gridtide.plans.inputs import PREDICTIONS_CTE, SERIES, TZ, daily_orders, predictions, rounded, table
+from gridtide.plans.inputs import PREDICTIONS_CTE, SERIES, TZ, daily_orders, kept, predictions, rounded, table
 
 QUERIES, ORACLE_SQL = {}, {}
 MODELS = ["naive", "mean4"]
@@ -133,7 +133,7 @@ def coverage_by_weekday(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY score) AS k, count(*) OVER (PARTITION BY series) AS n FROM s)
 SELECT series, round(score, 6) AS margin, n FROM r WHERE k = least(ceil((n + 1) * 0.9) + 1, n)""")
 def conformal_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(E.conformal_margin(predictions(spark, sf_dir), "naive_q0.05", "naive_q0.95", 0.9, SERIES))
+    return rounded(E.conformal_margin(kept(predictions(spark, sf_dir), "predictions"), "naive_q0.05", "naive_q0.95", 0.9, SERIES))
 
 
 @query(f"""WITH {PREDICTIONS_CTE}, w AS (SELECT series, date_trunc('week', {_local()})::DATE AS week, avg(abs(naive - target)) AS mae, count(*) AS n FROM preds GROUP BY 1, 2 HAVING count(*) >= 7),

@@ -209,11 +209,13 @@ def run_anomalies(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
 
     quarter = spark.read.parquet(config.path("interim", "load15")).select("utc_start", "load_mw")
     cut = _utc(spark, config, config["split"]["test_start"])
-    points = A.detector_features(quarter, [], tz)
+    A.detector_features(quarter, [], tz).write.mode("overwrite").parquet(config.path("interim", "detector"))
+    points = spark.read.parquet(config.path("interim", "detector"))
     train = points.filter(F.col("utc_start") < F.lit(cut))
     forest = iforest.fit(train, A.FEATURES, ["utc_start"], int(a["trees"]), int(a["sample"]), seed=int(config["seed"]))
-    forest_limit = A.threshold(iforest.with_score(train, forest), "score", float(a["forest_rate"]), []).first()["threshold"]
-    scored = iforest.with_score(points, forest).select("utc_start", F.col("load_mw").alias("actual"), "score")
+    iforest.with_score(points, forest).select("utc_start", F.col("load_mw").alias("actual"), "score").write.mode("overwrite").parquet(config.path("interim", "scores"))
+    scored = spark.read.parquet(config.path("interim", "scores"))
+    forest_limit = A.threshold(scored.filter(F.col("utc_start") < F.lit(cut)), "score", float(a["forest_rate"]), []).first()["threshold"]
     isolated = A.event_summary(scored.withColumn("flag", F.col("score") > forest_limit), [], "flag", gap, 900, tz, holidays=holidays)
     flat = cleaning.flatlines(quarter, [], "load_mw", int(a["min_run"])).filter("flatline_flag")
 
