@@ -219,7 +219,8 @@ def run_anomalies(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
     isolated = A.event_summary(scored.withColumn("flag", F.col("score") > forest_limit), [], "flag", gap, 900, tz, holidays=holidays)
     flat = cleaning.flatlines(quarter, [], "load_mw", int(a["min_run"])).filter("flatline_flag")
 
-    study = injection_study(spark, config, quarter, cut, limit, forest, forest_limit)
+    injection_study(spark, config, quarter, cut, limit, forest, forest_limit).write.mode("overwrite").parquet(config.path("interim", "study"))
+    study = spark.read.parquet(config.path("interim", "study"))
     summary = A.detection_summary(study, ["method"], [c for c in study.columns if c not in ("seed", "method")])
     out = {"anomalies_residual": residual, "anomalies_isolation_forest": isolated, "anomalies_flatline": flat, "injection_per_seed": study, "injection_summary": summary}
     text = f"# Anomalies\n\nResidual threshold {limit:.4f}, isolation-forest threshold {forest_limit:.4f}.\n"
