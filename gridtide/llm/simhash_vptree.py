@@ -3,7 +3,7 @@
 1. Tasks turn every whole text into a fingerprint; equal fingerprints collapse before anything is compared, so a group
    of exact copies is one item.
 2. A top tree of vantage points, from a bounded sample, cuts the items into shards by Hamming distance. An item lives
-   in the shard of its leaf and visits every other leaf that the triangle bound leaves open within the radius.
+   in the shard of its leaf and visits the outer leaves that the triangle bound leaves open within the radius.
 3. In a shard a vantage-point tree is searched with blocks of queries; links join a union-find at once, so a shard
    gives at most one link per item (a spanning forest), never all pairs of a group.
 4. Connected components run over these links in Spark.
@@ -79,7 +79,11 @@ def grow(sample: np.ndarray, depth: int, rng: np.random.Generator, first: int =
 
 
 def route(node: Node | int, items: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, leaf, whether it lives there) of every leaf that an item's ball of ``radius`` may reach."""
+    """(position, leaf, whether it lives there) of the leaves where an item must be met.
+
+    An item at home inside visits the outside branch where its ball of ``radius`` may reach it, not the reverse: of a
+    pair that a node parts the inner one visits the outer one's leaf. Visitors take every branch in reach.
+    """
     out: list[tuple[np.ndarray, int, np.ndarray]] = []
 
     def walk(node: Node | int, at: np.ndarray, home: np.ndarray) -> None:
@@ -89,9 +93,10 @@ def route(node: Node | int, items: np.ndarray, radius: int) -> tuple[np.ndarray,
             out.append((at, node, home))
             return
         d = np.bitwise_count(items[at] ^ np.uint64(node.point)).astype(np.int64)
-        near, far = d - radius <= node.cut, d + radius > node.cut
-        walk(node.inside, at[near], (home & (d <= node.cut))[near])
-        walk(node.outside, at[far], (home & (d > node.cut))[far])
+        lives = d <= node.cut
+        near, far = lives | (~home & (d - radius <= node.cut)), d + radius > node.cut
+        walk(node.inside, at[near], (home & lives)[near])
+        walk(node.outside, at[far], (home & ~lives)[far])
 
     walk(node, np.arange(len(items)), np.ones(len(items), dtype=bool))
     if not out:
