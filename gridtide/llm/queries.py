@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtide.llm import decontam, langid, line_chunks, mil_quality, pfair_mix, pii_votes, risk_rules, simhash_vptree, sstable, url_filter
+from gridtide.llm import decontam, kk_shards, langid, line_chunks, mil_quality, pfair_mix, phrase_streams, pii_votes
+from gridtide.llm import ranked_search, risk_rules, simhash_vptree, sstable, url_filter
 from gridtide.llm.shared import crc32_mod, table
 
 
@@ -86,6 +87,21 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, base.alias("base_sha256"), pii_votes.spelled(F.array_sort(F.concat("base", "added"))).alias("spans"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kk_shards.balanced(table(spark, sf_dir, "documents"))
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return out.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_streams.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_line_chunks": op2_line_chunks,
@@ -98,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_mil": op8_quality_mil,
     "op9_language": op9_language,
     "op10_quality_rules": op10_quality_rules,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_sharding": op12_sharding,
+    "op13_collocations": op13_collocations,
 }
 
 #: op1 in DuckDB: the rules and the block list as relations, the longest fitting rule by row number.
@@ -116,4 +135,10 @@ SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, CASE WHEN b.host I
 FROM u LEFT JOIN fit f ON f.n = 1 AND f.page_id = u.page_id AND f.host = u.host AND f.path = u.path LEFT JOIN bad b ON b.host = u.host
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op2_line_chunks": line_chunks.ORACLE, "op4_pfair_mix": pfair_mix.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": OP1_SQL,
+    "op2_line_chunks": line_chunks.ORACLE,
+    "op4_pfair_mix": pfair_mix.ORACLE,
+    "op11_ranked_search": ranked_search.ORACLE,
+    "op13_collocations": phrase_streams.ORACLE,
+}
