@@ -52,11 +52,10 @@ class Ridge:
         beta = np.linalg.solve(s + np.diag(penalty), b)
         return np.append(mean[p] - mean[1:p] @ beta, beta)
 
-    def fit(self, train: DataFrame, keys: list[str], target: str = "target") -> DataFrame:
-        """keys, coefficients map<string,double>; rows with any missing value are left out."""
+    def _grams(self, train: DataFrame, keys: list[str], target: str) -> DataFrame:
+        """keys (as strings) and the Gram matrices of (1, columns, target) of the complete rows, a few per key and task."""
         columns = [*self.numeric, *(c for c, _ in self.categories)]
         known = train.filter(all_known(*[F.col(c) for c in [*columns, target]])).select(*[F.col(k).cast("string").alias(k) for k in keys], *[F.col(c).cast("double") for c in [*columns, target]])
-        key_schema = ", ".join(f"{k} string" for k in keys)
 
         def partial(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total: dict[tuple, np.ndarray] = {}
@@ -66,13 +65,49 @@ class Ridge:
                     total[key] = total.get(key, 0) + x.T @ x
             yield pd.DataFrame([(*key, g.tobytes()) for key, g in total.items()], columns=[*keys, "gram"])
 
+        return known.mapInPandas(partial, ", ".join(f"{k} string" for k in keys) + ", gram binary")
+
+    def _solved(self, gram: np.ndarray) -> dict[str, float]:
+        return dict(zip(self.names(), self.solve(gram).tolist(), strict=True))
+
+    def fit(self, train: DataFrame, keys: list[str], target: str = "target") -> DataFrame:
+        """keys, coefficients map<string,double>; rows with any missing value are left out."""
+
         def solve(parts: pd.DataFrame) -> pd.DataFrame:
             gram = sum(np.frombuffer(g).reshape(self.width + 1, -1) for g in parts["gram"])
-            made = dict(zip(self.names(), self.solve(gram).tolist(), strict=True))
-            return pd.DataFrame([(*parts[keys].iloc[0], made)], columns=[*keys, "coefficients"])
+            return pd.DataFrame([(*parts[keys].iloc[0], self._solved(gram))], columns=[*keys, "coefficients"])
+
+        schema = ", ".join(f"{k} string" for k in keys) + ", coefficients map<string,double>"
+        return self._grams(train, keys, target).groupBy(*keys).applyInPandas(solve, schema)
+
+    def fit_expanding(self, rows: DataFrame, folds: DataFrame, fold: str, target: str = "target", t: str = "utc_start") -> DataFrame:
+        """fold (as string), coefficients for each of ``folds`` (fold, train_end), whose training rows lie before train_end.
+
+        A row is summed once, into the block of the first fold that has it; a fold's matrix is the sum of its own and
+        all earlier blocks. So no row is copied per fold.
+        """
+        ends = sorted((r["train_end"], r[fold]) for r in folds.select(fold, "train_end").collect())  # a row per fold
+        block = F.lit(None).cast("int")
+        for i, (end, _) in reversed(list(enumerate(ends))):
+            block = F.when(F.col(t) < F.lit(end), F.lit(i)).otherwise(block)
+
+        def solve(parts: pd.DataFrame) -> pd.DataFrame:
+            out, gram, have = [], np.zeros((self.width + 1, self.width + 1)), parts["_block"].astype(int).to_numpy()
+            for i, (_, name) in enumerate(ends):
+                gram = gram + sum(np.frombuffer(g).reshape(self.width + 1, -1) for g in parts["gram"][have == i])
+                if gram[0, 0]:
+                    out.append((str(name), self._solved(gram)))
+            return pd.DataFrame(out, columns=[fold, "coefficients"])
+
+        # a matrix per block and task: their sum by block first, then the running sums over as many rows as folds
+        grams = self._grams(rows.withColumn("_block", block).filter("_block is not null"), ["_block"], target)
+
+        def summed(parts: pd.DataFrame) -> pd.DataFrame:
+            gram = sum(np.frombuffer(g).reshape(self.width + 1, -1) for g in parts["gram"])
+            return pd.DataFrame([(parts["_block"].iloc[0], gram.tobytes())], columns=["_block", "gram"])
 
-        grams = known.mapInPandas(partial, f"{key_schema}, gram binary")  # a matrix per group and task
-        return grams.groupBy(*keys).applyInPandas(solve, f"{key_schema}, coefficients map<string,double>")
+        blocks = grams.groupBy("_block").applyInPandas(summed, "_block string, gram binary")
+        return blocks.groupBy().applyInPandas(solve, f"{fold} string, coefficients map<string,double>")
 
     def predict(self, rows: DataFrame, fitted: DataFrame, keys: list[str], name: str) -> DataFrame:
         """``rows`` with the prediction; missing where any feature is, or the group has no model."""

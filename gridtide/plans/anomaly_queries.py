@@ -10,7 +10,8 @@ from gridtide.operators.holidays import CalendarSetup, daily_calendar
 from gridtide.operators.timegrid import lags
 from gridtide.operators.windows import runs
 from gridtide.plans.calendar_queries import WEIGHTS
-from gridtide.plans.inputs import SERIES, TZ, event_load, kept, load_cte, rounded, table
+from gridtide.plans.inputs import SERIES, TZ, event_load, load_cte, rounded, table
+from gridtide.sources.store import kept
 
 QUERIES, ORACLE_SQL = {}, {}
 Q15, HOURLY = load_cte("15 minutes"), load_cte("1 hour")

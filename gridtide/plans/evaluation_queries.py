@@ -10,7 +10,8 @@ from gridtide.functions.values import day_category
 from gridtide.operators import evaluation as E
 from gridtide.operators.holidays import CalendarSetup, daily_calendar
 from gridtide.plans.calendar_queries import DAILY, HOLIDAYS, SHARES, WEIGHTS
-from gridtide.plans.inputs import PREDICTIONS_CTE, SERIES, TZ, daily_orders, kept, predictions, rounded, table
+from gridtide.plans.inputs import PREDICTIONS_CTE, SERIES, TZ, daily_orders, predictions, rounded, table
+from gridtide.sources.store import kept
 
 QUERIES, ORACLE_SQL = {}, {}
 MODELS = ["naive", "mean4"]

@@ -9,7 +9,8 @@ from gridtide.operators import features as X
 from gridtide.operators import weather
 from gridtide.operators.holidays import CalendarSetup
 from gridtide.plans.calendar_queries import DAILY, HOLIDAYS, SCHOOL, SHARES, WEIGHTS
-from gridtide.plans.inputs import SERIES, STATIONS_CTE, TZ, event_load, kept, load_cte, rounded, station_weights, stations
+from gridtide.plans.inputs import SERIES, STATIONS_CTE, TZ, event_load, load_cte, rounded, station_weights, stations
+from gridtide.sources.store import kept
 
 QUERIES, ORACLE_SQL = {}, {}
 SETUP = X.ForecastSetup(tz=TZ)

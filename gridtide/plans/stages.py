@@ -79,17 +79,6 @@ def feature_table(spark: SparkSession, config: Config, hourly: DataFrame, keys:
     return features.feature_frame(spark, index, hourly, spark.read.parquet(config.path("processed", "weather")), keys, setup, config.calendar_setup())
 
 
-def parts(spark: SparkSession, config: Config, frame: DataFrame) -> DataFrame:
-    """Training and test rows of every fold, and as fold 0 of the final test period."""
-    s = config["split"]
-    first = spark.createDataFrame([(_at(config, s["first_fold"]), _at(config, s["test_start"]))], "first_start timestamp_ntz, limit timestamp_ntz")
-    folds = evaluation.rolling_origin_folds(first, int(s["folds"]), int(s["fold_months"]), config["timezone"])
-    start, end = _utc(spark, config, s["test_start"]), _utc(spark, config, s["end"])
-    final = spark.createDataFrame([(0, start, start, end)], "fold int, train_end timestamp_ntz, test_start timestamp_ntz, test_end timestamp_ntz")
-    both = folds.unionByName(final)
-    return evaluation.fold_rows(frame, both, [], "train").withColumn("part", F.lit("train")).unionByName(evaluation.fold_rows(frame, both, [], "test").withColumn("part", F.lit("test")))
-
-
 def boosters(config: Config) -> tuple[dict[str, list[str]], dict[str, gbdt.Params], dict[str, dict[str, float]]]:
     """Feature lists and parameters of all boosters, and the quantile columns of each model."""
     m, sets = config["models"], features.feature_sets(config.forecast_setup())
@@ -104,53 +93,56 @@ def boosters(config: Config) -> tuple[dict[str, list[str]], dict[str, gbdt.Param
     return columns, params, quantiles
 
 
-def predicted(rows: DataFrame, config: Config) -> DataFrame:
+def fold_table(spark: SparkSession, config: Config) -> DataFrame:
+    """Every fold and, as fold 0, the final test period: fold, train_end, test_start, test_end."""
+    s = config["split"]
+    first = spark.createDataFrame([(_at(config, s["first_fold"]), _at(config, s["test_start"]))], "first_start timestamp_ntz, limit timestamp_ntz")
+    folds = evaluation.rolling_origin_folds(first, int(s["folds"]), int(s["fold_months"]), config["timezone"])
+    start, end = _utc(spark, config, s["test_start"]), _utc(spark, config, s["end"])
+    final = spark.createDataFrame([(0, start, start, end)], "fold int, train_end timestamp_ntz, test_start timestamp_ntz, test_end timestamp_ntz")
+    return folds.unionByName(final)
+
+
+def fitted_boosters(frame: DataFrame, folds: DataFrame, config: Config) -> DataFrame:
+    """fold, model and nodes of all boosters of all folds, fitted together: a fold is a boolean column, not a copy."""
+    columns, params, _ = boosters(config)
+    ends = {r["fold"]: r["train_end"] for r in folds.collect()}  # a row per fold
+    known = frame.withColumns({f"_fold{k}": F.col("utc_start") < F.lit(end) for k, end in ends.items()})
+    fits = [gbdt.Fit(f"{m}@{k}", tuple(columns[m]), params[m], f"_fold{k}") for m in params for k in ends]
+    nodes = gbdt.fit(known, [], fits)
+    named = F.split("model", "@")
+    return nodes.select(named[1].cast("int").alias("fold"), named[0].alias("model"), *[c for c in nodes.columns if c != "model"])
+
+
+def predicted(frame: DataFrame, folds: DataFrame, nodes: DataFrame, config: Config) -> DataFrame:
     """fold, utc_start, target and all models' predictions and quantiles of the test rows of each fold."""
-    columns, params, quantiles = boosters(config)
+    _, _, quantiles = boosters(config)
     lagged = [c for c in features.feature_sets(config.forecast_setup())["lagged_weather"] if c not in features.CALENDAR]
-    train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")
-    out = test.select("fold", "utc_start", "target", F.col("load_lag168h").alias("seasonal_naive"))
+    out, made = evaluation.fold_rows(frame, folds, [], "test"), ["fold", "utc_start", "target", "seasonal_naive"]
+    out = out.withColumn("seasonal_naive", F.col("load_lag168h"))
     for name, numeric in (("linear_calendar", LINEAR), ("linear_lags_weather", [*LINEAR, *lagged])):
         ridge = Ridge(tuple(numeric), CODES, float(config["models"]["ridge_alpha"]))
-        made = ridge.predict(test, ridge.fit(train, ["fold"]), ["fold"], name).select("fold", "utc_start", name)
-        out = out.join(made, ["fold", "utc_start"], "left")
+        out = ridge.predict(out, ridge.fit_expanding(frame, folds, "fold"), ["fold"], name)
+        made.append(name)
     for name in BOOSTED:
-        safe = {c.replace(".", "_"): c for c in [name, *quantiles[name]]}
-        many = rows.withColumn("model", F.explode(F.array(*map(F.lit, safe))))
-        made = boosted(many, columns[name], {s: params[c] for s, c in safe.items()})
-        wide = made.groupBy("fold", "utc_start").pivot("model", list(safe)).agg(F.first("yhat"))
+        out = gbdt.predict(out, out.columns, nodes, ["fold"], [name, *quantiles[name]])
         if quantiles[name]:
-            wide = evaluation.sorted_quantiles(wide, [s for s, c in safe.items() if c != name])
-        out = out.join(wide.withColumnsRenamed(safe), ["fold", "utc_start"], "left")
-    return out
-
-
-def boosted(many: DataFrame, columns: list[str], params: dict[str, gbdt.Params]) -> DataFrame:
-    """fold, model, utc_start, yhat: one fit per fold and model, each a task."""
-    import pandas as pd
-
-    slim = many.select("fold", "model", "part", "utc_start", *[many[c].cast("double").alias(c) for c in ["target", *columns]])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        test = rows[rows["part"] == "test"]
-        model = gbdt._fitted(rows, columns, params[rows["model"].iloc[0]])
-        return test[["fold", "model", "utc_start"]].assign(yhat=model.predict(test[columns].to_numpy(float)))
-
-    return slim.groupBy("fold", "model").applyInPandas(run, "fold int, model string, utc_start timestamp_ntz, yhat double")
+            out = evaluation.sorted_quantiles(out, list(quantiles[name]))
+        made += [name, *quantiles[name]]
+    return out.select(*[f"`{c}`" for c in made])
 
 
 def run_train(spark: SparkSession, config: Config) -> None:
-    """Features, cross-validated and final predictions, the final models and their gains."""
+    """Features, the boosters of all folds and the final ones (fold 0), predictions, and the final models' gains."""
     hourly = spark.read.parquet(config.path("processed", "hourly"))
     feature_table(spark, config, hourly, []).write.mode("overwrite").parquet(config.path("processed", "features"))
-    frame = spark.read.parquet(config.path("processed", "features"))
-    predicted(parts(spark, config, frame), config).write.mode("overwrite").parquet(config.path("processed", "predictions"))
-    columns, params, _ = boosters(config)
-    dev = frame.filter(F.col("utc_start") < F.lit(_utc(spark, config, config["split"]["test_start"])))
-    gbdt.fit_models(dev, columns, params).write.mode("overwrite").parquet(config.path("models", "boosters"))
-    saved = spark.read.parquet(config.path("models", "boosters"))
-    loaded = gbdt.load_models(saved, list(BOOSTED))
-    gains = spark.createDataFrame([(n, c, float(g)) for n, (names, b) in loaded.items() for c, g in zip(names, b.gain, strict=True)], "model string, feature string, gain double")
+    frame, folds = spark.read.parquet(config.path("processed", "features")), fold_table(spark, config)
+    fitted_boosters(frame, folds, config).write.mode("overwrite").parquet(config.path("models", "boosters"))
+    nodes = spark.read.parquet(config.path("models", "boosters"))
+    predicted(frame, folds, nodes, config).write.mode("overwrite").parquet(config.path("processed", "predictions"))
+    columns, _, _ = boosters(config)
+    final = nodes.filter("fold = 0").drop("fold")
+    gains = gbdt.importance(final.filter(F.col("model").isin(*BOOSTED)), [], {n: columns[n] for n in BOOSTED})
     sinks.write_csv(gains.groupBy("feature").pivot("model", list(BOOSTED)).agg(F.first("gain")), config.path("reports", "importance.csv"), ["feature"])
 
 
@@ -243,9 +235,9 @@ def injection_study(spark: SparkSession, config: Config, quarter: DataFrame, cut
     hourly = cleaning.to_hourly(whole, ["seed"])
     columns, _, quantiles = boosters(config)
     names = [f"{ORACLE}_q{q:g}" for q in a["interval"]]
-    loaded = gbdt.load_models(spark.read.parquet(config.path("models", "boosters")), list(quantiles[ORACLE]))
+    final = spark.read.parquet(config.path("models", "boosters")).filter("fold = 0").drop("fold")
     rows = feature_table(spark, config, hourly, ["seed"]).filter(F.col("utc_start") >= F.lit(cut))
-    bounds = evaluation.sorted_quantiles(gbdt.predict(rows, ["seed", "utc_start", "target"], loaded), list(quantiles[ORACLE]))
+    bounds = evaluation.sorted_quantiles(gbdt.predict(rows, ["seed", "utc_start", "target"], final, [], list(quantiles[ORACLE])), list(quantiles[ORACLE]))
     flags = bounds.withColumn("residual", F.coalesce(A.residual_score(F.col("target"), F.col(f"`{names[0]}`"), F.col(f"`{names[1]}`"), float(a["least_width"])) > limit, F.lit(False)))
     points = whole.filter(F.col("utc_start") >= F.lit(cut)).select("seed", "utc_start", "label", "load_mw")
     points = spread_to_steps(flags.select("seed", "utc_start", "residual"), ["seed"], "residual", 3600, points)
