@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridtide.operators.anomaly import medians as medians_of
 
 def expected_path(n: np.ndarray | float) -> np.ndarray:
     """Mean path length of an unsuccessful search among n points."""
@@ -72,12 +73,12 @@ def fit(train: DataFrame, columns: list[str], order: list[str], trees: int = 300
     """A forest whose trees each see a sample of their own of the whole table, about ``sample`` rows chosen by hashes.
 
     Rows are sent to the trees that drew them and each tree grows in a task; what returns is the trees, of a size that
-    the parameters bound. Missing values become the medians of all rows (to a ten-thousandth of the ranks).
+    the parameters bound. Missing values become the medians of all rows.
     """
     columns = list(columns)
     values = train.select(*order, *[F.col(c).cast("double").alias(c) for c in columns])
-    middle = values.agg(*[F.percentile_approx(c, F.lit(0.5), F.lit(10_000)).alias(c) for c in columns]).first()
-    medians = np.array([0.0 if middle[c] is None else middle[c] for c in columns], dtype=float)
+    middle = medians_of(values, columns, []).first()
+    medians = np.array([0.0 if middle is None or middle[c] is None else middle[c] for c in columns], dtype=float)
     rows = values.count()
     size = min(sample, rows)
     if not size:

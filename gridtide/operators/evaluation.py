@@ -93,12 +93,12 @@ def coverage(preds: DataFrame, pairs: dict[str, tuple[str, str, float]], by: lis
 def conformal_margin(preds: DataFrame, lo: str, hi: str, nominal: float, by: list[str]) -> DataFrame:
     """Per group the order statistic of max(lo - y, y - hi) that widens the interval to ``nominal``.
 
-    Rank min(k + 1, n) with k = ceil((n + 1) nominal), counted from 1.
+    Rank min(k + 1, n) with k = ceil((n + 1) nominal), counted from 1. A group without a known score has no row.
     """
     y = F.col("target")
     scores = preds.filter(all_known(y, _col(lo), _col(hi))).select(*by, F.greatest(_col(lo) - y, y - _col(hi)).alias("score"))
     one = ranked(scores, by, "score", lambda n: [F.least(F.ceil((n + 1) * nominal) + 1, n)])
-    return one.select(*by, F.col("values")[0].alias("margin"), "n")
+    return one.select(*by, F.get("values", F.lit(0)).alias("margin"), "n")
 
 
 def typical_week(preds: DataFrame, model: str, by: list[str], local: Column, least: int) -> DataFrame:

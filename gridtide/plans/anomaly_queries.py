@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridtide.functions.time import floor_to, to_local
 from gridtide.operators import anomaly as A
 from gridtide.operators.holidays import CalendarSetup, daily_calendar
-from gridtide.operators.timegrid import lags
+from gridtide.operators.timegrid import lags, spread_to_steps
 from gridtide.operators.windows import runs
-from gridtide.plans.calendar_queries import WEIGHTS
+from gridtide.plans.calendar_queries import HOLIDAYS, SHARES, WEIGHTS
 from gridtide.plans.inputs import SERIES, TZ, event_load, load_cte, rounded, table
 from gridtide.sources.store import kept
 
@@ -176,20 +179,137 @@ SPEC = {
 }
 
 
-@query(None)
-def injection_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random plans of three seeds spliced into every series at once, and the flatline rule's and the level's hits."""
+SEEDS, PER_KIND = [0, 1, 2], 3
+STUDY_KEYS = ["seed", "series"]
+RATE = 0.02
+
+
+def injected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The quarter-hour load, and per seed the corrupted points and the events spliced into every series."""
+    load = kept(event_load(spark, sf_dir, 900), "load15")
+    ends = load.agg(F.min("utc_start").alias("a"), F.count_distinct("utc_start").alias("n")).first()
+    start = ends["a"] or datetime(2000, 1, 1)  # without events there is no series to splice into
+    n = ends["n"] or 1_000_000
+    plan = A.injection_plan(spark, SPEC, PER_KIND, SEEDS, start, n)
+    events = kept(load.select("series").distinct().join(F.broadcast(plan)), "study-events")  # a few dozen rows for each series
+    points = load.withColumn("seed", F.explode(F.array(*map(F.lit, SEEDS))))
+    return load, kept(A.spliced(points, events, STUDY_KEYS), "study-points"), events
+
+
+def residual_hours(load: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, utc_start, score: each hour's mean known load against the day before."""
+    hourly = load.groupBy(*keys, floor_to(F.col("utc_start"), 3600).alias("utc_start")).agg(F.avg("load_mw").alias("load_mw"))
+    rows = hourly.join(lags(hourly, keys, "load_mw", {"expected": 24}), [*keys, "utc_start"], "left")
+    score = A.residual_score(F.col("load_mw"), F.col("expected") * 0.5, F.col("expected") * 1.5, 20.0)
+    return rows.select(*keys, "utc_start", score.alias("score"))
+
+
+def rule_flags(load: DataFrame, points: DataFrame) -> DataFrame:
+    """``points`` with the flags of the residual and the flatline rule; the residual limit comes from the clean series."""
+    limits = A.threshold(residual_hours(load, SERIES), "score", RATE, SERIES)
+    hours = residual_hours(points, STUDY_KEYS).join(limits, SERIES).withColumn("residual", F.coalesce(F.col("score") > F.col("threshold"), F.lit(False)))
+    spread = spread_to_steps(hours.select(*STUDY_KEYS, "utc_start", "residual"), STUDY_KEYS, "residual", 3600, points)
+    return runs(spread, STUDY_KEYS, "load_mw", 900).withColumn("flatline_rule", F.coalesce(F.col("run_size") >= 4, F.lit(False))).drop("run_start", "run_size")
+
+
+def study(flags: DataFrame, events: DataFrame, methods: dict[str, Column]) -> DataFrame:
+    """Detection metrics per seed, series and method."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), flag.alias("flag")) for m, flag in methods.items()]))
+    points = kept(flags.withColumn("m", each).select(*STUDY_KEYS, "m.method", "utc_start", "label", "m.flag"), "study-flags")
+    named = events.withColumn("method", F.explode(F.array(*map(F.lit, methods))))
+    return rounded(A.detection_metrics(points, named, [*STUDY_KEYS, "method"], "flag", 7200))
+
+
+def _draw(what: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('/', seed, kind, i, '{what}')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+PLAN_CTE = f"""spec(kind, a, b, c, d) AS (VALUES {", ".join(f"('{k}', {v['min_len']}, {v['max_len']}, {v.get('min_mag', 0)}::DOUBLE, {v.get('max_mag', 0)}::DOUBLE)" for k, v in SPEC.items())}),
+steps AS (SELECT count(DISTINCT utc_start) AS n, min(utc_start) AS first FROM load),
+dealt AS (SELECT seed, kind, i, (a + floor({_draw('length')} * (b - a + 1)))::INT AS intervals, {_draw('turn')} AS turn, {_draw('gap')} AS gap,
+          CASE WHEN kind = 'flatline' THEN 0 ELSE CASE WHEN kind = 'spike' THEN 1 WHEN kind = 'drop' THEN -1 WHEN {_draw('sign')} < 0.5 THEN -1 ELSE 1 END * (c + {_draw('magnitude')} * (d - c)) END AS magnitude
+          FROM (SELECT *, unnest(range(1, {PER_KIND + 1})) AS i FROM (SELECT *, unnest({SEEDS}) AS seed FROM spec))),
+placed AS (SELECT *, row_number() OVER o AS nth, list_sort(list(gap) OVER (PARTITION BY seed)) AS gaps, sum(intervals + 96) OVER o - intervals AS before, (SELECT n FROM steps) - 96 - sum(intervals + 96) OVER (PARTITION BY seed) AS room
+           FROM dealt WINDOW o AS (PARTITION BY seed ORDER BY turn, kind, i)),
+iplan AS (SELECT seed, kind, first + INTERVAL 15 MINUTE * (before + floor(gaps[nth] * (room + 1)))::BIGINT AS start, intervals, magnitude FROM placed, steps)"""
+
+
+@query(f"WITH {Q15}, {PLAN_CTE} SELECT seed::INT AS seed, kind, start, start + INTERVAL 15 MINUTE * intervals AS \"end\", intervals, round(magnitude, 6) AS magnitude FROM iplan")
+def injection_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     load = event_load(spark, sf_dir, 900)
     ends = load.agg(F.min("utc_start").alias("a"), F.count_distinct("utc_start").alias("n")).first()
-    if ends["a"] is None:
-        return spark.createDataFrame([], "seed int, series string")
-    plan = A.injection_plan(spark, SPEC, 3, [0, 1, 2], ends["a"], ends["n"])
-    keys = ["seed", "series"]
-    seeds = F.explode(F.array(*[F.lit(s) for s in (0, 1, 2)])).alias("seed")
-    points = load.select("*", seeds)
-    events = load.select("series").distinct().join(F.broadcast(plan))  # a few dozen rows for each series
-    corrupted = runs(A.spliced(points, events, keys), keys, "load_mw", 900).withColumn("flag", F.coalesce((F.col("run_size") >= 4) | (F.col("load_mw") > 110), F.lit(False)))
-    return rounded(A.detection_metrics(corrupted, events, keys, "flag", 7200))
+    return rounded(A.injection_plan(spark, SPEC, PER_KIND, SEEDS, ends["a"] or datetime(2000, 1, 1), ends["n"] or 1_000_000))
+
+
+RULES_CTE = f"""{Q15}, {PLAN_CTE},
+ev AS (SELECT series, seed, kind, start, start + INTERVAL 15 MINUTE * intervals AS fin, magnitude FROM iplan, (SELECT DISTINCT series FROM load)),
+pts AS (SELECT series, utc_start, load_mw, unnest({SEEDS}) AS seed FROM load),
+sp AS (SELECT l.seed, l.series, l.utc_start, coalesce(e.kind, '') AS label, CASE WHEN e.kind = 'flatline' THEN h.load_mw WHEN e.kind IS NOT NULL THEN l.load_mw * (1 + e.magnitude) ELSE l.load_mw END AS load_mw
+       FROM pts l LEFT JOIN ev e ON e.series = l.series AND e.seed = l.seed AND l.utc_start >= e.start AND l.utc_start < e.fin LEFT JOIN load h ON h.series = e.series AND h.utc_start = e.start - INTERVAL 15 MINUTE),
+hc AS (SELECT -1 AS seed, series, date_trunc('hour', utc_start) AS h, avg(load_mw) AS x FROM load GROUP BY 1, 2, 3 UNION ALL SELECT seed, series, date_trunc('hour', utc_start), avg(load_mw) FROM sp GROUP BY 1, 2, 3),
+hs AS (SELECT a.seed, a.series, a.h, CASE WHEN a.x IS NOT NULL AND b.x IS NOT NULL THEN greatest(b.x * 0.5 - a.x, a.x - b.x * 1.5, 0) / greatest(b.x * 1.5 - b.x * 0.5, 20) END AS score
+       FROM hc a LEFT JOIN hc b ON b.seed = a.seed AND b.series = a.series AND b.h = a.h - INTERVAL 24 HOUR),
+lim AS (SELECT series, quantile_cont(score, {1 - RATE}) AS threshold FROM hs WHERE seed = -1 GROUP BY 1),
+hf AS (SELECT hs.seed, hs.series, h, coalesce(score > threshold, false) AS residual FROM hs JOIN lim ON lim.series = hs.series WHERE threshold IS NOT NULL),
+rr AS (SELECT *, sum(CASE WHEN load_mw = p THEN 0 ELSE 1 END) OVER (PARTITION BY seed, series ORDER BY utc_start) AS run FROM (SELECT *, lag(load_mw) OVER (PARTITION BY seed, series ORDER BY utc_start) AS p FROM sp)),
+fl AS (SELECT r.seed, r.series, r.utc_start, r.label, coalesce(residual, false) AS residual, coalesce(count(*) OVER (PARTITION BY r.seed, r.series, run) >= 4, false) AS flatline_rule
+       FROM rr r LEFT JOIN hf ON hf.seed = r.seed AND hf.series = r.series AND hf.h = date_trunc('hour', r.utc_start))"""
+RULE_METHODS = {"residual": "residual", "flatline_rule": "flatline_rule", "residual_or_flatline": "(residual OR flatline_rule)"}
+RULES_SQL = f"""WITH {RULES_CTE},
+pt AS ({' UNION ALL '.join(f"SELECT seed, series, '{m}' AS method, utc_start, label, {c} AS flag FROM fl" for m, c in RULE_METHODS.items())}),
+byp AS (SELECT seed, series, method, count_if(flag AND label <> '') AS tp, count_if(flag AND label = '') AS fp, count_if(NOT flag AND label <> '') AS fn FROM pt GROUP BY 1, 2, 3),
+hit AS (SELECT e.seed, e.series, method, e.kind, e.start, max(flag::INT) AS hit FROM ev e JOIN pt p ON p.seed = e.seed AND p.series = e.series AND p.utc_start >= e.start AND p.utc_start < e.fin GROUP BY 1, 2, 3, 4, 5),
+bye AS (SELECT seed, series, method, avg(hit) AS event_recall, {', '.join(f"avg(hit) FILTER (kind = '{k}') AS event_recall_{k}" for k in A.KINDS)} FROM hit GROUP BY 1, 2, 3),
+fr AS (SELECT *, sum(CASE WHEN date_diff('second', p, utc_start) <= 7200 + 900 THEN 0 ELSE 1 END) OVER (PARTITION BY seed, series, method ORDER BY utc_start) AS run FROM (SELECT *, lag(utc_start) OVER (PARTITION BY seed, series, method ORDER BY utc_start) AS p FROM pt WHERE flag)),
+spn AS (SELECT seed, series, method, min(utc_start) AS start, max(utc_start) + INTERVAL 15 MINUTE AS fin FROM fr GROUP BY seed, series, method, run),
+ov AS (SELECT s.seed, s.series, s.method, s.start, max((p.label <> '')::INT) AS good FROM spn s JOIN pt p ON p.seed = s.seed AND p.series = s.series AND p.method = s.method AND p.utc_start >= s.start AND p.utc_start < s.fin GROUP BY 1, 2, 3, 4),
+byr AS (SELECT seed, series, method, avg(good) AS event_precision, count(*) AS flagged_events FROM ov GROUP BY 1, 2, 3)
+SELECT seed::INT AS seed, series, method, round(tp / nullif(tp + fp, 0), 6) AS point_precision, round(tp / nullif(tp + fn, 0), 6) AS point_recall, round(event_recall, 6) AS event_recall,
+       {', '.join(f"round(event_recall_{k}, 6) AS event_recall_{k}" for k in A.KINDS)}, round(event_precision, 6) AS event_precision, coalesce(flagged_events, 0)::BIGINT AS flagged_events
+FROM byp LEFT JOIN bye USING (seed, series, method) LEFT JOIN byr USING (seed, series, method)"""
+
+
+@query(RULES_SQL)
+def injection_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The study's methods that SQL can express: residual, flatline rule and both."""
+    load, points, events = injected(spark, sf_dir)
+    r, f = F.col("residual"), F.col("flatline_rule")
+    return study(rule_flags(load, points), events, {"residual": r, "flatline_rule": f, "residual_or_flatline": r | f})
+
+
+@query(None)
+def injection_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five methods over three random plans: the seed is a key through splices, residuals, features and scores.
+
+    The forest and both limits come from the clean series.
+    """
+    from gridtide.models import iforest
+
+    load, points, events = injected(spark, sf_dir)
+    clean = kept(A.detector_features(load, SERIES, TZ), "detector")
+    forest = iforest.fit(clean, A.FEATURES, ["series", "utc_start"], trees=100, sample=256)
+    limit = A.threshold(iforest.with_score(clean, forest).select("score"), "score", RATE, [])
+    corrupted = iforest.with_score(A.detector_features(points, STUDY_KEYS, TZ), forest).select(*STUDY_KEYS, "utc_start", "score")
+    isolated = corrupted.crossJoin(limit).select(*STUDY_KEYS, "utc_start", (F.col("score") > F.col("threshold")).alias("isolation_forest"))  # one row
+    flags = rule_flags(load, points).join(isolated, [*STUDY_KEYS, "utc_start"], "left")
+    r, i, f = F.col("residual"), F.coalesce("isolation_forest", F.lit(False)), F.col("flatline_rule")
+    return study(flags, events, {"residual": r, "isolation_forest": i, "flatline_rule": f, "residual_or_isolation_forest": r | i, "all_three_combined": r | i | f})
+
+
+@query(f"""WITH {SCORES}, k AS (SELECT *, lag(utc_start) OVER (PARTITION BY series ORDER BY utc_start) AS p FROM s WHERE score > 0.4),
+r AS (SELECT *, sum(CASE WHEN date_diff('second', p, utc_start) <= 7200 + 3600 THEN 0 ELSE 1 END) OVER (PARTITION BY series ORDER BY utc_start) AS run FROM k),
+sp AS (SELECT series, min(utc_start) AS start, max(utc_start) + INTERVAL 1 HOUR AS fin FROM r GROUP BY series, run),
+days AS (SELECT series, start, fin, unnest(generate_series({LOC.format('start')}::DATE, {LOC.format('(fin - INTERVAL 1 SECOND)')}::DATE, INTERVAL 1 DAY))::DATE AS day FROM sp),
+years AS (SELECT DISTINCT unnest([year(day) - 1, year(day), year(day) + 1])::INT AS y FROM days), {HOLIDAYS}, {SHARES},
+met AS (SELECT DISTINCT series, start, names FROM days JOIN names ON names.date = day)
+SELECT sp.series, sp.start, sp.fin AS "end", coalesce(string_agg(names, '; ' ORDER BY names), '') AS holidays FROM sp LEFT JOIN met ON met.series = sp.series AND met.start = sp.start GROUP BY 1, 2, 3""")
+def event_holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every residual event with all holidays of the days that it touches, in order."""
+    points = scored_hours(spark, sf_dir).withColumn("flag", F.coalesce(F.col("score") > 0.4, F.lit(False)))
+    points = kept(points, "scored-hours")
+    days = daily_calendar(spark, points.select(F.to_date(to_local(F.col("utc_start"), TZ)).alias("local_date")), CalendarSetup(WEIGHTS))
+    events = A.event_summary(points, SERIES, "flag", 7200, 3600, TZ, "expected", holidays=days.select("local_date", "holiday_name"))
+    return events.select("series", "start", "end", "holidays")
 
 
 @query("SELECT event_type AS series, count(*) AS points, round(quantile_cont(value, 0.5), 6) AS median_value FROM events GROUP BY 1")

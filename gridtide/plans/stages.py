@@ -185,6 +185,12 @@ def run_evaluate(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
     return out
 
 
+def _limit(threshold: DataFrame) -> float:
+    """A threshold of one group; without any known score nothing lies above it."""
+    row = threshold.first()
+    return float("inf") if row is None else row["threshold"]
+
+
 def run_anomalies(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
     """Real residual, isolation-forest and flatline events, and the study with injected events, all seeds in one job."""
     a, tz = config["anomaly"], config["timezone"]
@@ -192,11 +198,10 @@ def run_anomalies(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
     lo, hi = (f"`{ORACLE}_q{q:g}`" for q in a["interval"])
     width, gap = float(a["least_width"]), int(a["gap_hours"]) * 3600
     score = A.residual_score(F.col("target"), F.col(lo), F.col(hi), width)
-    limit = A.threshold(oof.withColumn("score", score), "score", float(a["residual_rate"]), []).first()["threshold"]
+    limit = _limit(A.threshold(oof.withColumn("score", score), "score", float(a["residual_rate"]), []))
     frame = spark.read.parquet(config.path("processed", "features"))
     holidays = frame.groupBy("local_date").agg(F.first("holiday_name", ignorenulls=True).alias("holiday_name"))
     real = oof.drop("fold").unionByName(test).select("utc_start", F.col("target").alias("actual"), F.col(ORACLE).alias("expected"), score.alias("score"))
-    limit = float("inf") if limit is None else limit
     residual = A.event_summary(real.withColumn("flag", F.coalesce(F.col("score") > limit, F.lit(False))), [], "flag", gap, 3600, tz, "expected", holidays=holidays)
 
     quarter = spark.read.parquet(config.path("interim", "load15")).select("utc_start", "load_mw")
@@ -207,7 +212,7 @@ def run_anomalies(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
     forest = iforest.fit(train, A.FEATURES, ["utc_start"], int(a["trees"]), int(a["sample"]), seed=int(config["seed"]))
     iforest.with_score(points, forest).select("utc_start", F.col("load_mw").alias("actual"), "score").write.mode("overwrite").parquet(config.path("interim", "scores"))
     scored = spark.read.parquet(config.path("interim", "scores"))
-    forest_limit = A.threshold(scored.filter(F.col("utc_start") < F.lit(cut)), "score", float(a["forest_rate"]), []).first()["threshold"]
+    forest_limit = _limit(A.threshold(scored.filter(F.col("utc_start") < F.lit(cut)), "score", float(a["forest_rate"]), []))
     isolated = A.event_summary(scored.withColumn("flag", F.col("score") > forest_limit), [], "flag", gap, 900, tz, holidays=holidays)
     flat = cleaning.flatlines(quarter, [], "load_mw", int(a["min_run"])).filter("flatline_flag")
 

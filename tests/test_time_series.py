@@ -140,10 +140,15 @@ def test_labels_that_are_none_fail(spark):
             cleaning.load_instants(rows("01.01.2024 00:00", label), "Europe/Zurich").count()
 
 
+@pytest.mark.parametrize("few", [65_536, 20])
 @pytest.mark.parametrize("by", [[], ["g"]])
-def test_order_statistics_are_exact(spark, by):
+def test_order_statistics_are_exact(spark, monkeypatch, by, few):
     import numpy as np
 
+    from gridtide.operators import order_stats
+
+    monkeypatch.setattr(order_stats, "FEW", few)  # 20: narrowed again and again
+
     rng = np.random.default_rng(2)
     rows = [(None if g == 2 else g, None if rng.random() < 0.05 else float(rng.choice([rng.normal(), 1.5, rng.integers(5)]))) for g in (0, 1, 2) for _ in range(3000 if g else 7)]
     df = spark.createDataFrame(rows, "g int, x double")
@@ -216,3 +221,38 @@ def test_perfect_detector(spark):
     assert (r["point_precision"], r["point_recall"], r["event_recall"], r["event_precision"], r["flagged_events"]) == (1, 1, 1, 1, 12)
     changed = points.join(load.withColumnRenamed("load_mw", "was"), ["series", "utc_start"]).filter("label = '' and load_mw <> was")
     assert changed.count() == 0
+
+
+def test_order_statistics_without_values(spark):
+    from gridtide.operators.evaluation import conformal_margin
+    from gridtide.operators.order_stats import quantile
+
+    missing = spark.createDataFrame([(1, None), (1, None), (2, 5.0)], "g int, x double")
+    assert quantile(missing.filter("g = 1"), [], "x", 0.5, "m").count() == 0
+    assert [tuple(r) for r in quantile(missing, ["g"], "x", 0.5, "m").collect()] == [(2, 5.0)]
+    preds = missing.withColumns({"target": F.col("x"), "lo": F.col("x"), "hi": F.col("x")})
+    assert conformal_margin(preds.filter("g = 1"), "lo", "hi", 0.9, []).first() is None
+    assert anomaly.medians(missing, ["x"], ["g"]).orderBy("g").collect() == [(1, None), (2, 5.0)]
+    assert anomaly.medians(missing, ["x"], []).first()["x"] == 5.0
+
+
+def test_injected_events_keep_a_day_apart(spark):
+    spec = {"spike": {"min_len": 1, "max_len": 4, "min_mag": 0.2, "max_mag": 0.5}, "drop": {"min_len": 1, "max_len": 6, "min_mag": 0.3, "max_mag": 0.4}, "level_shift": {"min_len": 16, "max_len": 40, "min_mag": 0.1, "max_mag": 0.3}, "flatline": {"min_len": 9, "max_len": 20}}
+    day, least = timedelta(days=1), 96 + 12 * (96 + 40)
+    seen = set()
+    for n in (least, 96 * 90):
+        plan = anomaly.injection_plan(spark, spec, 3, list(range(40)), START, n).toPandas()
+        assert len(plan) == 40 * 12 and (plan.groupby(["seed", "kind"]).size() == 3).all()
+        for _, rows in plan.groupby("seed"):
+            rows = rows.sort_values("start")
+            starts, ends = list(rows["start"]), list(rows["end"])
+            assert starts[0] >= START + day and ends[-1] + day <= START + n * timedelta(minutes=15)
+            assert all(b - a >= day for a, b in zip(ends, starts[1:]))
+        for kind, rule in spec.items():
+            own = plan[plan["kind"] == kind]
+            assert own["intervals"].between(rule["min_len"], rule["max_len"]).all() and ((own["end"] - own["start"]) == own["intervals"] * timedelta(minutes=15)).all()
+            assert own["magnitude"].abs().between(rule.get("min_mag", 0), rule.get("max_mag", 0)).all()
+            seen |= {(kind, int(x > 0) - int(x < 0)) for x in own["magnitude"]}
+    assert seen == {("spike", 1), ("drop", -1), ("level_shift", 1), ("level_shift", -1), ("flatline", 0)}
+    with pytest.raises(Exception, match="no room for 3 events"):
+        anomaly.injection_plan(spark, spec, 3, [1], START, 96 * 12).collect()
