@@ -109,3 +109,53 @@ def test_fetch(tmp_path):
         fetch.fetch_weather(config, get=lambda url: b'{"hourly": {"time": [], "temperature_2m": []}}')
     records = fetch.fetch_weather(config, get=lambda url: b'{"hourly": {"time": ["2024-01-01T00:00"], "temperature_2m": [1.5], "shortwave_radiation": [null]}}')
     assert fetch.write_manifest(config, book + records).exists()
+
+
+def odd_book(path, prefix="x:", late=False):
+    """A workbook of 500 rows: date cells of a built-in and an own format, shared and inline strings, a prefix, gaps."""
+    serial = (datetime(2022, 1, 1) - (datetime(1904, 1, 1) if late else datetime(1899, 12, 30))).days
+    p, body, want = prefix, "", []
+    shared = ["Header", "odd <&> label", "  01.01.2022 00:45  "]
+    for i in range(1, 501):
+        r, n = (f' r="{i if i < 400 else i + 100}"' if i % 2 else ""), i if i < 400 or i == 400 else i + 100
+        at = datetime(2022, 1, 1) + timedelta(minutes=15 * i)
+        if i == 1:
+            cells, row = f'<{p}c r="B1" t="s"><{p}v>0</{p}v></{p}c>', (1, None, "Header")
+        elif i % 5 == 0:
+            cells, row = f'<{p}c r="A{n}" t="s"><{p}v>2</{p}v></{p}c><{p}c r="B{n}" t="s"><{p}v>1</{p}v></{p}c>', (n, "01.01.2022 00:45", "odd <&> label")
+        elif i % 5 == 1:
+            cells, row = f'<{p}c r="A{n}" t="inlineStr"><{p}is><{p}t>x{i}</{p}t></{p}is></{p}c><{p}c r="C{n}"><{p}v>7</{p}v></{p}c>', (n, f"x{i}", None)
+        else:
+            style = 1 + i % 2
+            cells, row = f'<{p}c r="A{n}" s="{style}"><{p}v>{serial + i / 96!r}</{p}v></{p}c><{p}c r="B{n}" s="1"><{p}v>{i}.5</{p}v></{p}c>', (n, f"{at:%d.%m.%Y %H:%M}", f"{i}.5")
+        body += f"<{p}row{r}>{cells}</{p}row>"
+        want.append(row)
+    name = prefix.rstrip(":")
+    space = f'xmlns:{name}="{MAIN}"' if name else f'xmlns="{MAIN}"'
+    items = "".join(f"<{p}si><{p}t>{t.replace('&', '&amp;').replace('<', '&lt;')}</{p}t></{p}si>" for t in shared)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN}" xmlns:r="{REL}"><workbookPr date1904="{int(late)}"/><sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{MAIN}"><numFmts><numFmt numFmtId="200" formatCode="dd\\.mm\\.yyyy hh:mm"/><numFmt numFmtId="201" formatCode="0.00 &quot;day&quot;"/></numFmts><cellXfs><xf numFmtId="201"/><xf numFmtId="200"/><xf numFmtId="22"/></cellXfs></styleSheet>')
+        z.writestr("xl/sharedStrings.xml", f'<?xml version="1.0"?><{p}sst {space} count="3">{items}</{p}sst>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<?xml version="1.0"?><{p}worksheet {space}><{p}cols><{p}col/></{p}cols><{p}sheetData>{body}</{p}sheetData><{p}pageMargins/></{p}worksheet>')
+    return want
+
+
+@pytest.mark.parametrize("prefix, late", [("x:", True), ("", False)])
+def test_sheets_are_read_in_segments(spark, tmp_path, prefix, late):
+    want = odd_book(tmp_path / "a.xlsx", prefix, late)
+    odd_book(tmp_path / "b.xlsx", prefix, late)
+    assert workbook.sheet_segments(spark, str(tmp_path), "S", 2000).filter("kind = 'rows'").groupBy("file").count().filter("count > 10").count() == 2
+    for size in (2000, workbook.SEGMENT):
+        rows = workbook.read_sheets(spark, f"file://{tmp_path}", "S", size).filter("file = 'b.xlsx'").orderBy("row_no").collect()
+        assert [tuple(r)[1:] for r in rows] == want
+    assert list(workbook.sheet_rows((tmp_path / "a.xlsx").read_bytes(), "S")) == want
+    with pytest.raises(ValueError, match="no sheet"):
+        list(workbook.sheet_rows((tmp_path / "a.xlsx").read_bytes(), "T"))
+
+
+def test_short_sheets_fail(spark, tmp_path):
+    write_book(tmp_path / "short.xlsx", [["", "Energy"], ["Zeitstempel", "kWh"]])
+    with pytest.raises(Exception, match="fewer than three rows"):
+        workbook.read_sheets(spark, str(tmp_path), "Zeitreihen0h15").count()
