@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,3 +116,29 @@ def feature_frame(spark: SparkSession, index: DataFrame, load: DataFrame, weathe
     frame = oracle_weather_features(lagged_weather_features(frame, weather, setup, t), weather, setup, t)
     target = load.select(*keys, t, F.col(value).alias("target"))
     return frame.join(target, [*keys, t], "left").withColumn("issue_time_utc", issue_time(F.col("local_date"), setup.tz, setup.issue_hour))
+
+
+def leakage_check(make: Callable[[DataFrame, DataFrame, list[str]], DataFrame], load: DataFrame, keys: list[str], setup: ForecastSetup, value: str = "load_mw", t: str = "utc_start", spacing: int = 35) -> DataFrame:
+    """keys, local_date, hours, changed: hours of a day whose features depend on what its forecast cannot know.
+
+    ``make(index, load, keys)`` are the features. Every ``spacing``-th day shares a case: a copy of the series in which
+    all values from those days' issue times to their ends are overwritten. A day's features from its case are compared
+    by hash with those of the true series, so all days are checked in one job of ``spacing`` + 1 copies. ``spacing``
+    is more days than the features look back.
+    """
+    local = F.to_date(to_local(F.col(t), setup.tz))
+    day = F.datediff(local, F.lit("1970-01-01"))
+    index = load.select(*keys, t).withColumn("_case", F.pmod(day, F.lit(spacing)))
+    copies = load.select(*keys, t, value).withColumn("_case", F.explode(F.sequence(F.lit(0), F.lit(spacing - 1))))
+    own = F.pmod(day, F.lit(spacing)) == F.col("_case")
+    following = (F.pmod(day + 1, F.lit(spacing)) == F.col("_case")) & (F.col(t) >= issue_time(F.date_add(local, 1), setup.tz, setup.issue_hour))
+    spoilt = copies.withColumn(value, F.when(own | following, F.lit(1e9)).otherwise(F.col(value)))
+
+    def hashed(features: DataFrame, name: str) -> DataFrame:
+        made = [c for c in features.columns if c not in (*keys, t, "_case", "local_date")]
+        return features.select(*keys, t, F.xxhash64(*made).alias(name))
+
+    seen = hashed(make(index, spoilt, [*keys, "_case"]), "_spoilt")
+    both = hashed(make(load.select(*keys, t), load, keys), "_true").join(seen, [*keys, t])
+    changed = F.count_if(F.col("_true") != F.col("_spoilt"))
+    return both.groupBy(*keys, local.alias("local_date")).agg(F.count("*").alias("hours"), changed.alias("changed"))

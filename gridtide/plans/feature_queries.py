@@ -106,3 +106,24 @@ FROM t JOIN daily ON daily.local_date = t.local_date JOIN easter ON y = year(t.l
 def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     load = kept(event_load(spark, sf_dir, 3600), "load")
     return rounded(X.feature_frame(spark, load, load, kept(national(spark, sf_dir), "weather"), SERIES, SETUP, CalendarSetup(WEIGHTS)))
+
+
+@query(f"""WITH {HOURLY}, h AS (SELECT series, utc_start, {LOCAL}::DATE AS local_date FROM load)
+SELECT series, local_date, count(*) AS hours, 0::BIGINT AS changed,
+       count_if(utc_start - INTERVAL 24 HOUR >= timezone('UTC', timezone('{TZ}', local_date::TIMESTAMP - INTERVAL 14 HOUR)) AND utc_start - INTERVAL 24 HOUR >= (SELECT first FROM bounds)) AS control_changed
+FROM h GROUP BY 1, 2""")
+def leakage_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load features of every day against a series spoilt after issue time; a lag of 24 hours is the leaking control."""
+    from gridtide.operators.timegrid import lags
+
+    load = kept(event_load(spark, sf_dir, 3600), "load")
+
+    def safe(index: DataFrame, load: DataFrame, keys: list[str]) -> DataFrame:
+        return X.load_lag_features(index, load, keys, SETUP)
+
+    def leaking(index: DataFrame, load: DataFrame, keys: list[str]) -> DataFrame:
+        return index.join(lags(load, keys, "load_mw", {"lag24h": 24}), [*keys, "utc_start"], "left")
+
+    found = X.leakage_check(safe, load, SERIES, SETUP)
+    control = X.leakage_check(leaking, load, SERIES, SETUP).withColumnRenamed("changed", "control_changed")
+    return found.join(control.drop("hours"), [*SERIES, "local_date"])
