@@ -9,12 +9,15 @@
 4. A proposed pair links if its sets are similar; connected components run over the links in Spark.
 
 Sizes, places of the shared shingle and parity bitmaps are exact bounds that leave out pairs which cannot be similar.
-A shingle of many items is cut into chunks, and each two chunks meet in a group of their own.
+Items that share a frequent shingle meet by bands of their sizes: an item goes to the bands of the smaller partners that
+its place leaves possible, so pages of a template whose own text keeps them apart meet nobody. What does meet is cut
+into chunks, and pairs within the component that most of a band belongs to are never formed.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,9 +34,10 @@ from gridtide.llm.simhash_vptree import SEED, fingerprint, links
 #: Odd multiplier and finalizer constants of the shingle hash (fixed values of MurmurHash3's 64-bit mix).
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 BITS = 512
-#: Sets of up to this many shingles are kept by all 64 bits of their hashes, larger ones by the upper 40.
-FEW = 64
+#: Rows of a shingle that meet as they are, and of a side of a group where a shingle has more.
 CHUNK = 2048
+#: Ratio of a band's sizes.
+BAND = 1.1
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -60,25 +64,23 @@ def parity(full: np.ndarray) -> bytes:
 
 
 def packed(full: np.ndarray) -> bytes:
-    """A sorted set after a byte that names the width of its hashes."""
-    if len(full) <= FEW:
-        return b"\x08" + full.astype("<u8").tobytes()
-    return b"\x05" + np.unique(full >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    """A sorted set by the upper 40 bits of its hashes, whatever its size.
+
+    Two sets are compared only when proposed; shingles that differ but agree in 40 bits are expected n m / 2**40 times
+    in a pair of n and m, and one such can matter only at the threshold itself.
+    """
+    return np.unique(full >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    if data[0] == 8:
-        return np.frombuffer(data, dtype="<u8", offset=1)
     wide = np.zeros((len(data) // 5, 8), dtype=np.uint8)
-    wide[:, :5] = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(-1, 5)
+    wide[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
     return wide.view("<u8").ravel()
 
 
 def set_similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two packed sets; two empty sets are equal. Sets of two widths meet by their upper 40 bits."""
+    """Jaccard similarity of two packed sets; two empty sets are equal."""
     x, y = unpacked(a), unpacked(b)
-    if a[0] != b[0]:
-        x, y = (np.unique(v >> np.uint64(24)) if data[0] == 8 else v for v, data in ((x, a), (y, b)))
     if not len(x) and not len(y):
         return 1.0
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -207,11 +209,20 @@ def may_link(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], least: float)
     return fit
 
 
-def token_pairs(group: np.ndarray, across: np.ndarray, chunk: np.ndarray, ids: np.ndarray, component: np.ndarray, size: np.ndarray, at: np.ndarray, bits: np.ndarray, least: float, cells: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of id pairs of one group and different components that may link.
+def _blocks(many: np.ndarray, cells: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(owner, number within the owner's) of ``many[i]`` things of each owner i, about ``cells`` at a time."""
+    left = np.flatnonzero(many > 0)
+    total, k = np.cumsum(many[left]), 0
+    while k < len(left):
+        stop = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + cells, "right")))
+        mine = left[k:stop]
+        i = np.repeat(mine, many[mine])
+        yield i, np.arange(len(i)) - np.repeat(np.cumsum(many[mine]) - many[mine], many[mine])
+        k = stop
 
-    Rows are sorted by group, then component. A group that is ``across`` pairs rows of its two chunks only.
-    """
+
+def token_pairs(group: np.ndarray, ids: np.ndarray, component: np.ndarray, size: np.ndarray, at: np.ndarray, bits: np.ndarray, least: float, cells: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of id pairs of one group and different components that may link. Rows are sorted by group, then component."""
     if not len(group):
         return
     new = group[1:] != group[:-1]
@@ -219,23 +230,28 @@ def token_pairs(group: np.ndarray, across: np.ndarray, chunk: np.ndarray, ids: n
     parts = np.flatnonzero(np.append(True, new | (component[1:] != component[:-1])))
     end = np.repeat(np.append(starts[1:], len(group)), np.diff(np.append(starts, len(group))))
     after = np.repeat(np.append(parts[1:], len(group)), np.diff(np.append(parts, len(group))))
-    left = np.flatnonzero(end > after)
-    total = np.cumsum((end - after)[left])
-    k = 0
-    while k < len(left):
-        done = total[k - 1] if k else 0
-        stop = max(k + 1, int(np.searchsorted(total, done + cells, "right")))
-        mine = left[k:stop]
-        many = (end - after)[mine]
-        i = np.repeat(mine, many)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + after[i]
-        fit = ~across[i] | (chunk[i] != chunk[j])
-        i, j = i[fit], j[fit]
+    for i, j in _blocks(end - after, cells):
+        j = j + after[i]
+        fit = may_link((size[i], at[i], bits[i]), (size[j], at[j], bits[j]), least)
+        a, b = np.minimum(ids[i], ids[j])[fit], np.maximum(ids[i], ids[j])[fit]
+        if len(a):
+            yield a, b
+
+
+def band_pairs(home: np.ndarray, reach: np.ndarray, ids: np.ndarray, component: np.ndarray, size: np.ndarray, at: np.ndarray, bits: np.ndarray, least: float, cells: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of id pairs of a seeker and an item at home, of different components, that may link; one group's rows."""
+    q, h = np.flatnonzero(~home), np.flatnonzero(home)
+    h = h[np.argsort(size[h], kind="stable")]
+    low = np.searchsorted(size[h], np.ceil(least * size[q] - 1e-6), "left")
+    high = np.searchsorted(size[h], reach[q], "right")
+    for i, j in _blocks(high - low, cells):
+        i, j = q[i], h[j + low[i]]
+        apart = component[i] != component[j]
+        i, j = i[apart], j[apart]
         fit = may_link((size[i], at[i], bits[i]), (size[j], at[j], bits[j]), least)
         a, b = np.minimum(ids[i], ids[j])[fit], np.maximum(ids[i], ids[j])[fit]
         if len(a):
             yield a, b
-        k = stop
 
 
 def shared_tokens(keyed: DataFrame, items: DataFrame) -> DataFrame:
@@ -258,28 +274,79 @@ def star_pairs(tokens: DataFrame, items: DataFrame, least: float) -> DataFrame:
     return rays.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).filter("a <> b").distinct()
 
 
+MET = ["token", "cell", "component", "home", "id", "n", "place", "reach", "bits"]
+
+
+def _in_bands(many: DataFrame, least: float) -> tuple[DataFrame, int]:
+    """MET rows of frequent shingles, and about how many. Each pair that may link meets where its smaller item is at home.
+
+    A band's largest component is told apart: seekers outside it meet all at home, its own seekers only the others.
+    """
+
+    def band(n):
+        return F.floor(F.log(n.cast("double")) / math.log(BAND)).cast("int")
+
+    low = F.ceil(F.col("n") * least - 1e-6)
+    seekers = many.filter(F.col("reach") >= low).withColumn("band", F.explode(F.sequence(band(low), band(F.col("reach")))))
+    homes = many.withColumn("band", band(F.col("n")))
+    each = seekers.select("token", "band", "component", F.lit(1).alias("p"), F.lit(0).alias("h"))
+    each = each.union(homes.select("token", "band", "component", F.lit(0).alias("p"), F.lit(1).alias("h")))
+    parts = each.groupBy("token", "band", "component").agg(F.sum("p").alias("p"), F.sum("h").alias("h"))
+    top = F.max(F.struct((F.col("p") + F.col("h")).alias("rows"), "component", "p", "h")).alias("top")
+    cells = parts.groupBy("token", "band").agg(F.sum("p").alias("p"), F.sum("h").alias("h"), top)
+    others, rest = F.col("p") - F.col("top.p"), F.col("h") - F.col("top.h")
+
+    def chunks(n, other):
+        return F.when((n > 0) & (other > 0), F.ceil(n / CHUNK)).otherwise(0).cast("int")
+
+    sides = {"p0": chunks(others, F.col("h")), "h0": chunks(F.col("h"), others), "p1": chunks(F.col("top.p"), rest), "h1": chunks(rest, F.col("top.p"))}
+    cells = cells.select("token", "band", F.col("top.component").alias("most"), *[c.alias(n) for n, c in sides.items()], (others * sides["h0"] + F.col("h") * sides["p0"] + F.col("top.p") * sides["h1"] + rest * sides["p1"]).alias("rows"))
+    cells = stored(cells.filter("p0 + p1 > 0"), "bands")
+    turn = F.xxhash64("id")
+
+    def dealt(kind: int, mine: str, other: str, home: bool):
+        """The groups of a row of one side: its own chunk with every chunk of the other side."""
+        own, all_of = F.pmod(turn, F.greatest(F.col(mine), F.lit(1))), F.sequence(F.lit(0), F.col(other) - 1)
+
+        def name(k):
+            p, h = (k, own) if home else (own, k)
+            return ((F.col("band") * 2 + kind).cast("long") * (1 << 20) + p) * (1 << 20) + h
+
+        return F.when((F.col(mine) > 0) & (F.col(other) > 0), F.transform(all_of, name)).otherwise(F.array().cast("array<bigint>"))
+
+    inside = F.col("component") == F.col("most")
+    seeking = seekers.join(cells, ["token", "band"]).withColumn("to", F.when(inside, dealt(1, "p1", "h1", False)).otherwise(dealt(0, "p0", "h0", False)))
+    at_home = homes.join(cells, ["token", "band"])
+    at_home = at_home.withColumn("to", F.concat(dealt(0, "h0", "p0", True), F.when(inside, F.array().cast("array<bigint>")).otherwise(dealt(1, "h1", "p1", True))))
+    both = seeking.withColumn("home", F.lit(False)).unionByName(at_home.withColumn("home", F.lit(True)))
+    return both.withColumn("cell", F.explode("to")).select(*MET), cells.agg(F.sum("rows")).first()[0] or 0
+
+
 def open_pairs(tokens: DataFrame, items: DataFrame, least: float, rows_per_part: int = 200_000) -> DataFrame:
     """a, b: every pair of items of different components that shares a token and may link."""
     named = tokens.join(items.select("id", "component", "n"), "id")
-    counts = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    counts = stored(counts.filter("low <> high").select("token", "chunks"), "open-shingles")
-    rows = named.join(counts, "token").join(items.select("id", "bits"), "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.select("token", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "component", "chunk", "id", "n", "place", "bits")
+    counts = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows"))
+    counts = stored(counts.filter("low <> high").select("token", "rows"), "open-shingles")
+    reach = F.floor((F.col("n") - F.col("place") + 1e-6) * ((1 + least) / least) - F.col("n") + 1e-9)  # the largest partner
+    rows = named.join(counts, "token").join(items.select("id", "bits"), "id").withColumn("reach", F.least("n", reach).cast("int"))
+    many = stored(rows.filter(F.col("rows") > CHUNK).drop("rows"), "frequent-shingles")
+    banded, size = _in_bands(many, least)
+    few = rows.filter(F.col("rows") <= CHUNK).withColumn("cell", F.lit(-1).cast("long")).withColumn("home", F.lit(True)).select(*MET)
+    size += counts.filter(F.col("rows") <= CHUNK).agg(F.sum("rows")).first()[0] or 0
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows of the last group, which the next batch may continue
-
-        def key(batch: pa.RecordBatch, k: int) -> tuple:
-            return tuple(batch.column(c)[k].as_py() for c in range(3))
-
         made: list[np.ndarray] = []  # pairs not yet given out: a pair meets in many shingles, and a task names it once
 
-        def found(table: pa.Table) -> None:
-            token, lo, hi, component, chunk, ids, n, place = (table.column(c).to_numpy() for c in range(8))
-            group = np.cumsum(np.append(False, (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
-            bits = np.frombuffer(b"".join(table.column(8).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
-            made.extend(np.stack(p, axis=1) for p in token_pairs(group, lo != hi, chunk, ids, component, n.astype(np.int64), place.astype(np.int64), bits, least))
+        def pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            token, cell, component, home, ids, n, place, reach = (table.column(c).to_numpy().astype(np.int64) for c in MET[:8])
+            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+            group = np.cumsum(np.append(False, (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])))
+            plain = cell < 0
+            yield from token_pairs(*(x[plain] for x in (group, ids, component, n, place, bits)), least)
+            for g in np.unique(group[~plain]):
+                mine = group == g
+                yield from band_pairs(*(x[mine] for x in (home > 0, reach, ids, component, n, place, bits)), least)
 
         def given(most: int) -> Iterator[pa.RecordBatch]:
             """What has been made, each pair once, if it is more than ``most``; the rest waits for more of the same."""
@@ -290,24 +357,28 @@ def open_pairs(tokens: DataFrame, items: DataFrame, least: float, rows_per_part:
                     made.clear()
                     yield pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["a", "b"])
 
+        def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            for p in pairs(table):
+                made.append(np.stack(p, axis=1))
+                yield from given(500_000)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            last = key(batch, batch.num_rows - 1)
-            if held and last == key(held[0], 0):  # all of it continues the held group
+            last = [batch.column(c)[batch.num_rows - 1].as_py() for c in range(2)]
+            if held and last == [held[0].column(c)[0].as_py() for c in range(2)]:  # all of it continues the held group
                 held.append(batch)
                 continue
-            same = [batch.column(c).to_numpy() == last[c] for c in range(3)]
-            cut = int(np.argmax(same[0] & same[1] & same[2]))
-            found(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            same = [batch.column(c).to_numpy() == last[c] for c in range(2)]
+            cut = int(np.argmax(same[0] & same[1]))
+            yield from found(pa.Table.from_batches([*held, batch.slice(0, cut)]))
             held = [batch.slice(cut)]
-            yield from given(500_000)
         if held:
-            found(pa.Table.from_batches(held))
-            yield from given(0)
+            yield from found(pa.Table.from_batches(held))
+        yield from given(0)
 
-    parts = max(8, -(-met.count() // rows_per_part))
-    near = met.repartition(parts, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "component")
+    parts = max(8, -(-size // rows_per_part))
+    near = few.unionByName(banded).repartition(parts, "token", "cell").sortWithinPartitions("token", "cell", "component")
     return near.mapInArrow(run, "a long, b long").distinct()
 
 

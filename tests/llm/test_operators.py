@@ -281,15 +281,45 @@ def test_near_duplicates_of_given_tables(spark):
 
 def test_token_pairs_are_all_allowed_pairs():
     rng = np.random.default_rng(5)
-    group, component, chunk = np.sort(rng.integers(0, 20, 200)), rng.integers(0, 4, 200), rng.integers(0, 2, 200)
+    group, component = np.sort(rng.integers(0, 20, 200)), rng.integers(0, 4, 200)
     order = np.lexsort((component, group))
     group, component = group[order], component[order]
-    rows = (group, group % 3 == 0, chunk, np.arange(200), component, np.full(200, 10), np.zeros(200, np.int64), np.zeros((200, near_sets.BITS // 64), np.uint64))
+    rows = (group, np.arange(200), component, np.full(200, 10), np.zeros(200, np.int64), np.zeros((200, near_sets.BITS // 64), np.uint64))
     got = [p for a, b in near_sets.token_pairs(*rows, 0.8, cells=50) for p in zip(a.tolist(), b.tolist())]
-    want = {(i, j) for j in range(200) for i in range(j) if group[i] == group[j] and component[i] != component[j] and (group[i] % 3 or chunk[i] != chunk[j])}
+    want = {(i, j) for j in range(200) for i in range(j) if group[i] == group[j] and component[i] != component[j]}
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_band_pairs_are_all_open_pairs():
+    rng = np.random.default_rng(6)
+    n, at = rng.integers(20, 60, 300), rng.integers(0, 12, 300)
+    component, home, bits = rng.integers(0, 4, 300), rng.random(300) < 0.5, np.zeros((300, near_sets.BITS // 64), np.uint64)
+    reach = np.minimum(n, np.floor((n - at + 1e-6) * 2.25 - n + 1e-9)).astype(np.int64)
+    got = {p for a, b in near_sets.band_pairs(home, reach, np.arange(300), component, n, at, bits, 0.8, cells=50) for p in zip(a.tolist(), b.tolist())}
+    want = set()
+    for q in np.flatnonzero(~home).tolist():
+        for h in np.flatnonzero(home).tolist():
+            open_ = n[h] <= n[q] and near_sets.may_link((n[q : q + 1], at[q : q + 1], bits[q : q + 1]), (n[h : h + 1], at[h : h + 1], bits[h : h + 1]), 0.8)[0]
+            if open_ and component[q] != component[h]:
+                want.add((min(q, h), max(q, h)))
+    assert got == want and len(want) > 100
+
+
+def test_pages_of_a_template_meet_nobody(spark):
+    """A long common part, and own words that keep the pages just below the threshold: they stay apart and do not meet."""
+    common = [f"menu{i}" for i in range(110)]
+    rows = [" ".join([*common, *(f"p{k}w{i}" for i in range(15 + k % 4))]) for k in range(4000)]
+    items = near_sets.near_duplicates(texts(spark, rows))
+    assert items.filter("doc_id = component_id").count() == len(rows)
+    # 121 to 124 shingles, 15 to 18 of them own and thus first; the places after them leave no partner of these sizes
+    pages = spark.range(5000).selectExpr("1L AS token", "id", "id AS component", "cast(121 + id % 4 AS int) AS n", "cast(19 + id % 4 AS int) AS place", "array(1L) AS bits")
+    pages = pages.withColumn("reach", F.least("n", F.floor((F.col("n") - F.col("place")) * 2.25 - F.col("n"))).cast("int"))
+    met, size = near_sets._in_bands(pages, 0.8)
+    assert size == 0 and met.count() == 0
+    met, size = near_sets._in_bands(pages.withColumn("reach", F.col("n")).withColumn("component", F.lit(7)), 0.8)
+    assert size == 0 and met.count() == 0  # one component
+
+
 def test_bounds_leave_every_similar_pair():
     rng = np.random.default_rng(9)
     for _ in range(300):
