@@ -37,22 +37,23 @@ def to_interval_start(df: DataFrame, keys: list[str], t: str = "utc_start") -> D
     return owned(rows).drop("temperature_2m", "shortwave_radiation")
 
 
-def national(df: DataFrame, weights: DataFrame, t: str = "utc_start", limit: int = 3) -> DataFrame:
-    """utc_start, temperature_c, radiation_wm2: weighted over all locations; missing in any is missing.
+def national(df: DataFrame, weights: DataFrame, t: str = "utc_start", limit: int = 3, complete: bool = True) -> DataFrame:
+    """utc_start, temperature_c, radiation_wm2: weighted over all locations.
 
-    Hours with neither value are dropped; then both values are masked where either is implausible or missing, and
-    gaps of up to ``limit`` rows inside are interpolated.
+    A value missing in any location is missing, or, unless ``complete``, the others' weights stand for it. Hours with
+    neither value are dropped; then both values are masked where either is implausible or missing, and gaps of up to
+    ``limit`` rows inside are interpolated, both in one pass.
     """
     joined = df.join(weights, "location")  # a row per location
     known = weights.agg(F.count("*").alias("locations"), F.sum("weight").alias("total"))
 
     def mean(x: str):
+        if not complete:
+            return (F.sum(F.col(x) * F.col("weight")) / F.sum(F.when(F.col(x).isNotNull(), F.col("weight")))).alias(x)
         full = F.count(x) == F.max("locations")
         return F.when(full, F.sum(F.col(x) * F.col("weight")) / F.max("total")).alias(x)
 
     hours = joined.crossJoin(known).groupBy(t).agg(mean("temperature_c"), mean("radiation_wm2")).filter("temperature_c is not null or radiation_wm2 is not null")
     good = F.col("temperature_c").between(*TEMPERATURE) & F.col("radiation_wm2").between(*RADIATION)
     masked = hours.withColumns({c: F.when(good, F.col(c)) for c in ("temperature_c", "radiation_wm2")})
-    for c in ("temperature_c", "radiation_wm2"):
-        masked = interpolated(masked, [], c, HOUR, limit, "first", t).drop("interpolated")
-    return masked
+    return interpolated(masked, [], ["temperature_c", "radiation_wm2"], HOUR, limit, "first", t).drop("interpolated")

@@ -79,21 +79,28 @@ def neighbours(df: DataFrame, keys: list[str], value: str, t: str = "utc_start",
     return near.select(*df.columns, *named)
 
 
-def interpolated(df: DataFrame, keys: list[str], value: str, step: int, limit: int, long_gaps: str = "first", t: str = "utc_start", span: int = BLOCK) -> DataFrame:
+def interpolated(df: DataFrame, keys: list[str], value: str | list[str], step: int, limit: int, long_gaps: str = "first", t: str = "utc_start", span: int = BLOCK) -> DataFrame:
     """Linear in time between known values, on a regular grid; ``value`` is replaced and ``interpolated`` added.
 
     Only between two known values. A gap longer than ``limit`` steps has its first ``limit`` filled ("first") or
-    stays missing as a whole ("keep").
+    stays missing as a whole ("keep"). Several values that are missing together are filled in one pass.
     """
     if long_gaps not in ("first", "keep"):
         raise ValueError("long_gaps is first or keep")
-    near = neighbours(df, keys, value, t, span)
+    values = [value] if isinstance(value, str) else value
+    first = F.col(values[0])
+    rows = df.withColumn("_values", F.when(first.isNotNull(), F.struct(*values)))
+    near = neighbours(rows, keys, "_values", t, span)
     since, gap = seconds_between(F.col("prev_t"), F.col(t)), seconds_between(F.col("prev_t"), F.col("next_t"))
     reach = since <= limit * step if long_gaps == "first" else gap <= (limit + 1) * step
-    filled = F.col(value).isNull() & F.col("prev_v").isNotNull() & F.col("next_v").isNotNull() & reach
-    line = F.col("prev_v") + (F.col("next_v") - F.col("prev_v")) * since / gap
-    rest = [c for c in df.columns if c != value]
-    return near.select(*rest, F.when(filled, line).otherwise(F.col(value)).alias(value), filled.alias("interpolated"))
+    filled = first.isNull() & F.col("prev_v").isNotNull() & F.col("next_v").isNotNull() & reach
+
+    def line(v: str) -> Column:
+        before, after = F.col(f"prev_v.{v}"), F.col(f"next_v.{v}")
+        return F.when(filled, before + (after - before) * since / gap).otherwise(F.col(v)).alias(v)
+
+    rest = [c for c in df.columns if c not in values]
+    return near.select(*rest, *map(line, values), filled.alias("interpolated"))
 
 
 def runs(df: DataFrame, keys: list[str], value: str, step: int, t: str = "utc_start", span: int = BLOCK) -> DataFrame:

@@ -28,8 +28,10 @@ def query(sql: str | None):
     return add
 
 
-def national(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weather.national(weather.to_interval_start(stations(spark, sf_dir), ["location"]), station_weights(spark, sf_dir))
+def national(spark: SparkSession, sf_dir: str, load: DataFrame | None = None, some: bool = True) -> DataFrame:
+    """The national weather of the two stations, or of all series, where a missing one lowers the weights."""
+    load = kept(event_load(spark, sf_dir, 3600), "load") if load is None else load
+    return weather.national(weather.to_interval_start(stations(load, some), ["location"]), station_weights(spark, sf_dir, some), complete=some)
 
 
 def _daily(source: str, value: str, prefix: str, by: str = "series, ") -> str:
@@ -82,6 +84,23 @@ def national_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(national(spark, sf_dir))
 
 
+ALL_STATIONS_CTE = STATIONS_CTE.replace(" WHERE series IN ('click', 'view')", "").replace(" WHERE event_type IN ('click', 'view')", " WHERE event_type IS NOT NULL")
+for _c in ("temperature_c", "radiation_wm2"):
+    _whole = f"CASE WHEN count({_c}) = (SELECT count(*) FROM sw) THEN sum({_c} * weight) / (SELECT sum(weight) FROM sw) END"
+    ALL_STATIONS_CTE = ALL_STATIONS_CTE.replace(_whole, f"sum({_c} * weight) / sum(weight) FILTER ({_c} IS NOT NULL)")
+
+
+@query(f"WITH {ALL_STATIONS_CTE} SELECT utc_start, round(temperature_c + 1e-9, 6) AS temperature_c, round(radiation_wm2 + 1e-9, 6) AS radiation_wm2 FROM weather")
+def national_weather_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event type is a station; an hour without one of them has the weighted mean of the others.
+
+    Means of whole cents with weights of few digits often end in a 5 at the seventh digit: a little is added, so that
+    both engines round these up whatever the order of their sums.
+    """
+    found = national(spark, sf_dir, some=False)
+    return rounded(found.select("utc_start", *[(F.col(c) + 1e-9).alias(c) for c in ("temperature_c", "radiation_wm2")]))
+
+
 @query(f"WITH {STATIONS_CTE}, {WREF}, {WLAG} SELECT utc_start, local_date, {_round(X.LAGGED_WEATHER)} FROM wlag")
 def lagged_weather_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = event_load(spark, sf_dir, 3600).select("utc_start").distinct()
@@ -105,7 +124,7 @@ round(sin(2 * pi() * (dayofyear(t) - 1) / 365.25), 6) AS doy_sin, round(cos(2 *
 FROM t JOIN daily ON daily.local_date = t.local_date JOIN easter ON y = year(t.local_date) JOIN wlag ON wlag.utc_start = t.utc_start JOIN wora ON wora.utc_start = t.utc_start""")
 def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     load = kept(event_load(spark, sf_dir, 3600), "load")
-    return rounded(X.feature_frame(spark, load, load, kept(national(spark, sf_dir), "weather"), SERIES, SETUP, CalendarSetup(WEIGHTS)))
+    return rounded(X.feature_frame(spark, load, load, kept(national(spark, sf_dir, load), "weather"), SERIES, SETUP, CalendarSetup(WEIGHTS)))
 
 
 @query(f"""WITH {HOURLY}, h AS (SELECT series, utc_start, {LOCAL}::DATE AS local_date FROM load)

@@ -45,14 +45,15 @@ def event_load(spark: SparkSession, sf_dir: str, step: int) -> DataFrame:
     return on_grid(sums, SERIES, event_bounds(events, step), step)
 
 
-def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """location, utc_start, temperature_2m, shortwave_radiation on each hour: missing where a station has no event."""
-    load = event_load(spark, sf_dir, 3600).filter("series in ('click', 'view')")
+def stations(load: DataFrame, some: bool = True) -> DataFrame:
+    """location, utc_start, temperature_2m, shortwave_radiation on each hour of the hourly load: missing where a station
+    has no event. ``some``: the two event types that are weather stations, else all are."""
+    load = load.filter("series in ('click', 'view')") if some else load
     return load.select(F.col("series").alias("location"), "utc_start", (F.col("load_mw") / 20 - 10).alias("temperature_2m"), (F.col("load_mw") / 2).alias("shortwave_radiation"))
 
 
-def station_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").filter("event_type in ('click', 'view')")
+def station_weights(spark: SparkSession, sf_dir: str, some: bool = True) -> DataFrame:
+    events = table(spark, sf_dir, "events").filter("event_type in ('click', 'view')" if some else "event_type is not null")
     n = events.groupBy(F.col("event_type").alias("location")).agg(F.count("*").alias("n"))
     return n.crossJoin(n.agg(F.sum("n").alias("all"))).select("location", (F.col("n") / F.col("all")).alias("weight"))  # one row
 
