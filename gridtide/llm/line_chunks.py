@@ -6,7 +6,8 @@ that stands elsewhere, at any offset, is cut at the same places from its second
 lies in no whole chunk of one mostly does in the other. A chunk of two lines or more whose text stands in the corpus
 before (by doc_id, then position) is removed. Hashes only propose repeats: chunks are grouped by their text itself.
 
-Every removed line has an equal line at an earlier place, so the first place of a passage always keeps it.
+Every removed line has an equal line at an earlier place. A later place that overlaps the first of its passage (lines
+that repeat at once) removes nothing.
 
 The chunks miss short passages: the first line of one is cut by the foreign line before it. ``without_passages`` is the
 exact form: every pair of neighbouring lines, and every line of over LONG_LINE words, is a key of its own, so all of a
@@ -105,21 +106,26 @@ def passage_keys(docs: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """rid, line: every line of a passage (two lines or more, or one long line) that stands earlier in the corpus."""
+    """rid, line: every line of a passage (two lines or more, or one long line) that stands earlier in the corpus.
+
+    A place that shares lines with the first place of its passage is no repeat of it.
+    """
     keys = stored(passage_keys(docs).withColumn("place", F.struct("doc_id", "rid", "line")).select("place", "n", "key"), "passage-places")
     earliest = keys.groupBy("n", "key").agg(F.min("place").alias("earliest"), F.count("*").alias("times")).filter("times > 1").drop("times")
-    later = keys.join(earliest.hint("merge"), ["n", "key"]).filter("place <> earliest")
+    apart = (F.col("place.rid") != F.col("earliest.rid")) | (F.col("place.line") >= F.col("earliest.line") + F.col("n"))
+    later = keys.join(earliest.hint("merge"), ["n", "key"]).filter(apart)
     return later.select("place.rid", F.explode(F.expr("sequence(place.line, place.line + n - 1)")).alias("line")).distinct()
 
 
 def without_passages(docs: DataFrame) -> DataFrame:
     """doc_id, text (without the repeated passages), n_lines, removed_passages (runs of removed lines), removed_lines.
 
-    NULL doc_id, NULL text and rows that are equal in doc_id and text are treated as in ``deduplicated``.
+    NULL doc_id, NULL text and rows that are equal in doc_id and text are treated as in ``deduplicated``. An empty table
+    gives no row; the work on a text of any length grows with its lines.
     """
     gone = stored(repeated_lines(docs).groupBy("rid").agg(F.sort_array(F.collect_set("line")).alias("gone")), "passages-gone")
     rows = with_lines(identified(docs).join(gone.hint("merge"), "rid", "left"))
-    kept = F.expr("CASE WHEN gone IS NULL THEN lines ELSE filter(lines, (l, i) -> NOT array_contains(gone, i)) END")
+    kept = F.expr("CASE WHEN gone IS NULL THEN lines ELSE transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]) END")
     out = rows.withColumn("kept", kept)
     text = F.when(F.col("text").isNotNull(), F.array_join("kept", "\n"))
     runs = F.expr("size(filter(gone, (x, k) -> k = 0 OR gone[k - 1] < x - 1))")
@@ -143,3 +149,20 @@ cg AS (SELECT doc_id, text, count(*)::BIGINT AS removed_chunks FROM gone GROUP B
 SELECT x.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(removed_chunks, 0) AS removed_chunks, coalesce(removed_lines, 0) AS removed_lines, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents x LEFT JOIN per ON x.doc_id IS NOT DISTINCT FROM per.doc_id AND x.text = per.text LEFT JOIN cg ON cg.doc_id = x.doc_id AND cg.text = x.text
 """
+
+_PAIRS = f"""
+SELECT doc_id, text, i, 2 AS n, sha256(line || chr(10) || next) AS key FROM nx WHERE next IS NOT NULL AND (trim(line, ' ') <> '' OR trim(next, ' ') <> '')
+UNION ALL SELECT doc_id, text, i, 1, sha256(line) FROM nx WHERE length(line) > {2 * LONG_LINE} AND len(regexp_extract_all(line, '[^ \\t\\r]+')) > {LONG_LINE}"""
+#: without_passages in DuckDB; documents are equal by (doc_id, text), NULL ids first.
+PASSAGES_ORACLE = f"""
+WITH d AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS row FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+l AS (SELECT row, doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM d),
+nx AS (SELECT *, lead(line) OVER (PARTITION BY row ORDER BY i) AS next FROM l),
+p AS (SELECT row, i, n, key FROM ({_PAIRS.replace("doc_id, text, i", "row, i")})),
+f AS (SELECT n, key, min({{'row': row, 'i': i}}) AS first, count(*) AS times FROM p GROUP BY 1, 2),
+gone AS (SELECT DISTINCT row, unnest(range(i, i + n)) AS i FROM p JOIN f USING (n, key) WHERE times > 1 AND (row <> first.row OR i >= first.i + n)),
+marked AS (SELECT l.row, l.i, l.line, g.i IS NOT NULL AS lost, lag(g.i IS NOT NULL, 1, false) OVER (PARTITION BY l.row ORDER BY l.i) AS before FROM l LEFT JOIN gone g ON g.row = l.row AND g.i = l.i),
+per AS (SELECT row, count(*)::BIGINT AS n_lines, count_if(lost)::BIGINT AS removed_lines, count_if(lost AND NOT before)::BIGINT AS removed_passages, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '') AS kept FROM marked GROUP BY row)
+SELECT x.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(removed_passages, 0) AS removed_passages, coalesce(removed_lines, 0) AS removed_lines, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents x LEFT JOIN d ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.text = x.text LEFT JOIN per ON per.row = d.row
+"""

@@ -138,6 +138,7 @@ FROM u LEFT JOIN fit f ON f.n = 1 AND f.page_id = u.page_id AND f.host = u.host
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op2_line_chunks": line_chunks.ORACLE,
+    "op2_line_passages": line_chunks.PASSAGES_ORACLE,
     "op4_pfair_mix": pfair_mix.ORACLE,
     "op11_ranked_search": ranked_search.ORACLE,
     "op13_collocations": phrase_streams.ORACLE,

@@ -129,18 +129,19 @@ def opened(path: str, files: list[tuple[str, int]]) -> DigestArray:
     return _open[path]
 
 
-def build(entries: DataFrame, entries_per_shard: int = 1_000_000) -> tuple[str, list[tuple[str, int]], list[int]]:
-    """Write entries (host, path, flag) as a digest array: its path, (file, first key) of each shard, path lengths.
+def build(entries: DataFrame, entries_per_shard: int = 1_000_000) -> tuple[str, list[tuple[str, int]], list[int], int]:
+    """Write entries (host, path, flag) as a digest array: its path, (file, first key) of each shard, path lengths, and
+    the most labels that a host of an entry has.
 
     Flags of equal strings are joined. What comes back to the driver is a row per shard and the distinct lengths.
     """
     spark = entries.sparkSession
     path = new_path(spark, "digests")
-    named = entries.select(F.concat("host", "path").alias("string"), F.length("path").alias("length"), F.col("flag").cast("int").alias("flag"))
+    named = entries.select(F.concat("host", "path").alias("string"), F.length("path").alias("length"), F.col("flag").cast("int").alias("flag"), F.size(F.split("host", "[.]", -1)).alias("labels"))
     merged = named.groupBy("string").agg(F.bit_or("flag").alias("flag"), F.collect_set("length").alias("lengths"))
-    size = named.agg(F.count("*").alias("n"), F.collect_set("length").alias("lengths")).first()
+    size = named.agg(F.count("*").alias("n"), F.collect_set("length").alias("lengths"), F.max("labels").alias("labels")).first()
     if not size["n"]:
-        return path, [], []
+        return path, [], [], 0
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -162,7 +163,7 @@ def build(entries: DataFrame, entries_per_shard: int = 1_000_000) -> tuple[str,
     rows = merged.select(F.xxhash64("string").alias("key"), "flag", F.col("string").cast("binary").alias("string"))
     ordered = rows.repartitionByRange(-(-size["n"] // entries_per_shard), "key").sortWithinPartitions("key", "string")
     files = sorted((r["first"], r["file"]) for r in ordered.mapInArrow(write, "file string, first long").collect())
-    return path, [(file, first) for first, file in files], sorted(size["lengths"])
+    return path, [(file, first) for first, file in files], sorted(size["lengths"]), size["labels"]
 
 
 def rule_entries(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -170,15 +171,25 @@ def rule_entries(spark: SparkSession, rules: list[tuple[str, str, str]]) -> Data
     return spark.createDataFrame([(host, path, RULE_ALLOW if verdict == "allow" else RULE_BLOCK) for verdict, host, path in rules], "host string, path string, flag int")
 
 
+def suffixes(host: str, labels: int) -> Iterator[int]:
+    """Where the suffixes of up to ``labels`` labels start, the shortest first; an empty host has none."""
+    start = len(host) + 1
+    while host and start and labels:
+        start = host.rfind(".", 0, start - 1) + 1
+        labels -= 1
+        yield start
+
+
 def judge(pages: DataFrame, entries: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict, listed for every row of ``pages`` (page_id, url).
 
     entries: host, path, flag (RULE_ALLOW, RULE_BLOCK, LISTED). An entry fits its host and all subdomains where the
     url's path starts with the entry's. The longest fitting rule gives the verdict; without one, a listed url is
     blocked and any other allowed. NULL urls and urls without ``://`` have no host and are allowed. Repeated rows
-    are judged each; an empty list allows everything.
+    are judged each; an empty list allows everything. Only suffixes of a host with at most as many labels as the list's
+    longest host are probed, so a url of any length costs memory in proportion to itself. Other columns are not read.
     """
-    path, files, lengths = build(entries)
+    path, files, lengths, labels = build(entries)
     schema = T.StructType([T.StructField(n, t) for n, t in (("page_id", T.LongType()), ("host", T.StringType()), ("path", T.StringType()), ("rule", T.StringType()), ("verdict", T.StringType()), ("listed", T.BooleanType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +198,7 @@ def judge(pages: DataFrame, entries: DataFrame) -> DataFrame:
             urls = [split_url(u.as_py()) for u in batch.column(1)]
             owner, strings = [], []
             for i, (host, tail) in enumerate(urls):
-                starts = [0, *(k + 1 for k, c in enumerate(host) if c == ".")] if host else []
-                for start in starts:
+                for start in suffixes(host, labels):
                     for n in lengths:
                         if n <= len(tail):
                             owner.append(i)

@@ -82,6 +82,16 @@ def test_url_edges(spark):
     assert got == sorted([(1, "example.org/es/", "block")] * 2 + [(2, None, "allow"), (0, "example.org/es/", "block"), (3, None, "allow"), (4, "example.org/en/1", "block")], key=str)
 
 
+def test_url_of_many_labels(spark):
+    assert [k for n in range(5) for k in url_filter.suffixes("a.bc.d", n)] == [5, 5, 2, 5, 2, 0, 5, 2, 0]
+    assert list(url_filter.suffixes("", 3)) == [] and list(url_filter.suffixes("..", 9)) == [2, 1, 0]
+    host = "l." * 100_000
+    pages = spark.createDataFrame([(1, f"http://{host}bad.net/x"), (2, f"http://{host}good.net")], "page_id long, url string")
+    entries = spark.createDataFrame([("bad.net", "", url_filter.LISTED)], "host string, path string, flag int")
+    out = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, entries).collect()}
+    assert out == {1: "block", 2: "allow"}
+
+
 # 2 line chunks
 
 
@@ -129,15 +139,15 @@ def test_line_chunks_edges(spark, edges, empty):
 
 
 def brute_passages(rows):
-    """(doc_id, text) -> lines left, by pairs of lines and long lines seen before."""
-    seen, out = set(), {}
+    """(doc_id, text) -> lines left, by pairs of lines and long lines whose first place lies before, without overlap."""
+    seen, out = {}, {}
     for d, text in sorted(rows):
         lines, gone = text.split("\n"), set()
         for i, line in enumerate(lines):
             parts = [lines[i : i + 2]] * (i + 1 < len(lines) and "".join(lines[i : i + 2]).strip() != "") + [[line]] * (len(line.split()) > 50)
             for part in parts:
-                gone |= set(range(i, i + len(part))) if tuple(part) in seen else set()
-                seen.add(tuple(part))
+                first = seen.setdefault(tuple(part), (d, i))
+                gone |= set(range(i, i + len(part))) if first[0] != d or i >= first[1] + len(part) else set()
         out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out
 
@@ -152,6 +162,14 @@ def test_every_repeated_passage_goes(spark, n):
         assert out[20 + k]["text"] == f"c{k}\nd{k}\ne{k}" and (out[20 + k]["removed_passages"], out[20 + k]["removed_lines"]) == (1, n)
 
 
+def test_the_first_place_keeps_repeated_lines(spark):
+    rows = ["x\nA a\nA a\nA a\ny", "A a\nA a\nz", "\n".join(f"l{i % 7}" for i in range(20_000))]
+    out = {r["doc_id"]: r for r in line_chunks.without_passages(texts(spark, rows)).collect()}
+    assert out[0]["text"] == rows[0] and out[0]["removed_passages"] == 0
+    assert out[1]["text"] == "z" and out[1]["removed_passages"] == 1
+    assert out[2]["text"] == "\n".join(f"l{i % 7}" for i in range(7)) and out[2]["removed_lines"] == 19_993
+
+
 def test_passages_equal_brute_force(spark, docs, edges, empty):
     rng = random.Random(4)
     rows = ["\n".join(rng.choice(["", "a", "b", "c", "x " * 51, "y " * 50, "d"]) for _ in range(rng.randrange(12))) for _ in range(60)]
