@@ -1,10 +1,13 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 The test items are read in blocks of a checked size, each block one broadcast; a larger benchmark means more passes,
-never a larger broadcast. A first pass counts, over all documents, in how many each n-gram of the block occurs; the
-rarer half of an item's n-grams (ties kept) are its seeds, so every item has seeds however often it leaked. The
-second pass aligns each passage around seed hits with its item, word by word, by Smith-Waterman with linear gaps.
-The score is the alignment's share of a perfect one: 1 for a verbatim copy, less with every edited word.
+never a larger broadcast. A first pass counts, over all documents, in how many each n-gram of the block occurs; seeds
+are the n-grams of at most RARE documents (or RARE_SHARE of all) and the rarer half of each item's (ties kept). A part of
+an item that leaked so often that none of its n-grams is rare is found by their number: an eighth of the item's n-grams
+near each other count like a seed. The second pass aligns each passage around such hits with its item, word by word, by
+Smith-Waterman with linear gaps. The score is the alignment's share of a perfect one: 1 for a verbatim copy, less with
+every edited word. An alignment that reaches LEAST_SCORE has fewer gaps than its item has words, so a passage is taken
+with as many words to either side.
 """
 
 from __future__ import annotations
@@ -16,9 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridtide.llm.shared import stored
+
 SEED_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, 1
 LEAST_SCORE = 0.5
+RARE, RARE_SHARE = 64, 0.001
+#: The part of an item's n-grams that counts like a seed where none of them is one.
+DENSE = 8
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 #: ASCII punctuation and white space part words; A-Z are lowered before, other characters stay.
 PARTS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -61,8 +69,15 @@ class Index:
         self.base = len(self.vocabulary) + 1
         grams = [self.grams(x) for x in self.items]
         self.all = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
-        self.seeds = self.item_of = self.place_of = self.all
-        self._grams = grams
+        places = [np.arange(len(g)) for g in grams]
+        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        order = np.argsort(np.concatenate(grams), kind="stable") if grams else np.zeros(0, np.int64)
+        self.item_of, self.place_of = owner[order], (np.concatenate(places)[order] if grams else order)
+        self.rare = np.zeros(len(order), dtype=bool)
+        self.first = np.searchsorted(np.concatenate(grams)[order], self.all) if grams else order
+        self.last = np.append(self.first[1:], len(order))
+        self.sizes = np.array([len(x) for x in self.items], dtype=np.int64)
+        self._grams, self._order = grams, order
         self.short: dict[int, tuple[np.ndarray, dict[int, list[int]]]] = {}
         for n, rows in short.items():
             of: dict[int, list[int]] = {}
@@ -96,21 +111,14 @@ class Index:
         hit = among[where] == grams
         return at[hit], where[hit]
 
-    def choose_seeds(self, frequency: np.ndarray) -> None:
-        """frequency: documents that hold each n-gram of ``all``."""
-        seeds, items, places = [], [], []
-        for i, grams in enumerate(self._grams):
+    def choose_seeds(self, frequency: np.ndarray, n_docs: int) -> None:
+        """frequency: documents, of ``n_docs``, that hold each n-gram of ``all``."""
+        rare, least = [], max(RARE, RARE_SHARE * n_docs)
+        for grams in self._grams:
             often = frequency[np.searchsorted(self.all, grams)]
-            at = np.flatnonzero(often <= np.median(often))
-            seeds.append(grams[at])
-            items.append(np.full(len(at), i))
-            places.append(at)
-        if seeds:
-            seeds, items, places = np.concatenate(seeds), np.concatenate(items), np.concatenate(places)
-            order = np.argsort(seeds, kind="stable")
-            postings, self.item_of, self.place_of = seeds[order], items[order], places[order]
-            self.seeds, self.first = np.unique(postings, return_index=True)
-            self.last = np.append(self.first[1:], len(postings))
+            rare.append(often <= max(least, np.median(often)))
+        if rare:
+            self.rare = np.concatenate(rare)[self._order]
 
     def hits(self, text: str, kept: dict) -> list[tuple[int, float, int, int]]:
         """(item id, score, first word, word after the last) of every item that the text holds.
@@ -122,18 +130,23 @@ class Index:
             at, which = self.found(ids, grams, n)
             which, first = np.unique(which, return_index=True)
             out += [(item_id, 1.0, int(at[k]), int(at[k]) + n) for g, k in zip(which, first, strict=True) for item_id in of[int(grams[g])]]
-        at, seed = self.found(ids, self.seeds)
+        at, gram = self.found(ids, self.all)
         if not len(at):
             return out
-        count = self.last[seed] - self.first[seed]
-        post = np.repeat(self.first[seed] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        item, shift = self.item_of[post], np.repeat(at, count) - self.place_of[post]
+        count = self.last[gram] - self.first[gram]
+        post = np.repeat(self.first[gram] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        item, shift, rare = self.item_of[post], np.repeat(at, count) - self.place_of[post], self.rare[post]
         order = np.lexsort((shift, item))
-        item, shift = item[order], shift[order]
+        item, shift, rare = item[order], shift[order], rare[order]
+        size = self.sizes[item]
+        place = item * (4 * (len(ids) + int(self.sizes.max()))) + shift  # items lie apart, whatever the shifts
+        near = np.searchsorted(place, place + size, "right") - np.searchsorted(place, place - size, "left")
+        good = rare | (near >= np.maximum(2, (size - SEED_WORDS + 1) // DENSE))
+        item, shift = item[good], shift[good]
         for i in np.unique(item):
             words = self.items[i]
             size, shifts = len(words), shift[item == i]
-            slack = 8 + size // 3
+            slack = size
             cut = np.flatnonzero(np.diff(shifts) > size + 2 * slack) + 1
             best = (0, 0, 0)
             for group in np.split(shifts, cut):  # windows that don't touch
@@ -171,19 +184,24 @@ def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator:
 
         def count(batches: Iterable[pa.RecordBatch], plain=plain) -> Iterator[pa.RecordBatch]:
             index = plain.value
-            total = np.zeros(len(index.all), dtype=np.int64)
+            total, docs = np.zeros(len(index.all), dtype=np.int64), 0
             for batch in batches:
+                docs += batch.num_rows
                 for text in batch.column(1):
                     if (t := text.as_py()) is not None:
                         total[np.unique(index.found(index.numbers(words_of(t)), index.all)[1])] += 1
             some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])
+            # the number of documents under the number -1
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], docs))], names=["gram", "n"])
 
-        often = np.zeros(len(index.all), dtype=np.int64)
+        often, n_docs = np.zeros(len(index.all), dtype=np.int64), 0
         for row in _texts(docs).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
-            often[row["gram"]] = row["n"]  # at most the block's n-grams
-        index.choose_seeds(often)
-        plain.unpersist()
+            if row["gram"] < 0:
+                n_docs = row["n"]
+            else:
+                often[row["gram"]] = row["n"]  # at most the block's n-grams
+        index.choose_seeds(often, n_docs)
+        plain.destroy()
         yield spark.sparkContext.broadcast(index)
 
 
@@ -212,9 +230,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns) that hold no copy of a test item; rows are judged each by itself."""
+    """The rows of ``docs`` (all columns) that hold no copy of a test item; rows are judged each by itself.
+
+    Each block of items counts over what the blocks before it left, stored once.
+    """
     at, schema = docs.columns.index("text"), docs.schema
-    for shared in indexes(docs, benchmark):
+    for k, shared in enumerate(indexes(docs, benchmark)):
+        docs = stored(docs, "clean") if k else docs
 
         def keep(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, kept = shared.value, {}
