@@ -149,26 +149,40 @@ def interpolated(values: np.ndarray, q: float) -> float:
 def subtree(bins: np.ndarray, left: np.ndarray, params: Params, unit: float, depth: int) -> list[list]:
     """[feature, cut, missing_left, gain, left node, right node, gradient sum, rows, own] of a node's whole subtree.
 
-    bins: allowed features by rows; left: what each row has left to explain. Features count among the allowed ones.
+    bins: allowed features by rows; left: what each row has left to explain. Features count among the allowed ones. Of
+    two children only the smaller is counted, the other is the rest: sums of whole numbers lose nothing by that.
     """
-    g, k, width, out = gradients(left, params), len(bins), BINS + 1, []
-    work = [(np.arange(len(left)), depth, None)]
+    k, width, out = len(bins), BINS + 1, []
+    g, place = gradients(left, params).astype(float), np.arange(k, dtype=np.int32)[:, None] * width + bins
+
+    def sums(rows: np.ndarray) -> np.ndarray:
+        flat = place[:, rows].ravel()
+        made = np.bincount(flat, np.tile(g[rows], k), k * width), np.bincount(flat, minlength=k * width)
+        return np.stack(made).reshape(2, k, width)  # whole numbers below 2**53
+
+    def tested(rows: np.ndarray, depth: int) -> bool:
+        return depth > 0 and len(rows) >= 2 * params.least
+
+    everything = np.arange(len(left))
+    work = [(everything, depth, None, sums(everything) if tested(everything, depth) else None)]
     while work:
-        rows, depth, parent = work.pop()
+        rows, depth, parent, hist = work.pop()
         own = None if params.quantile is None else interpolated(left[rows], params.quantile)
         out.append([-1, 0, True, 0.0, -1, -1, int(g[rows].sum()), len(rows), own])
         if parent:
             out[parent[0]][parent[1]] = len(out) - 1
-        if depth and len(rows) >= 2 * params.least:
-            flat = (np.arange(k)[:, None] * width + bins[:, rows]).ravel()
-            n = np.bincount(flat, minlength=k * width).reshape(k, -1)
-            sums = np.bincount(flat, np.tile(g[rows].astype(float), k), k * width).reshape(k, -1)  # whole numbers below 2**53
-            if split := best_split(sums * unit, n, params.least, params.l2):
-                gain, feature, cut, missing_left = split
-                out[-1][:4] = [feature, cut, missing_left, gain]
-                b, here = bins[feature, rows], len(out) - 1
-                go = np.where(b == 0, missing_left, b <= cut)
-                work += [(rows[~go], depth - 1, (here, 5)), (rows[go], depth - 1, (here, 4))]
+        if tested(rows, depth) and (split := best_split(hist[0] * unit, hist[1], params.least, params.l2)):
+            gain, feature, cut, missing_left = split
+            out[-1][:4] = [feature, cut, missing_left, gain]
+            b, here = bins[feature, rows], len(out) - 1
+            go = np.where(b == 0, missing_left, b <= cut)
+            parts = [rows[~go], rows[go]]
+            small = int(len(parts[1]) < len(parts[0]))
+            counted: list = [None, None]
+            if any(tested(p, depth - 1) for p in parts):
+                counted[small] = sums(parts[small])
+                counted[1 - small] = hist - counted[small]
+            work += [(parts[i], depth - 1, (here, 5 - i), counted[i]) for i in range(2)]
     return out
 
 

@@ -209,3 +209,28 @@ def gain_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows, features = day_parts(spark, sf_dir)
     return rounded(gbdt.gain_importance(rows.filter("part = 'train'"), SERIES, features, gbdt.Params(**SMALL)), 3)
+
+
+@query("""WITH o AS (SELECT o_orderpriority AS series, sum(CAST(round(o_totalprice * 100) AS BIGINT)) / 100.0 AS total, count(*) AS n FROM orders GROUP BY 1),
+l AS (SELECT *, unnest([0.05, 0.1, 0.5, 0.9, 1.0])::DOUBLE AS q FROM o)
+SELECT series, format('{:g}', q) AS level, format('{:.2f}', total) AS total_plain, format('{:,.2f}', total) AS total_grouped, format('{:,d}', n) AS orders_grouped,
+       'load_q' || format('{:g}', q) AS column_name, 'Total price of orders' AS heading, regexp_replace('mae_mw_mean', '_mean$', '') AS metric, 'https://example.org/' || series || '/' || n || '.csv' AS url FROM l""")
+def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number, name and template texts of reports, over the orders of each priority."""
+    from gridtide.functions import text
+
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("series"))
+    facts = orders.agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / 100.0).alias("total"), F.count("*").alias("n"))
+    rows = facts.withColumn("q", F.explode(F.array(*map(F.lit, (0.05, 0.1, 0.5, 0.9, 1.0)))))
+    level = text.short_number(F.col("q"))
+    return rows.select(
+        "series",
+        level.alias("level"),
+        text.fixed(F.col("total"), 2).alias("total_plain"),
+        text.grouped(F.col("total"), 2).alias("total_grouped"),
+        text.grouped(F.col("n")).alias("orders_grouped"),
+        F.concat(F.lit("load_q"), level).alias("column_name"),
+        text.heading(F.lit("total_price_of_ORDERS")).alias("heading"),
+        text.without_suffix(F.lit("mae_mw_mean"), "_mean").alias("metric"),
+        text.from_template("https://example.org/{series}/{n}.csv", series=F.col("series"), n=F.col("n")).alias("url"),
+    )

@@ -158,10 +158,11 @@ def run_evaluate(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
     frame = spark.read.parquet(config.path("processed", "features"))
     category = day_category(F.col("is_holiday"), F.col("bridge_day"), F.col("is_weekend"))
     attributes = frame.select("utc_start", "hour", "weekday", category.alias("day_category"))
-    per_fold = evaluation.metrics(oof, MODELS, ["fold"])
-    out = {"metrics_per_fold": per_fold, "cv_summary": evaluation.cv_summary(per_fold, []), "metrics_test": evaluation.metrics(test, MODELS, [])}
+    models = evaluation.model_columns(oof.columns)
+    per_fold = evaluation.metrics(oof, models, ["fold"])
+    out = {"metrics_per_fold": per_fold, "cv_summary": evaluation.cv_summary(per_fold, []), "metrics_test": evaluation.metrics(test, models, [])}
     for by in ("hour", "weekday", "day_category"):
-        out[f"test_error_by_{by}"] = evaluation.metrics(test.join(attributes, "utc_start", "left"), MODELS, [by])
+        out[f"test_error_by_{by}"] = evaluation.metrics(test.join(attributes, "utc_start", "left"), models, [by])
     tables = []
     for name in BOOSTED[1:]:
         pairs = {f"{lo:g}-{hi:g}": (f"{name}_q{lo:g}", f"{name}_q{hi:g}", hi - lo) for lo, hi in config["models"]["intervals"]}
@@ -221,8 +222,10 @@ def run_anomalies(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
     summary = A.detection_summary(study, ["method"], [c for c in study.columns if c not in ("seed", "method")])
     out = {"anomalies_residual": residual, "anomalies_isolation_forest": isolated, "anomalies_flatline": flat, "injection_per_seed": study, "injection_summary": summary}
     text = f"# Anomalies\n\nResidual threshold {limit:.4f}, isolation-forest threshold {forest_limit:.4f}.\n"
-    for name, order in (("anomalies_residual", [F.desc("abs_deviation")]), ("anomalies_isolation_forest", [F.desc("max_score")]), ("injection_summary", ["method"])):
+    for name, order in (("anomalies_residual", [F.desc("abs_deviation")]), ("anomalies_isolation_forest", [F.desc("max_score")])):
         text += f"\n## {name}\n\n{sinks.markdown_table(out[name].orderBy(*order).limit(int(a['top'])), 3)}"
+    means = summary.select("method", *[F.col(c).alias(c.removesuffix("_mean")) for c in summary.columns if c.endswith("_mean")])
+    text += f"\n## Injected events, means over seeds\n\n{sinks.markdown_table(means, 2, ['method'])}"
     for name, df in out.items():
         sinks.write_csv(df, config.path("reports", f"{name}.csv"))
     sinks.write_text(config.path("reports", "anomalies.md"), text)
