@@ -600,6 +600,8 @@ def _fit_block(slim: DataFrame, keys: list[str], block: list, fits: list[Fit], f
     counts = [F.count_if(F.col(f"_p{parts.index(f.part)}") if f.part else F.lit(True)).alias(f"_n{i}") for i, f in enumerate(fits)]
     means = [F.avg(F.when(F.col(f"_p{parts.index(f.part)}") if f.part else F.lit(True), F.col("_y"))).alias(f"_m{i}") for i, f in enumerate(fits)]
     facts = {r["_number"]: r for r in rows.groupBy("_number").agg(F.max(F.abs("_y")).alias("top"), *counts, *means, *[_points(f"_x{j}") for j in range(len(features))]).collect()}
+    if not facts:  # no rows at all
+        return
     order = range(len(block))
     # The unit is a power of two, so that whole units are exact as doubles too.
     units = tuple(2.0 ** (np.ceil(np.log2(facts[k]["top"] or 1.0)) - UNIT_BITS) for k in order)

@@ -127,6 +127,7 @@ def test_boosting_edges(spark, monkeypatch):
     assert out.filter("target is not null and abs(m - target) > 0.01").count() == 0
     assert out.filter("key = 'e' and m is null").count() == 1 and out.count() == len(rows)
     none = gbdt.fit(frame.limit(0), ["key"], [gbdt.Fit("m", ("x",), gbdt.Params(3))])
+    assert gbdt.fit(frame.limit(0), [], [gbdt.Fit("m", ("x",), gbdt.Params(3))]).count() == 0
     assert none.count() == 0 and gbdt.predict(frame, ["target"], none, ["key"], ["m"]).filter("m is not null").count() == 0
 
 
