@@ -81,7 +81,7 @@ class Ridge:
         return self._grams(train, keys, target).groupBy(*keys).applyInPandas(solve, schema)
 
     def fit_expanding(self, rows: DataFrame, folds: DataFrame, fold: str, target: str = "target", t: str = "utc_start") -> DataFrame:
-        """fold (as string), coefficients for each of ``folds`` (fold, train_end), whose training rows lie before train_end.
+        """fold (as string), n_rows, coefficients of each of ``folds`` (fold, train_end) with training rows before train_end.
 
         A row is summed once, into the block of the first fold that has it; a fold's matrix is the sum of its own and
         all earlier blocks. So no row is copied per fold.
@@ -96,8 +96,8 @@ class Ridge:
             for i, (_, name) in enumerate(ends):
                 gram = gram + sum(np.frombuffer(g).reshape(self.width + 1, -1) for g in parts["gram"][have == i])
                 if gram[0, 0]:
-                    out.append((str(name), self._solved(gram)))
-            return pd.DataFrame(out, columns=[fold, "coefficients"])
+                    out.append((str(name), round(gram[0, 0]), self._solved(gram)))
+            return pd.DataFrame(out, columns=[fold, "n_rows", "coefficients"])
 
         # a matrix per block and task: their sum by block first, then the running sums over as many rows as folds
         grams = self._grams(rows.withColumn("_block", block).filter("_block is not null"), ["_block"], target)
@@ -107,7 +107,7 @@ class Ridge:
             return pd.DataFrame([(parts["_block"].iloc[0], gram.tobytes())], columns=["_block", "gram"])
 
         blocks = grams.groupBy("_block").applyInPandas(summed, "_block string, gram binary")
-        return blocks.groupBy().applyInPandas(solve, f"{fold} string, coefficients map<string,double>")
+        return blocks.groupBy().applyInPandas(solve, f"{fold} string, n_rows long, coefficients map<string,double>")
 
     def predict(self, rows: DataFrame, fitted: DataFrame, keys: list[str], name: str) -> DataFrame:
         """``rows`` with the prediction; missing where any feature is, or the group has no model."""

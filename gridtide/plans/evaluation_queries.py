@@ -234,3 +234,40 @@ def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.without_suffix(F.lit("mae_mw_mean"), "_mean").alias("metric"),
         text.from_template("https://example.org/{series}/{n}.csv", series=F.col("series"), n=F.col("n")).alias("url"),
     )
+
+
+@query(f"""WITH {PREDICTIONS_CTE}, ob AS (SELECT (date_trunc('quarter', min(o_orderdate)) + INTERVAL 2 YEAR)::TIMESTAMP AS a, max(o_orderdate)::TIMESTAMP AS b FROM orders),
+fl AS (SELECT b, i, a + INTERVAL 3 MONTH * i AS s FROM ob, (SELECT unnest(range(0, 8)) AS i)),
+f AS (SELECT (i + 1)::INT AS fold, {_utc('s')} AS train_end FROM fl WHERE s < b)
+SELECT fold, count(*) AS n_rows, round(regr_intercept(target, naive), 1) AS intercept, round(regr_slope(target, naive), 6) AS slope
+FROM f JOIN preds ON utc_start < train_end WHERE target IS NOT NULL AND naive IS NOT NULL GROUP BY 1""")
+def expanding_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line through all series' values a week apart, fitted before each of eight quarters from one pass over the rows."""
+    from gridtide.models.ridge import Ridge
+
+    rows = kept(predictions(spark, sf_dir).select("utc_start", "target", "naive"), "predictions")
+    orders = table(spark, sf_dir, "orders").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
+    first = (F.date_trunc("quarter", "a") + F.make_ym_interval(F.lit(2))).cast("timestamp_ntz")
+    quarters = E.rolling_origin_folds(orders.filter("a is not null").select(first.alias("first_start"), F.col("b").cast("timestamp_ntz").alias("limit")), 8, 3, TZ)
+    fitted = Ridge(("naive",), (), 0.0).fit_expanding(rows, quarters, "fold")
+    lines = fitted.select(F.col("fold").cast("int").alias("fold"), F.col("n_rows"), F.round(F.col("coefficients")["1"], 1).alias("intercept"), F.round(F.col("coefficients")["naive"], 6).alias("slope"))
+    return lines
+
+
+@query(None)
+def gbdt_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics per series and quarter of boosters fitted before each quarter: all folds in the same jobs, no row copied."""
+    from gridtide.models import gbdt
+
+    rows, features = day_parts(spark, sf_dir)
+    rows, quarters = kept(rows.drop("part"), "days"), kept(folds(spark, sf_dir), "folds")
+    each = quarters.groupBy("series").pivot("fold", list(range(1, 9))).agg(F.first("train_end"))
+    ends = each.select(F.col("series").alias("_series"), *[F.col(str(k)).alias(f"_end{k}") for k in range(1, 9)])
+    known = rows.join(ends, F.col("series") == F.col("_series")).drop("_series")
+    known = known.select(*rows.columns, *[(F.col("utc_start") < F.col(f"_end{k}")).alias(f"_fold{k}") for k in range(1, 9)])
+    params = gbdt.Params(**{**SMALL, "trees": 20})
+    nodes = gbdt.fit(known, SERIES, [gbdt.Fit(f"gbdt@{k}", tuple(features), params, f"_fold{k}") for k in range(1, 9)])
+    named = nodes.select("series", F.split("model", "@")[1].cast("int").alias("fold"), F.lit("gbdt").alias("model"), *[c for c in nodes.columns if c not in ("series", "model")])
+    test = E.fold_rows(rows, quarters, SERIES)
+    made = gbdt.predict(test, ["series", "fold", "utc_start", "target"], named, ["series", "fold"], ["gbdt"])
+    return rounded(E.metrics(made, ["gbdt"], ["series", "fold"]))

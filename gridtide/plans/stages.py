@@ -122,7 +122,7 @@ def predicted(frame: DataFrame, folds: DataFrame, nodes: DataFrame, config: Conf
     out = out.withColumn("seasonal_naive", F.col("load_lag168h"))
     for name, numeric in (("linear_calendar", LINEAR), ("linear_lags_weather", [*LINEAR, *lagged])):
         ridge = Ridge(tuple(numeric), CODES, float(config["models"]["ridge_alpha"]))
-        out = ridge.predict(out, ridge.fit_expanding(frame, folds, "fold"), ["fold"], name)
+        out = ridge.predict(out, ridge.fit_expanding(frame, folds, "fold").drop("n_rows"), ["fold"], name)
         made.append(name)
     for name in BOOSTED:
         out = gbdt.predict(out, out.columns, nodes, ["fold"], [name, *quantiles[name]])
