@@ -45,28 +45,35 @@ class Forest:
 
 
 def grow(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One tree as arrays; children of a node are neighbours."""
-    limit = int(np.ceil(np.log2(max(len(x), 2))))
-    feature, cut, left, path = [-1], [0.0], [0], [0.0]
-    work = [(0, np.arange(len(x)), 0)]
-    while work:
-        node, rows, depth = work.pop()
-        spread = x[rows].max(axis=0) > x[rows].min(axis=0) if len(rows) > 1 and depth < limit else np.zeros(x.shape[1], bool)
-        if not spread.any():
-            path[node] = depth + float(expected_path(len(rows)))
-            continue
-        f = int(rng.choice(np.flatnonzero(spread)))
-        low, high = x[rows, f].min(), x[rows, f].max()
-        at = high - rng.random() * (high - low)
-        feature[node], cut[node], left[node] = f, float(at if at > low else high), len(feature)  # both sides get a row
-        right = x[rows, f] >= cut[node]
-        for part in (rows[~right], rows[right]):
-            feature.append(-1)
-            cut.append(0.0)
-            left.append(0)
-            path.append(0.0)
-            work.append((len(feature) - 1, part, depth + 1))
-    return np.array(feature), np.array(cut), np.array(left), np.array(path)
+    """One tree as arrays, a level at a time; children of a node are neighbours."""
+    limit, depth = int(np.ceil(np.log2(max(len(x), 2)))), 0
+    feature, cut, left, path = [np.full(1, -1)], [np.zeros(1)], [np.zeros(1, dtype=np.int64)], [np.zeros(1)]
+    rows, starts, made = np.arange(len(x)), np.zeros(1, dtype=np.int64), 1
+    while True:  # ``rows`` lie node by node of this level
+        sizes = np.diff(np.append(starts, len(rows)))
+        low, high = np.minimum.reduceat(x[rows], starts, axis=0), np.maximum.reduceat(x[rows], starts, axis=0)
+        spread = high > low
+        split = spread.any(axis=1) & (sizes > 1) & (depth < limit)
+        path[-1][~split] = depth + expected_path(sizes[~split])
+        if not split.any():
+            return tuple(np.concatenate(c) for c in (feature, cut, left, path))
+        pick = np.floor(rng.random(len(sizes)) * spread.sum(axis=1))
+        f = np.argmax(np.cumsum(spread, axis=1) > pick[:, None], axis=1)
+        lo, hi = low[np.arange(len(f)), f], high[np.arange(len(f)), f]
+        at = hi - rng.random(len(sizes)) * (hi - lo)
+        at = np.where(at > lo, at, hi)  # both sides get a row
+        order, n = np.cumsum(split) - 1, int(split.sum())
+        feature[-1][split], cut[-1][split], left[-1][split] = f[split], at[split], made + 2 * order[split]
+        node = np.repeat(np.arange(len(sizes)), sizes)
+        rows, node = rows[split[node]], node[split[node]]
+        child = 2 * order[node] + (x[rows, f[node]] >= at[node])
+        turn = np.argsort(child, kind="stable")
+        rows, starts = rows[turn], np.searchsorted(child[turn], np.arange(2 * n))
+        feature.append(np.full(2 * n, -1))
+        cut.append(np.zeros(2 * n))
+        left.append(np.zeros(2 * n, dtype=np.int64))
+        path.append(np.zeros(2 * n))
+        made, depth = made + 2 * n, depth + 1
 
 
 def fit(train: DataFrame, columns: list[str], order: list[str], trees: int = 300, sample: int = 2048, seed: int = 42) -> Forest:

@@ -156,6 +156,25 @@ def test_forest_ranks_outliers_first(spark):
     assert iforest.expected_path(2) == 1.0 and abs(float(iforest.expected_path(256)) - 10.24) < 0.02
 
 
+def test_isolation_trees_part_all_rows():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 7, 300):
+        x = np.round(rng.normal(0, 1, (n, 3)), 1)
+        x[:, 2] = 5.0  # never split
+        feature, cut, left, path = iforest.grow(x, np.random.default_rng(n))
+        at, depth = np.zeros(n, dtype=int), np.zeros(n, dtype=int)
+        while (feature[at] >= 0).any():
+            inner = feature[at] >= 0
+            at[inner] = left[at[inner]] + (x[inner, feature[at[inner]]] >= cut[at[inner]])
+            depth[inner] += 1
+        sizes = np.bincount(at, minlength=len(feature))
+        assert set(np.flatnonzero(sizes)) == set(np.flatnonzero(feature < 0)) and 2 not in feature
+        assert np.allclose(path[at], depth + iforest.expected_path(sizes[at])) and depth.max() <= np.ceil(np.log2(max(n, 2)))
+        for leaf in np.unique(at):  # a leaf of several rows is at full depth or of equal rows
+            same = x[at == leaf]
+            assert len(same) == 1 or (same == same[0]).all() or depth[at == leaf][0] == np.ceil(np.log2(n))
+
+
 def test_fit_predict_per_series(spark):
     start = datetime(2024, 1, 1)
     rows = [(s, "train" if i < 300 else "test", start + timedelta(hours=i), float(i % 24 + k), float(i % 24)) for k, s in enumerate("ab") for i in range(400)]
