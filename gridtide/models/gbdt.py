@@ -3,10 +3,11 @@
 Rows are binned once and packed into chunks (one stored row of a few thousand observations, a byte a value). A tree
 grows level by level: each task turns its chunks into gradient sums by (fit, node, feature, bin), Spark adds them up,
 and the best cut of each node comes back, a row per node; a node of at most ``NEAR`` rows is finished by one task, which
-makes the same cuts. Many fits (series, folds, feature sets, quantiles) share the
-chunks and the jobs, so a fold copies no row and a level is one job whatever the number of fits; no task ever holds the
-rows of a series. Gradients are whole numbers of a fixed unit: sums are exact in any order, so a fit does not depend on
-the number of partitions or on lost tasks.
+makes the same cuts. Many fits (series, folds, feature sets, quantiles) share the chunks and the jobs, so a fold copies
+no row and a level is one job whatever the number of fits. A fit whose training rows are at most ``NEAR`` is such a node
+in every tree: one task grows all its trees from one shuffle, and all such fits are one job. No task holds more than
+``NEAR`` rows of a fit. Gradients are whole numbers of a fixed unit: sums are exact in any order, so a fit does not
+depend on the number of partitions, on lost tasks, or on which of the two ways it took.
 
 Squared loss takes leaf values from the sums. A quantile fit's leaf is the exact order statistic of what is left in it,
 found by narrowing intervals of counts until one holds few values. A model is a table with a row per node.
@@ -29,7 +30,7 @@ from gridtide.sources.store import kept, new_path, remove
 BINS = 64
 #: Observations of a chunk; bytes of sums that a task holds before it hands them on.
 CHUNK, HELD = 8192, 64 << 20
-#: A node of so many rows goes to one task, to be split to the end.
+#: A node of so many rows goes to one task, to be split to the end; a fit of so many, to be boosted to the end.
 NEAR = 65_536
 #: Fits that share their jobs, and trees after which the scores of the rows are stored.
 FITS, STORE = 1024, 16
@@ -91,6 +92,13 @@ class Tree:
         kinds = (np.int32, np.int32, bool, np.int32, np.int32, float)
         return tuple(np.array(c, dtype=k) for c, k in zip(list(self.__dict__.values())[:6], kinds, strict=True))
 
+    def set_values(self, params: "Params", unit: float) -> None:
+        """Leaf values in target units, from the sums or from what is known of a quantile fit."""
+        if params.quantile is None:
+            self.value = [s * unit / (n + params.l2) if n else 0.0 for s, n in zip(self.sums, self.rows, strict=True)]
+        else:
+            self.value = [0.0 if v is None else v * unit for v in self.own]
+
     def best_first(self, leaves: int) -> "Tree":
         """The tree of at most ``leaves`` leaves that splits by largest gain first."""
         out, heap = Tree(), []
@@ -123,11 +131,24 @@ def leaf_of(bins: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
     return at
 
 
+def drawn(params: Params, tree: int, place: np.ndarray) -> np.ndarray:
+    """Which rows a tree draws: a mixed hash of seed, tree and the row's place below its share, alike in every task."""
+    z = place ^ np.random.SeedSequence([params.seed, tree]).generate_state(1, np.uint64)[0]
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53 < params.row_share
+
+
+def places(chunk: int, rows: np.ndarray) -> np.ndarray:
+    """A number for each row of a chunk, its own among all chunks."""
+    return rows.astype(np.uint64) + np.uint64((chunk * 0x9E3779B97F4A7C15) % 2**64)
+
+
 def best_split(g: np.ndarray, n: np.ndarray, least: int, l2: float) -> tuple[float, int, int, bool] | None:
     """gain, feature, cut, missing_left from gradient sums and row counts by (feature, bin), bin 0 for missing."""
     total, size = float(g[0].sum()), int(n[0].sum())
     best = None
-    for missing_left in (True, False):
+    for missing_left in (True, False) if n[:, 0].any() else (True,):
         left = np.cumsum(g[:, 1:], axis=1) + (g[:, :1] if missing_left else 0)
         left_n = np.cumsum(n[:, 1:], axis=1) + (n[:, :1] if missing_left else 0)
         gain = left**2 / (left_n + l2) + (total - left) ** 2 / (size - left_n + l2) - total**2 / (size + l2)
@@ -209,6 +230,10 @@ class Setup:
         key, one = self.of(fit)
         return self.units[key] if one.params.quantile is None else 2.0**-UNIT_BITS
 
+    def own(self, fit: int) -> np.ndarray:
+        """The features of a fit, ascending."""
+        return np.sort(np.array([self.features.index(c) for c in self.of(fit)[1].features], dtype=np.int64))
+
     def columns(self, fit: int, tree: int) -> np.ndarray:
         """The features that a tree may use."""
         _, f = self.of(fit)
@@ -238,8 +263,7 @@ class View:
         fit = self.setup.fits[s]
         rows = np.flatnonzero(self.parts[self.setup.parts.index(fit.part)]) if fit.part else np.arange(self.n)
         if fit.params.row_share < 1 and tree >= 0:
-            drawn = np.random.default_rng([fit.params.seed, tree, self.chunk]).random(self.n) < fit.params.row_share
-            rows = rows[drawn[rows]]
+            rows = rows[drawn(fit.params, tree, places(self.chunk, rows))]
         return rows
 
     def left(self, s: int, rows: np.ndarray, since: list) -> np.ndarray:
@@ -254,7 +278,7 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _table(schema: str, columns: list[list]) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
     named = [c.split() for c in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for (_, k), v in zip(named, columns, strict=True)], [n for n, _ in named])
 
@@ -387,10 +411,7 @@ def _grown(chunks: DataFrame, setup: Setup, tree: int, sizes: dict[int, int], si
     done = {f: t.best_first(setup.of(f)[1].params.leaves) for f, t in trees.items()}
     for f, t in done.items():
         key, one = setup.of(f)
-        if one.params.quantile is None:
-            t.value = [s * setup.units[key] / (n + one.params.l2) for s, n in zip(t.sums, t.rows, strict=True)]
-        else:
-            t.value = [0.0 if v is None else v * setup.units[key] for v in t.own]
+        t.set_values(one.params, setup.units[key])
     return done
 
 
@@ -549,6 +570,80 @@ def _named(keys: list[str], schema: DataFrame) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema.select(*keys).schema)
 
 
+def _node_rows(setup: Setup, edges: list[list[np.ndarray]], f: int, number: int, tree: Tree, rate: float) -> list[tuple]:
+    """What NODES has of a tree; its features are numbers of all features."""
+    key, one = setup.of(f)
+    out = []
+    for k, j in enumerate(tree.feature):
+        cut = None
+        if j >= 0:
+            cut = float(edges[key][j][tree.cut[k] - 1]) if tree.cut[k] <= len(edges[key][j]) else float("inf")
+        name = setup.features[j] if j >= 0 else None
+        value, gain = float(tree.value[k] * rate), float(tree.gain[k])
+        out.append((one.model, number, k, name, cut, tree.missing_left[k], tree.left[k], tree.right[k], value, gain))
+    return out
+
+
+OWN = "fit int, place binary, y binary, bins binary"
+
+
+def _boosted_near(chunks: DataFrame, setup: Setup, edges: list[list[np.ndarray]], base: list[list[float]], fits: list[int]) -> DataFrame:
+    """_number and NODES of the fits of few rows: their rows meet once in a task a fit, which grows all trees."""
+    shared = chunks.sparkSession.sparkContext.broadcast((setup, edges, base, frozenset(fits)))
+
+    def mine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        setup, _, _, near = shared.value
+        for row in _rows(batches):
+            view = View(setup, row)
+            for s in range(len(setup.fits)):
+                f, rows = view.key * len(setup.fits) + s, view.mine(s, -1)
+                if f in near and len(rows):
+                    data = places(view.chunk, rows), view.y[rows], view.bins[setup.own(f)][:, rows].T
+                    yield _table(OWN, [[f], *[[x.tobytes()] for x in data]])
+
+    def boost(table: pa.Table) -> pa.Table:
+        setup, edges, base, _ = shared.value
+        f = table.column("fit")[0].as_py()
+        (key, one), own = setup.of(f), setup.own(f)
+        params, unit = one.params, setup.units[key]
+        place, y, bins = [
+            np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)])
+            for c, kind in (("place", np.uint64), ("y", np.float64), ("bins", np.uint8))
+        ]
+        bins = np.ascontiguousarray(bins.reshape(len(y), len(own)).T)
+        score = np.full(len(y), base[key][f % len(setup.fits)])
+        root = Tree()
+        root.add(len(y))
+        root.value[0] = float(score[0])
+        if params.quantile is not None:
+            root.value[0] = interpolated(np.rint((y - score) / unit).astype(np.int64), params.quantile) * unit
+            score = score + params.rate * (root.value[0] / params.rate)
+        out = _node_rows(setup, edges, f, -1, root, 1.0)
+        for number in range(params.trees):
+            rows = np.flatnonzero(drawn(params, number, place)) if params.row_share < 1 else np.arange(len(y))
+            tree, allowed = Tree(), np.searchsorted(own, setup.columns(f, number))
+            if len(rows):
+                left = np.rint((y[rows] - score[rows]) / unit).astype(np.int64)
+                made = subtree(bins[np.ix_(allowed, rows)], left, params, setup.unit(f), params.depth)
+                for feature, cut, missing_left, gain, a, b, sums, size, value in made:
+                    k = tree.add(size, sums, value)
+                    tree.feature[k], tree.cut[k], tree.missing_left[k] = feature, cut, missing_left
+                    tree.gain[k], tree.left[k], tree.right[k] = gain, a, b
+                tree = tree.best_first(params.leaves)
+            else:
+                tree.add()
+            tree.set_values(params, unit)
+            tree.feature = [int(allowed[j]) if j >= 0 else -1 for j in tree.feature]
+            arrays = tree.arrays()
+            score = score + params.rate * arrays[5][leaf_of(bins, arrays)]
+            tree.feature = [int(own[j]) if j >= 0 else -1 for j in tree.feature]
+            out += _node_rows(setup, edges, f, number, tree, params.rate)
+        return pa.Table.from_batches([_table("_number int, " + NODES, [[key] * len(out), *map(list, zip(*out, strict=True))])])
+
+    # A partition a fit: left to itself, the small shuffle would be read by one task.
+    return chunks.mapInArrow(mine, OWN).repartition(len(fits), "fit").groupBy("fit").applyInArrow(lambda t: boost(t), "_number int, " + NODES)
+
+
 NODES = "model string, tree int, node int, feature string, cut double, missing_left boolean, left int, right int, value double, gain double"
 
 
@@ -609,9 +704,19 @@ def _fit_block(slim: DataFrame, keys: list[str], block: list, fits: list[Fit], f
     edges = [[_cuts(facts[k][f"_x{j}"]) for j in range(len(features))] for k in order]
     base = [[np.rint((facts[k][f"_m{i}"] or 0.0) / units[k]) * units[k] if f.params.quantile is None else 0.0 for i, f in enumerate(fits)] for k in order]
     sizes = {f: facts[f // len(fits)][f"_n{f % len(fits)}"] for f in range(len(block) * len(fits))}
-    trees_of = [f for f, n in sizes.items() if n]
+    chunks, nears = _packed(rows, setup, edges, base), [f for f, n in sizes.items() if 0 < n <= NEAR]
+    trees_of = [f for f, n in sizes.items() if n > NEAR]
     where = new_path(spark, "boost-chunks")
-    chunks = kept(_packed(rows, setup, edges, base), "boost-chunks", where).persist()
+    if trees_of:
+        chunks = kept(chunks, "boost-chunks", where).persist()
+    if nears:
+        made = _boosted_near(chunks, setup, edges, base, nears)
+        numbered = spark.createDataFrame([(*b, i) for i, b in enumerate(block)], _named(keys, slim) + "_number int")
+        # The broadcast side has FITS rows at most.
+        out_nodes = made.join(F.broadcast(numbered), "_number").select(*keys, *made.columns[1:])
+        out_nodes.write.mode("append").parquet(path)
+    if not trees_of:
+        return
     since: dict[int, list] = {}
 
     def advance() -> None:
@@ -625,11 +730,7 @@ def _fit_block(slim: DataFrame, keys: list[str], block: list, fits: list[Fit], f
     out: list[tuple] = []
 
     def record(f: int, number: int, tree: Tree, rate: float) -> None:
-        key, one = setup.of(f)
-        for k in range(len(tree.value)):
-            j = tree.feature[k]
-            cut = None if j < 0 else float(edges[key][j][tree.cut[k] - 1]) if tree.cut[k] <= len(edges[key][j]) else float("inf")
-            out.append((*block[key], one.model, number, k, features[j] if j >= 0 else None, cut, tree.missing_left[k], tree.left[k], tree.right[k], float(tree.value[k] * rate), float(tree.gain[k])))
+        out.extend((*block[setup.of(f)[0]], *row) for row in _node_rows(setup, edges, f, number, tree, rate))
 
     def flush() -> None:
         if out:
