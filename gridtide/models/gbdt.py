@@ -30,6 +30,8 @@ from gridtide.sources.store import kept, new_path, remove
 BINS = 64
 #: Observations of a chunk; bytes of sums that a task holds before it hands them on.
 CHUNK, HELD = 8192, 64 << 20
+#: Rows that are counted for all features at once.
+AT_ONCE = 1500
 #: A node of so many rows goes to one task, to be split to the end; a fit of so many, to be boosted to the end.
 NEAR = 65_536
 #: Fits that share their jobs, and trees after which the scores of the rows are stored.
@@ -159,6 +161,23 @@ def best_split(g: np.ndarray, n: np.ndarray, least: int, l2: float) -> tuple[flo
     return best
 
 
+def histograms(bins: np.ndarray, rows: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Gradient sums and row counts of some rows by (feature, bin): two by features by bins.
+
+    Many rows are counted feature by feature, which stays in the cache; few rows all at once, which saves calls.
+    """
+    k, width, own = len(bins), BINS + 1, g[rows]
+    if len(rows) < AT_ONCE:
+        flat = (bins[:, rows] + np.arange(k)[:, None] * width).ravel()
+        made = np.bincount(flat, np.tile(own, k), k * width), np.bincount(flat, minlength=k * width)
+        return np.stack(made).reshape(2, k, width)  # whole numbers below 2**53
+    out = np.empty((2, k, width))
+    for j in range(k):
+        b = bins[j].take(rows).astype(np.intp)
+        out[0, j], out[1, j] = np.bincount(b, own, width), np.bincount(b, minlength=width)
+    return out
+
+
 def interpolated(values: np.ndarray, q: float) -> float:
     """The linearly interpolated quantile of whole numbers."""
     at = (len(values) - 1) * q
@@ -173,13 +192,10 @@ def subtree(bins: np.ndarray, left: np.ndarray, params: Params, unit: float, dep
     bins: allowed features by rows; left: what each row has left to explain. Features count among the allowed ones. Of
     two children only the smaller is counted, the other is the rest: sums of whole numbers lose nothing by that.
     """
-    k, width, out = len(bins), BINS + 1, []
-    g, place = gradients(left, params).astype(float), np.arange(k, dtype=np.int32)[:, None] * width + bins
+    out, g = [], gradients(left, params).astype(float)
 
     def sums(rows: np.ndarray) -> np.ndarray:
-        flat = place[:, rows].ravel()
-        made = np.bincount(flat, np.tile(g[rows], k), k * width), np.bincount(flat, minlength=k * width)
-        return np.stack(made).reshape(2, k, width)  # whole numbers below 2**53
+        return histograms(bins, rows, g)
 
     def tested(rows: np.ndarray, depth: int) -> bool:
         return depth > 0 and len(rows) >= 2 * params.least
@@ -337,13 +353,16 @@ def _splits(chunks: DataFrame, setup: Setup, tree: int, level: int, frontier: di
                     whole.append((f, frontier[f][j], left[mine].tobytes() + bins[:, mine].T.tobytes()))
                     size += len(whole[-1][2])
                 if far.any():
-                    some = far[place]
-                    n, at = len(frontier[f]) * k * width, (place[some][None, :] * k + np.arange(k)[:, None]) * width + bins[:, some]
-                    g = np.tile(gradients(left[some], setup.fits[s].params).astype(float), k)
-                    sums = np.bincount(at.ravel(), g, n).astype(np.int64)  # whole numbers below 2**53: exact
-                    both = np.stack([sums, np.bincount(at.ravel(), minlength=n)]).reshape(2, len(frontier[f]), -1)
+                    some, nodes = np.flatnonzero(far[place]), len(frontier[f])
+                    g, slots = gradients(left[some], setup.fits[s].params).astype(float), place[some] * width
+                    both = np.empty((2, k, nodes * width), dtype=np.int64)
+                    for j in range(k):
+                        at = slots + bins[j].take(some)
+                        both[0, j] = np.bincount(at, g, nodes * width)  # whole numbers below 2**53: exact
+                        both[1, j] = np.bincount(at, minlength=nodes * width)
+                    both = both.reshape(2, k, nodes, width)
                     for j in np.flatnonzero(far).tolist():
-                        held.add((f, frontier[f][j]), both[:, j].copy())
+                        held.add((f, frontier[f][j]), both[:, :, j].reshape(2, -1))
             if held.size > HELD:
                 yield held.taken()
             if size > HELD:
@@ -624,7 +643,7 @@ def _boosted_near(chunks: DataFrame, setup: Setup, edges: list[list[np.ndarray]]
             tree, allowed = Tree(), np.searchsorted(own, setup.columns(f, number))
             if len(rows):
                 left = np.rint((y[rows] - score[rows]) / unit).astype(np.int64)
-                made = subtree(bins[np.ix_(allowed, rows)], left, params, setup.unit(f), params.depth)
+                made = subtree(bins[allowed].take(rows, axis=1), left, params, setup.unit(f), params.depth)
                 for feature, cut, missing_left, gain, a, b, sums, size, value in made:
                     k = tree.add(size, sums, value)
                     tree.feature[k], tree.cut[k], tree.missing_left[k] = feature, cut, missing_left
