@@ -791,21 +791,25 @@ def _fit_block(slim: DataFrame, keys: list[str], block: list, fits: list[Fit], f
 
 def load_models(nodes: DataFrame, keys: list[str], models: list[str]) -> dict[tuple, dict[str, tuple]]:
     """key -> model -> (features, trees as arrays): the bounded tables of the named models."""
-    rows = nodes.filter(F.col("model").isin(models)).orderBy(*keys, "model", "tree", "node").toArrow()
-    columns = {c: rows.column(c).to_pylist() for c in rows.column_names}
+    rows = nodes.filter(F.col("model").isin(models)).orderBy(*keys, "model", "tree", "node").toArrow().combine_chunks()
+    starts = np.flatnonzero(rows.column("node").to_numpy() == 0)  # each tree begins at its root
+    ends = np.append(starts, len(rows))[1:]
+    coded = pa.chunked_array(rows.column("feature"), pa.string()).combine_chunks().dictionary_encode()
+    code, names = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    kinds = {"cut": float, "missing_left": bool, "left": np.int32, "right": np.int32, "value": float}
+    columns = [rows.column(c).to_numpy().astype(k) for c, k in kinds.items()]
+    spans: dict[tuple, dict[str, list[tuple[int, int]]]] = {}
+    for head, start, end in zip(rows.select([*keys, "model"]).take(starts).to_pylist(), starts, ends, strict=True):
+        spans.setdefault(tuple(head[k] for k in keys), {}).setdefault(head["model"], []).append((start, end))
     out: dict[tuple, dict[str, tuple]] = {}
-    grouped: dict[tuple, list[int]] = {}
-    for i in range(len(rows)):
-        grouped.setdefault((tuple(columns[k][i] for k in keys), columns["model"][i], columns["tree"][i]), []).append(i)
-    for (key, model, _), at in grouped.items():
-        names, trees = out.setdefault(key, {}).setdefault(model, ([], []))
-        for i in at:
-            if columns["feature"][i] is not None and columns["feature"][i] not in names:
-                names.append(columns["feature"][i])
-        feature = np.array([-1 if columns["feature"][i] is None else names.index(columns["feature"][i]) for i in at], dtype=np.int32)
-        pick = [np.array([columns[c][i] for i in at], dtype=k) for c, k in (("missing_left", bool), ("left", np.int32), ("right", np.int32), ("value", float))]
-        cut = np.array([np.nan if columns["cut"][i] is None else columns["cut"][i] for i in at], dtype=float)
-        trees.append((feature, cut, *pick))
+    for key, own in spans.items():
+        for model, at in own.items():
+            used = np.unique(np.concatenate([code[i:j] for i, j in at]))
+            used = used[used >= 0]
+            number = np.full(len(names) + 1, -1, dtype=np.int32)  # the last one stands for a leaf, code -1
+            number[used] = np.arange(len(used))
+            trees = [(number[code[i:j]], *[c[i:j] for c in columns]) for i, j in at]
+            out.setdefault(key, {})[model] = ([names[u] for u in used], trees)
     return out
 
 
