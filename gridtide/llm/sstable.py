@@ -27,9 +27,11 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -194,36 +196,70 @@ WORDWISE = (
 )
 
 
+class KnownIds:
+    """Strings with the bytes of their ids, as Arrow arrays; ``encode`` gives those of strings not met before."""
+
+    def __init__(self, encode: Callable[[pa.Array], pa.Array], keep: int):
+        self.encode, self.keep = encode, keep
+        self._forget()
+
+    def _forget(self) -> None:
+        self.strings = pa.array([""], pa.large_string())  # the empty one stands before leading white space
+        self.ids = pa.array([b""], pa.large_binary())
+
+    def joined(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text: those of its white-space-separated strings, each distinct one encoded once."""
+        if not len(texts):
+            return []
+        if self.strings.nbytes > 32 * self.keep:
+            self._forget()
+        cut = pc.ascii_split_whitespace(texts)
+        strings = cut.values.dictionary_encode()
+        place = pc.index_in(strings.dictionary, self.strings).fill_null(-1).to_numpy().copy()
+        new = strings.dictionary.filter(pa.array(place < 0))
+        place[place < 0] = np.arange(len(self.strings), len(self.strings) + len(new))
+        self.ids = pa.concat_arrays([self.ids, self.encode(new)])
+        self.strings = pa.concat_arrays([self.strings, new])
+        ids = self.ids.take(pa.array(place[strings.indices.to_numpy()]))
+        at = np.frombuffer(ids.buffers()[1], dtype=np.int64)[cut.offsets.to_numpy()].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        return [bytes(data[a:b]) for a, b in pairwise(at)]
+
+
 class WordTokenizer:
     """Encodes whole texts with a tokenizers file.
 
     Where the file has the normaliser and pre-tokenizer of WORDWISE (case and white space fall away, no token spans two
-    words), a text's ids are those of its white-space-separated words in order, so each word is encoded once and kept:
-    words of Latin letters with end punctuation by the file's BPE model directly, all others by the whole tokenizer.
-    The caches are bounded. Texts with other than ASCII white space, or special-token strings, and all texts of any
-    other file are encoded whole.
+    pieces of the pre-tokenizer), a text's ids are those of its pieces in order. Arrow lower-cases and cuts the texts of
+    nothing but PLAIN characters as the pre-tokenizer would, each distinct piece is encoded once, many in a call, and a
+    text's ids are taken from those. Other texts are cut at white space: their plain words go that way too, each of
+    their other distinct words through the whole tokenizer. What is kept is bounded. Texts with other than ASCII white
+    space, or special-token strings, and all texts of any other file are encoded whole.
     """
 
-    #: Letters, then ASCII punctuation other than the apostrophe (which the pre-tokenizer treats apart).
-    LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\\[-`{-~]*)")
+    #: ASCII but for the separators x1c to x1f, Latin letters, common punctuation: NFC keeps them, each lower-cases alone.
+    PLAIN = r"\x00-\x1b -\x7f¡-©«-±´¶-¸»¿-įı-ɏ‐-‧€"
+    OTHER = rf"[^{PLAIN}]|<\|"
+    #: The pre-tokenizer's pieces of lower-cased PLAIN characters, but for letters, which are what stands between them.
+    BETWEEN = r"'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\t-\r 0-9a-zß-öø-ʯⱥⱦ]+"
     #: White space beyond ASCII, and characters that join with what stands before them or lower-case by context.
     WHOLE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u0300-\\u036f\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]|<\\|")
+    #: Bytes of text cut at a time, and strings encoded in a call.
+    SLICE, CALL = 8 << 20, 1000
 
-    def __init__(self, path: str, keep: int = 100_000):
+    def __init__(self, path: str, keep: int = 500_000):
+        """``keep``: strings to keep with their ids, at 32 bytes each."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         settings = json.loads(self.whole.to_str())
         self.wordwise = (settings["normalizer"], settings["pre_tokenizer"]) == WORDWISE and settings["model"]["type"] == "BPE" and not settings["model"].get("dropout")
-        self.model = self.whole.model
-        self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.cut = Tokenizer(self.whole.model)  # for what is lower-cased and cut
+        self.cut.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.width = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
         self.code, self.keep = "H" if self.width == 2 else "I", keep
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.chars: dict[str, str] = {}
+        self.pieces, self.words = KnownIds(self._pieces, keep), KnownIds(self._words, keep)
 
     def _pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
@@ -231,40 +267,49 @@ class WordTokenizer:
     def _full(self, text: str) -> bytes:
         return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
 
-    def _char(self, c: str) -> str:
-        if c not in self.chars:
-            self.chars[c] = "".join(piece for piece, _ in self.bytes_of.pre_tokenize_str(c))
-        return self.chars[c]
-
-    def _core(self, core: str) -> bytes:
-        if (got := self.cores.get(core)) is None:
-            if (got := self.older.get(core)) is not None:
-                self.cores[core] = got
-                return got
-            mapped = core if core.isascii() else "".join(map(self._char, core))
-            got = self.cores[core] = self._pack([t.id for t in self.model.tokenize(mapped)])
-        return got
-
-    def _word(self, word: str) -> bytes:
-        if match := self.LETTERS.fullmatch(word):
-            core, end = match[1].lower(), match[2]
-            got = self._core(core)
-            if end:
-                got += self.words.get(end) or self._word(end)
-        else:
-            got = self._full(word)
-        self.words[word] = got
-        return got
+    def _pieces(self, pieces: pa.Array) -> pa.Array:
+        """The ids of each piece of lower-cased text."""
+        counts, data = [np.zeros(1, dtype=np.int64)], []
+        for i in range(0, len(pieces), self.CALL):
+            part = pieces.slice(i, self.CALL).to_pylist()
+            found = self.cut.encode(" ".join(part), add_special_tokens=False)
+            counts.append(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(part)))
+            data.append(self._pack(found.ids))
+        ends = np.concatenate(counts).cumsum() * self.width
+        return pa.Array.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(data))])
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """The ids of each word."""
+
+        def batch(others: pa.Array) -> Iterator[bytes]:
+            for i in range(0, len(others), self.CALL):
+                yield from (self._pack(x.ids) for x in self.whole.encode_batch_fast(others.slice(i, self.CALL).to_pylist(), add_special_tokens=False))
+
+        return pa.array(self._plain_or(words, batch), pa.large_binary())
+
+    def _plain_or(self, texts: pa.Array, encode: Callable[[pa.Array], Iterable[bytes]]) -> list[bytes]:
+        """The ids of each text, by its pieces if it is plain, else from ``encode``."""
+        plain = pc.invert(pc.match_substring_regex(texts, self.OTHER))
+        pieces = iter(self.pieces.joined(pc.replace_substring_regex(pc.utf8_lower(texts.filter(plain)), self.BETWEEN, r" \0 ")))
+        others = iter(encode(texts.filter(pc.invert(plain))))
+        return [next(pieces) if x else next(others) for x in plain.to_pylist()]
+
+    def _wordwise(self, texts: pa.Array) -> Iterable[bytes]:
+        """The ids of texts that are not plain."""
+        whole = [bool(self.WHOLE.search(x)) for x in texts.to_pylist()]
+        words = iter(self.words.joined(texts.filter(pc.invert(pa.array(whole, pa.bool_())))))
+        return [self._full(x.as_py()) if w else next(words) for x, w in zip(texts, whole, strict=True)]
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text (NULL counts as empty), in order."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // self.SLICE
+        for a, b in pairwise([0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]):
+            some = texts.slice(a, b - a)
+            yield from self._plain_or(some, self._wordwise) if self.wordwise else map(self._full, some.to_pylist())
 
     def encode(self, text: str) -> bytes:
-        if not self.wordwise or self.WHOLE.search(text):
-            return self._full(text)
-        if len(self.words) > self.keep:
-            self.words.clear()
-        if len(self.cores) > self.keep:
-            self.older, self.cores = self.cores, {}
-        known, word = self.words.get, self._word
-        return b"".join([known(w) or word(w) for w in text.split()])
+        return next(self.encode_all(pa.array([text])))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -287,7 +332,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     Returns a row per shard (MANIFEST). NULL text counts as empty (just the end id); NULL ids sort first; rows that
     repeat an id are all kept, in the order of their texts' hashes, and may lie in several shards. An empty table
     writes no shard. A task writes about ``shard_bytes`` of text and closes a shard at so many bytes of ids, so what
-    it holds is a shard and a document, however long texts are dealt.
+    it holds is a shard, a slice of texts and a document, however long texts are dealt.
     """
     spark = docs.sparkSession
     schema = T.StructType([T.StructField(n, T.StringType() if n == "file" else T.LongType()) for n, _ in MANIFEST])
@@ -312,9 +357,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
         doc_id = None
         for batch in batches:
-            for i in range(batch.num_rows):
-                doc_id, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                ids = encoder.encode(text or "") + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1)), strict=True):
+                ids += end
                 if writer.keys and size + len(ids) > shard_bytes:
                     yield closed(last)
                     writer, size, done = ShardWriter(encoder.width, block_bytes), 0, done + 1

@@ -685,6 +685,42 @@ def test_any_text_encodes_like_the_whole(words, text):
     assert ids_of(words, text) == np.frombuffer(words.encode(text), "<u2").tolist()
 
 
+def test_plain_texts_do_without_the_whole_tokenizer(words, monkeypatch):
+    """Numbers, addresses, apostrophes and spellings are cut to known pieces; each spelling went its own way, these by the whole tokenizer."""
+    text = "Call (806) 555-2397, mail A.b_c@mail3.example.com or 50.166.112.52; DON'T'S “Él's” naïve|NAÏVE&&&'s \x0b x"
+    want = ids_of(words, text)
+    monkeypatch.setattr(sstable.WordTokenizer, "_full", lambda self, text: pytest.fail(f"{text!r} went whole"))
+    assert want == np.frombuffer(words.encode(text), "<u2").tolist()
+
+
+def test_each_distinct_piece_is_encoded_once(monkeypatch):
+    seen, encode = [], sstable.WordTokenizer._pieces
+    monkeypatch.setattr(sstable.WordTokenizer, "_pieces", lambda self, pieces: seen.extend(pieces.to_pylist()) or encode(self, pieces))
+    monkeypatch.setattr(sstable.WordTokenizer, "SLICE", 50)
+    words = sstable.WordTokenizer(queries.tokenizer_path())
+    texts = [f"{a}{b} {b}{a.upper()}{b}" for a in ("one", "two", "été") for b in ("", ".", "!", "...", "'s", "7")]
+    texts += [f"{x} 日" for x in texts]
+    got = list(words.encode_all(pa.array(texts)))
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [ids_of(words, x) for x in texts]
+    assert sorted(seen) == sorted({"one", "two", "été", ".", "!", "...", "'s", "7"})
+
+
+def test_every_character_encodes_like_the_whole(monkeypatch):
+    monkeypatch.setattr(sstable.WordTokenizer, "SLICE", 3000)
+    words = sstable.WordTokenizer(queries.tokenizer_path(), keep=100)
+    texts = [f"{c} Ab{c}'S {c}{c}'{c} 1{c}2\n{c}" for c in map(chr, [*range(0x3100), *range(0xAC00, 0xAC40), *range(0xFB00, 0xFB10), *range(0x1F600, 0x1F610)])]
+    texts[::500] = [None, ""] * (len(texts[::500]) // 2) + [None] * (len(texts[::500]) % 2)
+    got = list(words.encode_all(pa.array(texts)))
+    wrong = [t for t, x in zip(texts, got, strict=True) if np.frombuffer(x, "<u2").tolist() != ids_of(words, t or "")]
+    assert not wrong
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("aBsTreéÉſŸȺƁ'’“.,&_<|>19 \n\t\x0b\x00\x7f²µªßİΣ", max_size=30), max_size=6))
+def test_texts_of_a_batch_encode_like_the_whole(words, batch):
+    assert [np.frombuffer(x, "<u2").tolist() for x in words.encode_all(pa.array(batch, pa.string()))] == [ids_of(words, x) for x in batch]
+
+
 def test_shard_round_trip():
     rng = np.random.default_rng(4)
     keys = sorted({int(x) for x in rng.integers(-(2**62), 2**62, 300)} | {0, -1, 2**63 - 1, -(2**63)})
