@@ -245,9 +245,9 @@ class WordTokenizer:
     #: White space beyond ASCII, and characters that join with what stands before them or lower-case by context.
     WHOLE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u0300-\\u036f\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]|<\\|")
     #: Bytes of text cut at a time, and strings encoded in a call.
-    SLICE, CALL = 8 << 20, 1000
+    SLICE, CALL = 2 << 20, 1000
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 200_000):
         """``keep``: strings to keep with their ids, at 32 bytes each."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
@@ -307,6 +307,7 @@ class WordTokenizer:
         for a, b in pairwise([0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]):
             some = texts.slice(a, b - a)
             yield from self._plain_or(some, self._wordwise) if self.wordwise else map(self._full, some.to_pylist())
+            pa.default_memory_pool().release_unused()  # else a worker holds what a slice took
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all(pa.array([text])))
