@@ -8,7 +8,9 @@
    what belongs together; then every pair of items of different components that share one is compared.
 4. A proposed pair links if its sets are similar; connected components run over the links in Spark.
 
-Sizes, places of the shared shingle and parity bitmaps are exact bounds that leave out pairs which cannot be similar.
+Sizes, places of the shared shingle, parity bitmaps and how many first shingles a pair shares are exact bounds that
+leave out pairs which cannot be similar: in a large corpus most long texts share one with another by chance, few share
+as many as they must. Sets are not kept: those that a pair names are made again from their texts, which a bitmap finds.
 Items that share a frequent shingle meet by bands of their sizes: an item goes to the bands of the smaller partners that
 its place leaves possible, so pages of a template whose own text keeps them apart meet nobody. What does meet is cut
 into chunks, and pairs within the component that most of a band belongs to are never formed.
@@ -38,6 +40,10 @@ BITS = 512
 CHUNK = 2048
 #: Ratio of a band's sizes.
 BAND = 1.1
+#: Bits that tell which texts a pair names; false members cost work and are joined away.
+MARKS = 2**25
+#: A pair with the centre of a shingle is proposed if it is the centre of this part of the shingles that they must share.
+STAR_PART = 0.25
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -121,14 +127,19 @@ def raw_digest(text: str):
     return F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
 
 
+def text_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, raw (digest of the text), text (binary) of every row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_digest("text").alias("raw"), F.col("text").cast("binary").alias("text"))
+
+
 def shingle_sets(docs: DataFrame, set_words: int, least: float) -> DataFrame:
     """row (a number of its own), doc_id, raw (digest of the text), item (digest of the normalised text), fp (of the
-    distinct words), n (shingles), bits (parity), shingles (packed), prefix of every row."""
+    distinct words), n (shingles), bits (parity), prefix of every row."""
     common = common_shingles(docs, set_words)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, items, sizes, bits, sets, firsts = [], [], [], [], [], []
+            prints, items, sizes, bits, firsts = [], [], [], [], []
             for text in batch.column(2):
                 # Word variety, not word frequency: a replaced word moves few bits, and the set decides.
                 words, full, item = text_sets(text.as_py() or b"", set_words)
@@ -136,21 +147,44 @@ def shingle_sets(docs: DataFrame, set_words: int, least: float) -> DataFrame:
                 items.append(item)
                 sizes.append(len(full))
                 bits.append(parity(full))
-                sets.append(packed(full))
                 firsts.append(prefix(full, common, least).astype("<u8").tobytes())
-            columns = [batch.column(0), batch.column(1), pa.array(items, pa.binary()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), *(pa.array(x, pa.binary()) for x in (bits, sets, firsts))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "raw", "item", "fp", "n", "bits", "shingles", "prefix"])
+            columns = [batch.column(0), batch.column(1), pa.array(items, pa.binary()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), *(pa.array(x, pa.binary()) for x in (bits, firsts))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "raw", "item", "fp", "n", "bits", "prefix"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_digest("text").alias("raw"), F.col("text").cast("binary").alias("text"))
-    sets = rows.mapInArrow(run, "doc_id long, raw binary, item binary, fp long, n int, bits binary, shingles binary, prefix binary")
+    sets = text_rows(docs).mapInArrow(run, "doc_id long, raw binary, item binary, fp long, n int, bits binary, prefix binary")
     return sets.withColumn("row", F.monotonically_increasing_id())
 
 
-def similar(pairs: DataFrame, keyed: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b: rows of ``keyed``) whose sets are ``least`` similar.
+def named_sets(named: DataFrame, docs: DataFrame, set_words: int) -> DataFrame:
+    """id, shingles (packed) of the items ``named`` (id, doc_id, raw), made from their texts in one pass over ``docs``.
 
-    One pass over all sets takes out those that the pairs name; the joins that bring two together carry these alone.
-    What they join grows with the corpus, so merge hints keep the plan alike at every size.
+    A bitmap, in pieces of 4 KB, tells which ids (of rows without one: which texts) are named. What it lets through is
+    joined exactly.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [packed(text_sets(text.as_py() or b"", set_words)[1]) for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["doc_id", "raw", "shingles"])
+
+    def mark(doc_id, raw):
+        return F.pmod(F.when(doc_id.isNull(), F.xxhash64(raw)).otherwise(F.xxhash64(doc_id)), F.lit(MARKS))
+
+    piece, bit = F.shiftright("at", 15), F.pmod("at", F.lit(1 << 15))
+    marks = named.select(mark(F.col("doc_id"), F.col("raw")).alias("at")).groupBy(piece.alias("piece")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumn("at", mark(F.col("doc_id"), raw_digest("text")))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    some = texts.join(F.broadcast(marks), piece == F.col("piece")).filter(F.floor(byte / F.pow(F.lit(2), F.pmod("at", F.lit(8)))) % 2 == 1)
+    made = text_rows(some).mapInArrow(run, "doc_id long, raw binary, shingles binary")
+    mine = made.join(named.hint("merge"), made["doc_id"].eqNullSafe(named["doc_id"]) & (made["raw"] == named["raw"])).select("id", "shingles")
+    return mine.groupBy("id").agg(F.first("shingles").alias("shingles"))  # rows may repeat
+
+
+def similar(pairs: DataFrame, items: DataFrame, docs: DataFrame, set_words: int, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: ids of ``items``) whose sets are ``least`` similar.
+
+    The joins that bring two sets together carry those alone that the pairs name. What they join grows with the corpus,
+    so merge hints keep the plan alike at every size.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,15 +192,27 @@ def similar(pairs: DataFrame, keyed: DataFrame, least: float) -> DataFrame:
             fit = [set_similarity(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
 
-    named = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
-    some = stored(keyed.select("row", "shingles").join(named.hint("merge"), "row", "left_semi"), "pair-sets")
-    x = some.select(F.col("row").alias("a"), F.col("shingles").alias("x"))
-    y = some.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    named = stored(items.select("id", "rep.doc_id", "rep.raw").join(ids, "id", "left_semi"), "named")
+    some = stored(named_sets(named, docs, set_words), "pair-sets")
+    x = some.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    y = some.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     links = stored(pairs.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar")
+    dropped(named)
     dropped(some)
     return links
 
 
+def must_share(total, larger, least: float, ceil):
+    """How many shingles of their prefixes sets of ``total`` shingles share if they are ``least`` similar, ``larger`` in the larger.
+
+    Such sets have at least a shingles in common. Leave out the last a - k of each set: k or more of the common ones are
+    left in each, the same k first ones. The largest k is returned for which the prefixes hold all that is left.
+    ``ceil``: NumPy's or Spark's.
+    """
+    return ceil(total * (least / (1 + least)) - 1e-6) - ceil(larger * least - 1e-9) + 1
+
+
 def with_component(items: DataFrame, found: list[DataFrame]) -> DataFrame:
     """``items`` (id, ...) with their component over all links ``found``; one without links is its own."""
     edges = found[0]
@@ -254,24 +300,47 @@ def band_pairs(home: np.ndarray, reach: np.ndarray, ids: np.ndarray, component:
             yield a, b
 
 
-def shared_tokens(keyed: DataFrame, items: DataFrame) -> DataFrame:
-    """token, id, place of every prefix shingle that stands in two items or more."""
-    firsts = keyed.select(F.col("row").alias("id"), "prefix").join(items.select("id"), "id", "left_semi")
+def shared_tokens(sets: DataFrame, items: DataFrame) -> DataFrame:
+    """token, id, place of every prefix shingle that stands in two items or more, stored."""
+    firsts = sets.select(F.col("row").alias("id"), "prefix").join(items.select("id"), "id", "left_semi")
     twice = stored(spread(firsts, False).groupBy("token").count().filter("count > 1").select("token"), "shared-shingles")
-    return spread(firsts, True).join(twice, "token", "left_semi")
+    tokens = stored(spread(firsts, True).join(twice, "token", "left_semi"), "tokens")
+    dropped(twice)
+    return tokens
 
 
 def star_pairs(tokens: DataFrame, items: DataFrame, least: float) -> DataFrame:
-    """a, b: each item with the most central item of each of its shared tokens, where their sizes allow it.
+    """a, b: each item with the most central item of its shared tokens, where their sizes allow it, stored.
 
-    Central is what has least of its prefix to itself: the text that the others are edits of.
+    Central is what has least of its prefix to itself: the text that the others are edits of. A text that is central to
+    few of the tokens that the two must share stands there by chance; if not, open_pairs finds the pair.
     """
     own = tokens.groupBy("id").agg(F.count("*").alias("shared")).join(items.select("id", "n"), "id")
     own = own.select("id", "n", F.struct((-F.col("shared") / F.col("n")).alias("lone"), F.col("id").alias("id"), F.col("n").alias("n")).alias("rank"))
     placed = stored(tokens.select("token", "id").join(own, "id"), "star-shingles")
     first = placed.groupBy("token").agg(F.min("rank").alias("hub"))
     rays = placed.join(first, "token").filter(F.least("n", "hub.n") >= least * F.greatest("n", "hub.n") - 1e-6)
-    return rays.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).filter("a <> b").distinct()
+    k = must_share(F.col("n") + F.col("hub.n"), F.greatest("n", "hub.n"), least, F.ceil)
+    pairs = rays.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"), k.alias("k")).filter("a <> b")
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("rays"), F.max("k").alias("k"))
+    stars = stored(counted.filter(F.col("rays") >= F.col("k") * STAR_PART).select("a", "b"), "stars")
+    dropped(placed)
+    return stars
+
+
+def possible(pairs: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) that sizes and parity bitmaps leave open."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            zero = np.zeros(batch.num_rows, np.int64)
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
+            bits, more = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) for c in ("bits", "more"))
+            yield batch.select(["a", "b"]).filter(pa.array(may_link((n, zero, bits), (m, zero, more), least)))
+
+    x = items.select(F.col("id").alias("a"), "n", "bits")
+    y = items.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("more"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "bits", "more").mapInArrow(run, "a long, b long")
 
 
 MET = ["token", "cell", "component", "home", "id", "n", "place", "reach", "bits"]
@@ -323,7 +392,11 @@ def _in_bands(many: DataFrame, least: float) -> tuple[DataFrame, int]:
 
 
 def open_pairs(tokens: DataFrame, items: DataFrame, least: float, rows_per_part: int = 200_000) -> DataFrame:
-    """a, b: every pair of items of different components that shares a token and may link."""
+    """a, b: every pair of items of different components that shares as many tokens as it must and may link, stored.
+
+    Tokens of at most CHUNK rows are counted for each pair. Of the others, whose pairs are not all formed, a pair is
+    taken to share as many as the item that has fewer of them.
+    """
     named = tokens.join(items.select("id", "component", "n"), "id")
     counts = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows"))
     counts = stored(counts.filter("low <> high").select("token", "rows"), "open-shingles")
@@ -336,31 +409,43 @@ def open_pairs(tokens: DataFrame, items: DataFrame, least: float, rows_per_part:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows of the last group, which the next batch may continue
-        made: list[np.ndarray] = []  # pairs not yet given out: a pair meets in many shingles, and a task names it once
+        made: list[np.ndarray] = []  # a, b, shared, hit, k of pairs not yet given out, which meet in many shingles
 
-        def pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
             token, cell, component, home, ids, n, place, reach = (table.column(c).to_numpy().astype(np.int64) for c in MET[:8])
             bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
             group = np.cumsum(np.append(False, (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])))
-            plain = cell < 0
-            yield from token_pairs(*(x[plain] for x in (group, ids, component, n, place, bits)), least)
-            for g in np.unique(group[~plain]):
-                mine = group == g
-                yield from band_pairs(*(x[mine] for x in (home > 0, reach, ids, component, n, place, bits)), least)
+
+            def named(i: np.ndarray, j: np.ndarray, shared: int) -> np.ndarray:
+                total, k = n[i] + n[j], must_share(n[i] + n[j], np.maximum(n[i], n[j]), least, np.ceil).astype(np.int64)
+                hit = np.minimum(n[i] - place[i], n[j] - place[j]) >= least / (1 + least) * total - 1e-6
+                return np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.full(len(i), shared), hit, k], axis=1)
+
+            at = np.flatnonzero(cell < 0)  # a place rules a pair out only by its first token, so all tokens are counted
+            for i, j in token_pairs(*(x[at] for x in (group, np.arange(len(ids)), component, n, np.zeros_like(place), bits)), least):
+                yield named(i, j, 1)
+            for g in np.unique(group[cell >= 0]):
+                at = np.flatnonzero(group == g)
+                for i, j in band_pairs(*(x[at] for x in (home > 0, reach, np.arange(len(ids)), component, n, place, bits)), least):
+                    yield named(i, j, 0)
 
         def given(most: int) -> Iterator[pa.RecordBatch]:
             """What has been made, each pair once, if it is more than ``most``; the rest waits for more of the same."""
             if sum(map(len, made)) > most:
-                once = np.unique(np.concatenate(made), axis=0)
+                every = np.concatenate(made)
+                every = every[np.lexsort((every[:, 1], every[:, 0]))]
+                first = np.flatnonzero(np.append(True, (every[1:, :2] != every[:-1, :2]).any(axis=1)))
+                once = every[first]
+                once[:, 2], once[:, 3] = np.add.reduceat(every[:, 2], first), np.maximum.reduceat(every[:, 3], first)
                 made[:] = [once]
                 if len(once) > most // 2:
                     made.clear()
-                    yield pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(once[:, c])) for c in range(5)], names=["a", "b", "shared", "hit", "k"])
 
         def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
             for p in pairs(table):
-                made.append(np.stack(p, axis=1))
-                yield from given(500_000)
+                made.append(p)
+                yield from given(200_000)
 
         for batch in batches:
             if not batch.num_rows:
@@ -379,24 +464,43 @@ def open_pairs(tokens: DataFrame, items: DataFrame, least: float, rows_per_part:
 
     parts = max(8, -(-size // rows_per_part))
     near = few.unionByName(banded).repartition(parts, "token", "cell").sortWithinPartitions("token", "cell", "component")
-    return near.mapInArrow(run, "a long, b long").distinct()
+    counted = near.mapInArrow(run, "a long, b long, shared long, hit long, k long").groupBy("a", "b")
+    counted = counted.agg(F.sum("shared").alias("shared"), F.max("hit").alias("hit"), F.max("k").alias("k")).filter("hit > 0").drop("hit")
+    enough, done = counted.filter("shared >= k").select("a", "b"), [counts, many]
+    if not many.isEmpty():
+        counted = stored(counted, "counted-pairs")
+        often = many.groupBy("id").count()
+        x, y = (often.select(F.col("id").alias(c), F.col("count").alias(f"often_{c}")) for c in "ab")
+        weak = counted.filter("shared < k").join(x, "a").join(y, "b").filter(F.col("shared") + F.least("often_a", "often_b") >= F.col("k"))
+        enough = counted.filter("shared >= k").select("a", "b").union(weak.select("a", "b"))
+        done.append(counted)
+    out = stored(enough, "open-pairs")
+    for table in done:
+        dropped(table)
+    return out
 
 
 def grouped(docs: DataFrame, set_words: int, radius: int, least: float, shard_items: int) -> tuple[DataFrame, DataFrame]:
-    """The shingle sets of all rows, and item, component, rep (doc_id, raw, times of the item's first row) of all items."""
-    keyed = stored(shingle_sets(docs, set_words, least), "sets")
-    same = keyed.groupBy("item", "doc_id", "raw").agg(F.min(F.struct("row", "fp", "n", "bits")).alias("x"), F.count("*").alias("times"))
+    """doc_id, item of all rows, and item, component, rep (doc_id, raw, times of the item's first row) of all items."""
+    sets = stored(shingle_sets(docs, set_words, least), "sets")
+    same = sets.groupBy("item", "doc_id", "raw").agg(F.min(F.struct("row", "fp", "n", "bits")).alias("x"), F.count("*").alias("times"))
     rep = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "raw", "times")
     items = same.groupBy("item").agg(F.min("x").alias("x"), F.min(rep).alias("rep"))
     items = stored(items.select("item", "rep", F.col("x.row").alias("id"), "x.fp", "x.n", "x.bits"), "items")
-    tokens = stored(shared_tokens(keyed, items), "tokens")
+    keyed = stored(sets.select("doc_id", "item"), "rows")
+    tokens = shared_tokens(sets, items)
+    dropped(sets)
     proposed = links(items.select("id", "fp"), items.count(), items, radius, shard_items).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = stored(proposed.union(star_pairs(tokens, items, least)).distinct(), "proposed")
-    found = similar(pairs, keyed, least)
+    stars = star_pairs(tokens, items, least)
+    pairs = stored(possible(proposed.union(stars).distinct(), items, least), "proposed")
+    found = similar(pairs, items, docs, set_words, least)
     now = stored(with_component(items, [found]), "components")
-    more = similar(stored(open_pairs(tokens, now, least), "open-pairs"), keyed, least)
+    pairs = open_pairs(tokens, now, least)
+    dropped(tokens)
+    more = similar(pairs, items, docs, set_words, least)
     if not more.isEmpty():
-        now = stored(with_component(items, [found, more]), "components")
+        before, now = now, stored(with_component(items, [found, more]), "components")
+        dropped(before)
     return keyed, now.select("item", "component", "rep")
 
 

@@ -351,6 +351,48 @@ def test_bounds_leave_every_similar_pair():
             assert set(near_sets.prefix(x, (zero[:0].view(np.uint64), zero[:0]), 0.8).tolist()) & set(near_sets.prefix(y, (zero[:0].view(np.uint64), zero[:0]), 0.8).tolist())
 
 
+def test_similar_sets_share_as_many_first_shingles_as_they_must():
+    rng, none, tight = np.random.default_rng(10), (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0
+    for _ in range(2000):
+        x = np.unique(rng.integers(0, 2**64, rng.integers(1, 400), dtype=np.uint64))
+        drawn = np.sort(x)[int(len(x) * rng.choice([0, 0, 0.1, 0.15])) :]  # the first, or any, are missing
+        y = np.unique(np.concatenate([drawn[rng.random(len(drawn)) < rng.choice([0.9, 1])], rng.integers(0, 2 ** int(rng.choice([58, 64])), rng.integers(0, 60), dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if len(y) and both >= 0.8 * (len(x) + len(y) - both):
+            k = near_sets.must_share(len(x) + len(y), max(len(x), len(y)), 0.8, np.ceil)
+            shared = len(np.intersect1d(near_sets.prefix(x, none, 0.8), near_sets.prefix(y, none, 0.8)))
+            assert shared >= k >= 1
+            tight += shared == k
+    assert tight > 0
+
+
+def test_long_texts_that_share_a_phrase_are_not_compared(spark, monkeypatch):
+    """Each two share a shingle that is among the first of both, as long texts do by chance in a large corpus."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(24):
+        words = [f"t{k}w{i}" for i in range(1400 + k)]
+        for other in range(24):
+            for copy in range(8):  # of which a few are of the first fifth by hash
+                at = (other * 8 + copy) * 7
+                words[at : at + 5] = [f"p{min(k, other)}q{max(k, other)}c{copy}v{i}" for i in range(5)]
+        rows.append(" ".join(words))
+    edited = rows[3].split()
+    for at in rng.sample(range(1344, 1400), 9):
+        edited[at] = "edited"
+    rows.append(" ".join(edited))
+    compared, similar = [], near_sets.similar
+
+    def counting(pairs, *rest):
+        compared.append(pairs.count())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(near_sets, "similar", counting)
+    got = {r["doc_id"]: r["component_id"] for r in near_sets.near_duplicates(texts(spark, rows)).collect()}
+    assert got == {i: i for i in range(24)} | {24: 3}
+    assert sum(compared) <= 2
+
+
 def test_short_texts_stay_apart(spark):
     """Five-word texts whose only shingle agrees in the upper 24 bits with another's."""
     seen, rows = {}, []
